@@ -7,17 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A right side of at most this many narrow rows is broadcast; its size is counted, never assumed.
-BROADCAST_ROWS = 200_000
+# A right side of at most this many bytes is broadcast; its size is looked up, never assumed.
+BROADCAST_BYTES = 16 * 1024 * 1024
 # The most frequent left keys are spread over this many tasks each. Any key outside the first
 # HOT_KEYS holds less than 1/HOT_KEYS of the rows, so it fits an ordinary task.
 HOT_KEYS = 256
 SALTS = 32
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Exact row count of a stored table (answered from Parquet footers) against the bound."""
-    return df.count() <= max_rows
+def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Size bound from the optimizer's statistics, without running a job.
+
+    For a stored table that is the size of its files. Above a join or an aggregation it is an
+    overestimate, so a side of unknown size is never taken for small.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= max_bytes
 
 
 def all_present(columns: Sequence[str]) -> Column:
