@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.catalog.inputs import star
+from staffmart.catalog.inputs import star, star_root
 from staffmart.catalog.staging_sql import star_cte
 from staffmart.operators import features as feat
 from staffmart.operators import risk
@@ -12,8 +13,7 @@ from staffmart.plans.flight_risk import scored_active
 from staffmart.session import fresh_dir, materialise
 from staffmart.sources.csv import write_ranked
 from staffmart.sources.derived import AS_OF
-
-TREES = 150
+from staffmart.sources.warehouse import read_star
 
 
 def filled_features(spark, sf_dir):
@@ -57,15 +57,26 @@ def accuracy(spark, sf_dir):
     return found.select(F.round("accuracy", 6).alias("accuracy"))
 
 
+_scored: dict[str, DataFrame] = {}
+
+
+def scored(spark, sf_dir):
+    """Scored active staff of a star: the model is trained once per loaded star, and both the ranked
+    list and its head are read from the stored scores."""
+    root = star_root(spark, sf_dir)
+    if root not in _scored:
+        _scored[root] = materialise(scored_active(read_star(spark, root), AS_OF), "scored")
+    return _scored[root]
+
+
 def flight_risk_ranked(spark, sf_dir):
     path = fresh_dir(spark, "ranked")
-    scored = materialise(scored_active(star(spark, sf_dir), AS_OF, TREES), "scored")
-    write_ranked(risk.rank_risk(scored), path)
+    write_ranked(risk.rank_risk(scored(spark, sf_dir)), path)
     return spark.read.parquet(path)
 
 
 def flight_risk_top5(spark, sf_dir):
-    return risk.top_k(scored_active(star(spark, sf_dir), AS_OF, TREES), 5)
+    return risk.top_k(scored(spark, sf_dir), 5)
 
 
 QUERIES = {

@@ -47,4 +47,5 @@ def train_risk(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = 150):
 def scored_active(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = 150) -> DataFrame:
     """Active staff with FlightRiskScore; no active staff gives no rows."""
     model, table = train_risk(star, as_of, trees)
-    return score(model, active_rows(table))
+    found = score(model, active_rows(table))
+    return found.select(*table.columns, "FlightRiskScore")
