@@ -64,7 +64,7 @@ def impute(
     The medians come from one scalar aggregation; its state is a count per distinct value, and ages
     and tenures have few of those.
     """
-    middle = df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in medians])
+    middle = medians and df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in medians])
 
     def filled(name: str) -> Column:
         if name in medians:
