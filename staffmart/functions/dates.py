@@ -7,28 +7,48 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted shapes after separators were unified to "-", in order of preference:
-# year first, then day first, then month first, then month names, then the year-day-month fallback.
+# Accepted shapes, once separators are unified to "-", and their readings in order of
+# preference: day before month, and the swapped reading where the first one is no date.
 DATE_SHAPES = (
-    "yyyy-M-d", "yyyyMMdd",
-    "d-M-yyyy", "M-d-yyyy", "d-M-yy", "M-d-yy",
-    "d-MMM-yy", "d-MMM-yyyy", "d-MMMM-yyyy", "d-MMMM-yy",
-    "MMM-d-yyyy", "MMMM-d-yyyy",
-    "yyyy-d-M", "M-yyyy", "yyyy",
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ("yyyy-M-d", "yyyy-d-M")),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ("d-M-yyyy", "M-d-yyyy")),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", ("d-M-yy", "M-d-yy")),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", ("d-MMM-yy",)),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", ("d-MMM-yyyy",)),
+    (r"^\d{1,2}-[A-Za-z]{4,}-\d{2}$", ("d-MMMM-yy",)),
+    (r"^\d{1,2}-[A-Za-z]{4,}-\d{4}$", ("d-MMMM-yyyy",)),
+    (r"^[A-Za-z]{3}-\d{1,2}-\d{4}$", ("MMM-d-yyyy",)),
+    (r"^[A-Za-z]{4,}-\d{1,2}-\d{4}$", ("MMMM-d-yyyy",)),
+    (r"^\d{1,2}-\d{4}$", ("M-yyyy",)),
+    (r"^\d{4}$", ("yyyy",)),
 )
 
 
+def date_text(col: Column) -> Column:
+    """The text without its time of day and with "-" as the only separator."""
+    no_time = F.regexp_replace(F.trim(col), r"[T ]\d{1,2}:\d{2}.*$", "")
+    return F.regexp_replace(no_time, r"[/., ]+", "-")
+
+
+def read_date_text(unified: Column, as_of: dt.date) -> Column:
+    """Date of a ``date_text``. A shape test picks the one or two readings to try: a failing parse
+    raises and catches an exception inside the JVM, which would dominate a chain of attempts."""
+    parsed = F.lit(None).cast("date")
+    for shape, readings in reversed(DATE_SHAPES):
+        attempts = F.coalesce(*[F.try_to_date(unified, reading) for reading in readings])
+        parsed = F.when(unified.rlike(shape), attempts).otherwise(parsed)
+    two_digit_year = unified.rlike(r"^[^-]+-[^-]+-\d{2}$")
+    century = F.lit(dt.date(as_of.year + 50, 1, 1))
+    return F.when(two_digit_year & (parsed >= century), F.add_months(parsed, -1200)).otherwise(parsed)
+
+
 def parse_date_dayfirst(col: Column, as_of: dt.date) -> Column:
     """Parse texts of mixed shapes, day first where both readings are possible; unreadable -> NULL.
 
     Two-digit years land in the window [as_of - 50, as_of + 50) years.
     """
-    no_time = F.regexp_replace(F.trim(col), r"[T ]\d{1,2}:\d{2}.*$", "")
-    unified = F.regexp_replace(no_time, r"[/., ]+", "-")
-    parsed = F.coalesce(*[F.try_to_date(unified, shape) for shape in DATE_SHAPES])
-    two_digit_year = unified.rlike(r"^[^-]+-[^-]+-\d{2}$")
-    too_late = two_digit_year & (F.year(parsed) >= as_of.year + 50)
-    return F.when(too_late, F.add_months(parsed, -1200)).otherwise(parsed)
+    return read_date_text(date_text(col), as_of)
 
 
 def age_years(born: Column, as_of: dt.date) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from staffmart.functions.dates import parse_date_dayfirst
+from staffmart.functions.dates import date_text, read_date_text
 from staffmart.functions.text import strip_text, tokens_to_null
 from staffmart.schema import (
     DATE_HEADERS,
@@ -77,10 +77,10 @@ def null_tokens(df: DataFrame, tokens: Iterable[str] = TEXT_NULL_TOKENS) -> Data
 
 
 def parse_dates(df: DataFrame, as_of: dt.date, names: Iterable[str] = DATE_HEADERS) -> DataFrame:
-    wanted = set(names)
-    return map_columns(
-        df, lambda col: parse_date_dayfirst(col, as_of), lambda f: f.name in wanted and is_text(f)
-    )
+    """Day-first dates; two projections, so that the shape tests share one unified text."""
+    wanted = {f.name for f in df.schema.fields if f.name in set(names) and is_text(f)}
+    unified = map_columns(df, date_text, lambda f: f.name in wanted)
+    return map_columns(unified, lambda col: read_date_text(col, as_of), lambda f: f.name in wanted)
 
 
 def rename_to_staging(df: DataFrame) -> DataFrame:

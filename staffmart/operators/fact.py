@@ -65,12 +65,16 @@ def stamp(df: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def lookup_dims(
-    rows: DataFrame, dims: Mapping[str, DataFrame], small: Mapping[str, bool] | None = None
+    rows: DataFrame,
+    dims: Mapping[str, DataFrame],
+    small: Mapping[str, bool] | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Left lookups of the four surrogate keys; unresolved ones stay NULL.
 
     Members with a NULL key part cannot match and leave first, which makes the rest unique. Only the
-    key columns of a dimension travel. Key frequencies are counted on ``rows`` before any join.
+    key columns of a dimension travel. Key frequencies, where they matter, are counted on
+    ``hot_from``, a stored table with the lookup columns, instead of on the joins so far.
     """
     found = rows
     for name, columns in LOOKUP_KEYS.items():
@@ -82,7 +86,7 @@ def lookup_dims(
             members,
             [(column, f"_n_{n}") for column, n in zip(columns, natural)],
             small=None if small is None else small[name],
-            hot_from=rows,
+            hot_from=rows if hot_from is None else hot_from,
         )
     return found
 
@@ -94,12 +98,20 @@ def fact_source(staging: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def new_facts(
-    source: DataFrame, dims: Mapping[str, DataFrame], existing: DataFrame | None = None
+    rows: DataFrame,
+    source: DataFrame,
+    dims: Mapping[str, DataFrame],
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Fact rows for source rows that have none yet."""
-    rows = lookup_dims(source, dims)
-    rows = rows.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
-    return allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing).select(*FACT_COLUMNS)
+    """Fact rows for ``rows``, those of the stored batch ``source`` that have none yet.
+
+    Numbering comes before the lookups: it needs staging columns only, so its counting pass stays a
+    scan, and the joins run once.
+    """
+    numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=fits_broadcast(source))
+    found = lookup_dims(numbered, dims, hot_from=source)
+    found = found.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
+    return found.select(*FACT_COLUMNS)
 
 
 def upsert_fact(
@@ -112,13 +124,13 @@ def upsert_fact(
     """
     source = fact_source(staging, as_of)
     if fact is None:
-        return new_facts(source, dims)
+        return new_facts(source, source, dims)
     assert_single_match(source, fact, "EmployeeID")
     updated = upsert_many(fact, source, "EmployeeID", FACT_UPDATES, small=fits_broadcast(staging))
     known = fact.select("EmployeeID").where("EmployeeID is not null").distinct()
     known = known.withColumnRenamed("EmployeeID", "_known")
     fresh = lookup(source, known, [("EmployeeID", "_known")], "left_anti", small=fits_broadcast(fact))
-    return updated.unionByName(new_facts(fresh, dims, existing=fact))
+    return updated.unionByName(new_facts(fresh, source, dims, existing=fact))
 
 
 def with_tenure(fact: DataFrame, as_of: dt.date) -> DataFrame:

@@ -38,24 +38,31 @@ def allocate_keys(
     order_by: Sequence[str],
     existing: DataFrame | None = None,
     digits: int = KEY_BUCKET_DIGITS,
+    small: bool = False,
 ) -> DataFrame:
     """Number ``new_rows`` without gaps after the largest existing key.
 
     The order is (hash bucket, ``order_by``). A bucket is a pure function of the row, so counting
     and numbering agree even when a lost task is rerun, and no task sees more than its buckets.
     The offsets are at most 16**digits rows, which bounds both their window and their broadcast.
+    ``small`` says that the rows passed the broadcast bound: one task then numbers them, alike.
     """
     bucketed = new_rows.withColumn("_bucket", key_bucket(order_by, digits))
+    order = [F.asc_nulls_first(name) for name in order_by]
+    start = F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0)).alias("_size")
+    if small:
+        nth = F.row_number().over(Window.orderBy("_bucket", *order))
+        base = F.lit(0) if existing is None else existing.agg(start).scalar()
+        return bucketed.withColumn(key, (base + nth).cast("long")).drop("_bucket")
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
     if existing is not None:
-        start = F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0))
-        sizes = sizes.unionByName(existing.agg(start.alias("_size")).withColumn("_bucket", F.lit("")))
+        sizes = sizes.unionByName(existing.agg(start).withColumn("_bucket", F.lit("")))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         F.col("_bucket").alias("_offset_bucket"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
     )
-    within = Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(name) for name in order_by])
+    within = Window.partitionBy("_bucket").orderBy(*order)
     return (
         bucketed.withColumn("_nth", F.row_number().over(within))
         .join(F.broadcast(offsets), F.col("_bucket") == F.col("_offset_bucket"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.operators.joins import lookup
+from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.operators.keys import allocate_keys
 
 
@@ -93,7 +93,7 @@ def upsert(
         )
     fresh = incoming.join(target.select(*keys), condition, "left_anti")
     fresh = fresh.select(*[F.col(f"_s_{name}").alias(name) for name in source.columns])
-    fresh = allocate_keys(fresh, surrogate, keys, existing=target)
+    fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=fits_broadcast(source))
     return kept.unionByName(fresh.select(*columns))
 
 

@@ -27,8 +27,11 @@ SLICE_ROWS = 2048
 HIT_SCHEMA = "query_id long, vec_id long, distance double"
 
 
-def vectorise(chunks: DataFrame, text: str = "chunk", dimensions: int = 1024) -> DataFrame:
-    """Lexical vectors: hashed word counts weighted by rarity, length 1, as ``embedding``."""
+def vectorise(chunks: DataFrame, text: str = "chunk", dimensions: int = 256) -> DataFrame:
+    """Lexical vectors: hashed word counts weighted by rarity, length 1, as ``embedding``.
+
+    ``chunks`` is read twice (for the weights and for the vectors), so give it a stored table.
+    """
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),

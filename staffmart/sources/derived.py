@@ -10,8 +10,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.operators.joins import lookup
+from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.schema import STAGING_SCHEMA
+from staffmart.session import materialise
 
 AS_OF = dt.date(2002, 1, 1)
 SPLIT = dt.date(1998, 1, 1)
@@ -64,15 +65,16 @@ def derived_staging(
     people = people.join(job_line, F.col("first_order") == F.col("l_orderkey"), "left")
     people = people.join(course, F.col("c_custkey") == F.col("user_id"), "left")
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    people = lookup(people, parts, [("l_partkey", "p_partkey")])
     suppliers = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    people = lookup(people, suppliers, [("l_suppkey", "s_suppkey")])
-    places = read(spark, sf_dir, "nation").join(
-        read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    people = lookup(
-        people, places.select("n_nationkey", "n_name", "r_name"), [("c_nationkey", "n_nationkey")]
-    )
+    small_parts, small_suppliers = fits_broadcast(parts), fits_broadcast(suppliers)
+    if not (small_parts and small_suppliers):
+        people = materialise(people, "people")  # read again for key frequencies
+    base = people
+    people = lookup(people, parts, [("l_partkey", "p_partkey")], small=small_parts, hot_from=base)
+    people = lookup(people, suppliers, [("l_suppkey", "s_suppkey")], small=small_suppliers, hot_from=base)
+    nations, regions = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    people = lookup(people, nations, [("c_nationkey", "n_nationkey")], hot_from=base)
+    people = lookup(people, regions, [("n_regionkey", "r_regionkey")], small=fits_broadcast(nations))
 
     person, latest = F.col("c_custkey"), F.col("latest.o_orderkey")
     name = F.split(F.col("c_name"), "#")
