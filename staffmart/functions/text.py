@@ -28,6 +28,16 @@ def tokens_to_null(col: Column, tokens: Iterable[str] = TEXT_NULL_TOKENS) -> Col
     return F.when(~col.isin(list(tokens)), col)
 
 
+def exact(col: Column) -> Column:
+    """Keys match byte by byte."""
+    return col
+
+
+def folded(col: Column) -> Column:
+    """Keys match whatever their case and trailing blanks, as under a case-insensitive collation."""
+    return F.lower(F.rtrim(col))
+
+
 def full_name(first: Column, last: Column) -> Column:
     """First and last name with one blank between; a missing part counts as empty text."""
     return F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit("")))

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.functions.dates import tenure_days
+from staffmart.functions.text import exact
 from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.operators.keys import allocate_keys
 from staffmart.operators.upsert import assert_single_match, upsert_many
 from staffmart.schema import NATURAL, STAR_SCHEMAS, SURROGATE
+from staffmart.session import materialise
 
 # Staging column -> fact column, where the name changes.
 FACT_NAMES = {
@@ -51,9 +53,9 @@ FACT_KEY_ORDER = tuple(
 )
 
 
-def attrition_flag(status: Column) -> Column:
+def attrition_flag(status: Column, match: Callable[[Column], Column] = exact) -> Column:
     """0 for 'Active', 1 for any other status and for none."""
-    return F.when(status == "Active", 0).otherwise(1)
+    return F.when(match(status) == match(F.lit("Active")), 0).otherwise(1)
 
 
 def coalesce_key(key: Column, unknown: int = -1) -> Column:
@@ -69,6 +71,7 @@ def lookup_dims(
     dims: Mapping[str, DataFrame],
     small: Mapping[str, bool] | None = None,
     hot_from: DataFrame | None = None,
+    match: Callable[[Column], Column] = exact,
 ) -> DataFrame:
     """Left lookups of the four surrogate keys; unresolved ones stay NULL.
 
@@ -76,25 +79,38 @@ def lookup_dims(
     key columns of a dimension travel. Key frequencies, where they matter, are counted on
     ``hot_from``, a stored table with the lookup columns, instead of on the joins so far.
     """
-    found = rows
+    types = dict(rows.dtypes)
+
+    def compared(name: str) -> Column:
+        return (match(F.col(name)) if types[name] == "string" else F.col(name)).alias(f"_m_{name}")
+
+    keys = [c for columns in LOOKUP_KEYS.values() for c in columns]
+    found = rows.select("*", *[compared(c) for c in keys])
+    hot_from = (rows if hot_from is None else hot_from).select(*[compared(c) for c in keys])
     for name, columns in LOOKUP_KEYS.items():
         natural = NATURAL[name]
         members = dims[name].select(SURROGATE[name], *[F.col(n).alias(f"_n_{n}") for n in natural])
         members = members.dropna(subset=[f"_n_{n}" for n in natural])
+        members = members.withColumns(
+            {f"_n_{n}": match(F.col(f"_n_{n}")) for n in natural if dict(dims[name].dtypes)[n] == "string"}
+        )
         found = lookup(
             found,
             members,
-            [(column, f"_n_{n}") for column, n in zip(columns, natural)],
+            [(f"_m_{column}", f"_n_{n}") for column, n in zip(columns, natural)],
             small=None if small is None else small[name],
-            hot_from=rows if hot_from is None else hot_from,
+            hot_from=hot_from,
         )
-    return found
+    return found.drop(*[f"_m_{c}" for c in keys])
 
 
-def fact_source(staging: DataFrame, as_of: dt.date) -> DataFrame:
+def fact_source(
+    staging: DataFrame, as_of: dt.date, match: Callable[[Column], Column] = exact
+) -> DataFrame:
     """Staging rows under fact names, with the flag and the audit time; lookup columns stay aboard."""
     rows = staging.withColumnsRenamed(FACT_NAMES)
-    return stamp(rows.withColumn("AttritionFlag", attrition_flag(F.col("EmployeeStatus"))), as_of)
+    flag = attrition_flag(F.col("EmployeeStatus"), match)
+    return stamp(rows.withColumn("AttritionFlag", flag), as_of)
 
 
 def new_facts(
@@ -102,6 +118,7 @@ def new_facts(
     source: DataFrame,
     dims: Mapping[str, DataFrame],
     existing: DataFrame | None = None,
+    match: Callable[[Column], Column] = exact,
 ) -> DataFrame:
     """Fact rows for ``rows``, those of the stored batch ``source`` that have none yet.
 
@@ -109,28 +126,35 @@ def new_facts(
     scan, and the joins run once.
     """
     numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=fits_broadcast(source))
-    found = lookup_dims(numbered, dims, hot_from=source)
+    found = lookup_dims(numbered, dims, hot_from=source, match=match)
     found = found.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
     return found.select(*FACT_COLUMNS)
 
 
 def upsert_fact(
-    fact: DataFrame | None, staging: DataFrame, dims: Mapping[str, DataFrame], as_of: dt.date
+    fact: DataFrame | None,
+    staging: DataFrame,
+    dims: Mapping[str, DataFrame],
+    as_of: dt.date,
+    match: Callable[[Column], Column] = exact,
 ) -> DataFrame:
     """Update the changeable columns of known employees, insert rows for the others.
 
     A row without an employee id matches nothing and is inserted by every load. Two rows of one
     batch for an employee already in ``fact`` raise ``AmbiguousMatchError``.
     """
-    source = fact_source(staging, as_of)
+    source = fact_source(staging, as_of, match)
     if fact is None:
-        return new_facts(source, source, dims)
+        return new_facts(source, source, dims, match=match)
     assert_single_match(source, fact, "EmployeeID")
-    updated = upsert_many(fact, source, "EmployeeID", FACT_UPDATES, small=fits_broadcast(staging))
+    small = fits_broadcast(staging)
+    updated = upsert_many(fact, source, "EmployeeID", FACT_UPDATES, small=small)
     known = fact.select("EmployeeID").where("EmployeeID is not null").distinct()
     known = known.withColumnRenamed("EmployeeID", "_known")
     fresh = lookup(source, known, [("EmployeeID", "_known")], "left_anti", small=fits_broadcast(fact))
-    return updated.unionByName(new_facts(fresh, source, dims, existing=fact))
+    if not small:
+        fresh = materialise(fresh, "fresh")  # read twice: to count and to number
+    return updated.unionByName(new_facts(fresh, source, dims, fact, match))
 
 
 def with_tenure(fact: DataFrame, as_of: dt.date) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staffmart.functions.text import exact
 from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.operators.keys import allocate_keys
 
@@ -19,17 +20,33 @@ class AmbiguousMatchError(ValueError):
     """Several source rows match the same target row."""
 
 
-def collapse_by_key(df: DataFrame, keys: Sequence[str], attributes: Sequence[str]) -> DataFrame:
+def collapse_by_key(
+    df: DataFrame,
+    keys: Sequence[str],
+    attributes: Sequence[str],
+    match: Callable[[Column], Column] = exact,
+) -> DataFrame:
     """One row per key with the maximum of every attribute on its own, NULLs ignored.
 
     Only the first key must be present; a NULL in a later key forms a group. Maxima are combined
-    map-side, so a key that holds a third of the rows shuffles as one row per task.
+    map-side, so a key that holds a third of the rows shuffles as one row per task. With ``match``
+    folded, text keys group and text attributes compare by their folded form; a key is then
+    represented by its smallest spelling.
     """
-    return (
-        df.where(F.col(keys[0]).isNotNull())
-        .groupBy(*keys)
-        .agg(*[F.max(name).alias(name) for name in attributes])
-    )
+    present = df.where(F.col(keys[0]).isNotNull())
+    if match is exact:
+        return present.groupBy(*keys).agg(*[F.max(name).alias(name) for name in attributes])
+    types = dict(df.dtypes)
+
+    def largest(name: str) -> Column:
+        col = F.col(name)
+        found = F.max(F.struct(match(col).alias("f"), col.alias("v"))) if types[name] == "string" else F.max(col)
+        return (found["v"] if types[name] == "string" else found).alias(name)
+
+    groups = [match(F.col(k)).alias(f"_g_{k}") if types[k] == "string" else F.col(k).alias(f"_g_{k}") for k in keys]
+    spelled = [F.min(k).alias(k) for k in keys]
+    found = present.groupBy(*groups).agg(*spelled, *[largest(name) for name in attributes])
+    return found.select(*keys, *attributes)
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,19 +80,22 @@ def upsert(
     surrogate: str,
     update: Sequence[str] = (),
     null_safe: bool = False,
+    match: Callable[[Column], Column] = exact,
 ) -> DataFrame:
     """Update ``update`` columns of matched rows, insert unmatched source rows under new surrogate keys.
 
     ``source`` has the columns of ``target`` without ``surrogate`` and unique ``keys``. A NULL in the
     source overwrites. Target rows without a match stay as they are; with no ``update`` columns all
     of them do. Keys compare null-unsafe, so a key with a NULL part is inserted again by every load
-    unless ``null_safe``.
+    unless ``null_safe``. ``match`` says what counts as the same text key.
     """
-    columns = target.columns
+    columns, types = target.columns, dict(target.dtypes)
     incoming = source.select(*[F.col(name).alias(f"_s_{name}") for name in source.columns])
 
     def matches(name: str):
         left, right = F.col(name), F.col(f"_s_{name}")
+        if types[name] == "string":
+            left, right = match(left), match(right)
         return left.eqNullSafe(right) if null_safe else left == right
 
     condition = [matches(name) for name in keys]

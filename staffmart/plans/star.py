@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffmart.functions.dates import age_years
-from staffmart.functions.text import full_name
+from staffmart.functions.text import exact, folded, full_name
 from staffmart.operators.cleaning import StagingError, clean
 from staffmart.operators.fact import upsert_fact
 from staffmart.operators.keys import empty_table, seed_unknown
@@ -21,6 +22,8 @@ from staffmart.session import materialise
 from staffmart.sources.csv import read_batch
 from staffmart.sources.warehouse import Snapshot, read_star, write_staging
 
+Match = Callable[[Column], Column]
+
 # The dimension columns a later batch may change; the others keep their first value.
 DIM_UPDATES = {
     "Dim_Employee": ("FullName", "Age", "MaritalStatus", "Supervisor", "Email"),
@@ -33,11 +36,11 @@ DIM_UPDATES = {
 UNIQUE_DIMS = ("Dim_Employee", "Dim_Location")
 
 
-def employee_members(staging: DataFrame, as_of: dt.date) -> DataFrame:
+def employee_members(staging: DataFrame, as_of: dt.date, match: Match = exact) -> DataFrame:
     attributes = (
         "FirstName", "LastName", "DOB", "GenderCode", "RaceDesc", "MaritalDesc", "Supervisor", "ADEmail",
     )
-    one = collapse_by_key(staging, ["Employee_ID"], attributes)
+    one = collapse_by_key(staging, ["Employee_ID"], attributes, match)
     return one.select(
         F.col("Employee_ID").alias("EmployeeID"),
         full_name(F.col("FirstName"), F.col("LastName")).alias("FullName"),
@@ -50,19 +53,19 @@ def employee_members(staging: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def job_members(staging: DataFrame) -> DataFrame:
+def job_members(staging: DataFrame, match: Match = exact) -> DataFrame:
     attributes = ("BusinessUnit", "Division", "JobFunctionDescription")
-    one = collapse_by_key(staging, ["Title", "DepartmentType"], attributes)
+    one = collapse_by_key(staging, ["Title", "DepartmentType"], attributes, match)
     return one.withColumnRenamed("DepartmentType", "Department")
 
 
-def location_members(staging: DataFrame) -> DataFrame:
-    one = collapse_by_key(staging, ["LocationCode"], ["State", "Location"])
+def location_members(staging: DataFrame, match: Match = exact) -> DataFrame:
+    one = collapse_by_key(staging, ["LocationCode"], ["State", "Location"], match)
     return one.withColumnRenamed("Location", "City")
 
 
-def training_members(staging: DataFrame) -> DataFrame:
-    one = collapse_by_key(staging, ["Training_Program_Name", "Trainer"], ["Training_Type"])
+def training_members(staging: DataFrame, match: Match = exact) -> DataFrame:
+    one = collapse_by_key(staging, ["Training_Program_Name", "Trainer"], ["Training_Type"], match)
     return one.select(
         F.col("Training_Program_Name").alias("ProgramName"),
         F.col("Training_Type").alias("TrainingType"),
@@ -70,13 +73,13 @@ def training_members(staging: DataFrame) -> DataFrame:
     )
 
 
-def dim_members(staging: DataFrame, as_of: dt.date) -> dict[str, DataFrame]:
+def dim_members(staging: DataFrame, as_of: dt.date, match: Match = exact) -> dict[str, DataFrame]:
     """One row per natural key and dimension, named like the dimension, without surrogate keys."""
     return {
-        "Dim_Employee": employee_members(staging, as_of),
-        "Dim_Job": job_members(staging),
-        "Dim_Location": location_members(staging),
-        "Dim_Training": training_members(staging),
+        "Dim_Employee": employee_members(staging, as_of, match),
+        "Dim_Job": job_members(staging, match),
+        "Dim_Location": location_members(staging, match),
+        "Dim_Training": training_members(staging, match),
     }
 
 
@@ -86,11 +89,12 @@ def upsert_dim(
     current: DataFrame | None,
     null_safe: bool = False,
     reference_employee_key: bool = False,
+    match: Match = exact,
 ) -> DataFrame:
     """The dimension after the batch. Before the first load it consists of the unknown member."""
     if current is None:
         current = seed_unknown(empty_table(members.sparkSession, name), name, reference_employee_key)
-    return upsert(current, members, NATURAL[name], SURROGATE[name], DIM_UPDATES[name], null_safe)
+    return upsert(current, members, NATURAL[name], SURROGATE[name], DIM_UPDATES[name], null_safe, match)
 
 
 def load_star(
@@ -101,29 +105,35 @@ def load_star(
     null_safe: bool = False,
     reference_employee_key: bool = False,
     streams: dict[str, int] | None = None,
+    fold_case: bool = False,
 ) -> dict[str, DataFrame]:
     """Merge a stored staging batch into the star under ``root`` and publish all five tables at once.
 
+    Defaults compute what a case-sensitive MERGE would. ``null_safe`` lets NULL key parts match,
+    ``fold_case`` ignores case and trailing blanks in text keys and in the status,
+    ``reference_employee_key`` gives the unknown employee an ordinary key.
+
     The members of a dimension are collapsed once into a written table, because the merge reads them
     several times. The four dimensions are independent and run at the same time; the fact sees them
     as stored, with known sizes.
     """
+    match = folded if fold_case else exact
     star = read_star(spark, root) or {}
     snapshot = Snapshot(spark, root)
 
     def load_dim(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
         name, members = item
         members = materialise(members, f"members-{name}")
-        merged = upsert_dim(name, members, star.get(name), null_safe, reference_employee_key)
+        merged = upsert_dim(name, members, star.get(name), null_safe, reference_employee_key, match)
         stored = snapshot.write(name, merged)
         if name in UNIQUE_DIMS:
             assert_unique(stored, NATURAL[name])
         return name, stored
 
-    members = dim_members(staging, as_of)
+    members = dim_members(staging, as_of, match)
     with ThreadPoolExecutor(len(members)) as pool:
         loaded = dict(pool.map(inheritable_thread_target(spark)(load_dim), members.items()))
-    fact = upsert_fact(star.get("Fact_HR"), staging, loaded, as_of)
+    fact = upsert_fact(star.get("Fact_HR"), staging, loaded, as_of, match)
     loaded["Fact_HR"] = snapshot.write("Fact_HR", fact)
     snapshot.commit(streams)
     return loaded

@@ -74,6 +74,22 @@ def test_null_part_of_a_key(spark, staging, root, as_of, null_safe, copies):
     assert rows(star["Fact_HR"], "JobKey") == [(-1,)]
 
 
+def test_folded_keys_match_whatever_their_case(spark, staging, root, as_of):
+    rows_of = [("Analyst", "Sales", "Active"), ("ANALYST ", "sales", "active"), ("clerk", "Sales", "Left")]
+    batch = staging(
+        *[
+            person(i, Title=t, DepartmentType=d, EmployeeStatus=s, BusinessUnit=t[0])
+            for i, (t, d, s) in enumerate(rows_of)
+        ]
+    )
+    star = load_star(spark, batch, root, as_of, fold_case=True)
+    star = load_star(spark, batch, root, as_of, fold_case=True)
+    jobs = star["Dim_Job"].where("JobKey > 0")
+    assert {r[1:] for r in rows(jobs, "JobKey", "Title", "Department")} == {("ANALYST ", "Sales"), ("clerk", "Sales")}
+    found = {r["EmployeeID"]: (r["JobKey"], r["AttritionFlag"]) for r in star["Fact_HR"].collect()}
+    assert found[0] == found[1] and found[0][1] == 0 and found[2][0] != found[0][0] and found[2][1] == 1
+
+
 def test_fact_update_list(spark, staging, root, as_of):
     load_star(spark, staging(person(1, Title="A", DepartmentType="D", Engagement_Score=1, PayZone="X")), root, as_of)
     later = dt.date(2026, 2, 1)
