@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from staffmart.operators.fact import with_tenure
 from staffmart.operators.joins import lookup
 
+# The features, the label and the columns carried along.
 NUMERIC = (
     "Age", "TenureDays", "EngagementScore", "SatisfactionScore", "WorkLifeBalanceScore", "TrainingCost",
 )

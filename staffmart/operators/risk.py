@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from staffmart.operators.features import LABEL, ROW_KEY
 from staffmart.session import scratch_root
 
+# Settings of the boosted trees.
+TREES, LEARNING_RATE, DEPTH, SUBSAMPLE, SEED = 150, 0.03, 4, 0.8, 42
+
 RANKED_COLUMNS = ("FullName", "Email", "PayZone", "SatisfactionScore", "FlightRiskScore")
 
 
 def fit_risk(
-    train: DataFrame, features: Sequence[str], trees: int = 150, seed: int = 42
+    train: DataFrame, features: Sequence[str], trees: int = TREES, seed: int = SEED
 ) -> Model:
     """Boosted trees over ``features`` with column ``weight``. Give it a stored training table.
 
@@ -34,9 +37,9 @@ def fit_risk(
         featuresCol="features",
         weightCol="weight",
         maxIter=trees,
-        stepSize=0.03,
-        maxDepth=4,
-        subsamplingRate=0.8,
+        stepSize=LEARNING_RATE,
+        maxDepth=DEPTH,
+        subsamplingRate=SUBSAMPLE,
         seed=seed,
     )
     return Pipeline(stages=[assembler, booster]).fit(train)

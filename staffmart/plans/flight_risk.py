@@ -21,7 +21,7 @@ from staffmart.operators.features import (
     one_hot_names,
     stratified_split,
 )
-from staffmart.operators.risk import fit_risk, score
+from staffmart.operators.risk import TREES, fit_risk, score
 from staffmart.session import materialise
 
 
@@ -37,14 +37,14 @@ def encoded_features(star: Mapping[str, DataFrame], as_of: dt.date) -> tuple[Dat
     return materialise(split, "features"), [*NUMERIC, *one_hot_names(levels)]
 
 
-def train_risk(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = 150):
+def train_risk(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = TREES):
     """(model, stored feature table). Training sees the rows outside the test share."""
     table, features = encoded_features(star, as_of)
     train = class_weight(table.where(~F.col("is_test"))).select(LABEL, "weight", *features)
     return fit_risk(train, features, trees), table
 
 
-def scored_active(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = 150) -> DataFrame:
+def scored_active(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = TREES) -> DataFrame:
     """Active staff with FlightRiskScore; no active staff gives no rows."""
     model, table = train_risk(star, as_of, trees)
     found = score(model, active_rows(table))

@@ -36,7 +36,7 @@ DATE_HEADERS = ("StartDate", "ExitDate", "DOB", "Survey Date", "Training Date")
 # Index columns a CSV export may carry: an empty header cell, as pandas and as Spark name it.
 INDEX_HEADERS = ("Unnamed: 0", "_c0")
 
-# Staging layout: (column, type). A number means text of at most that many characters.
+# The staging layout, (column, type). A number means text of at most that many characters.
 STAGING_COLUMNS = (
     ("Employee_ID", "int"),
     ("FirstName", 100),
@@ -99,6 +99,7 @@ STAGING_SCHEMA = struct(STAGING_COLUMNS)
 STAGING_NAMES = tuple(STAGING_SCHEMA.names)
 STAGING_MAX_LENGTH = {name: kind for name, kind in STAGING_COLUMNS if isinstance(kind, int)}
 
+# The star schema. TenureDays is not stored; readers add it.
 STAR_COLUMNS = {
     "Dim_Employee": (
         ("EmployeeKey", "long"),

@@ -65,7 +65,7 @@ def test_class_weight(spark):
     found = dict(tuple(r) for r in class_weight(train).distinct().collect())
     assert found == {0: 1.0, 1: pytest.approx(8 / 2 * 0.6)}
     with pytest.raises(Exception, match="no leavers"):
-        class_weight(spark.range(3).selectExpr("0 AttritionFlag")).collect()
+        class_weight(spark.range(3).selectExpr("int(id div 5) AttritionFlag")).collect()
 
 
 def test_report_against_hand_counts(spark):
