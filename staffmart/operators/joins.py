@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A right side of at most this many bytes is broadcast; its size is looked up, never assumed.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 10 * 1024 * 1024
 # The most frequent left keys are spread over this many tasks each. Any key outside the first
 # HOT_KEYS holds less than 1/HOT_KEYS of the rows, so it fits an ordinary task.
 HOT_KEYS = 256

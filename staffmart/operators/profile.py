@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def profile(df: DataFrame, exit_column: str = "ExitDate") -> DataFrame:
     )
 
 
+def future_births(df: DataFrame, as_of: dt.date, column: str = "DOB") -> DataFrame:
+    """Rows whose birth date lies after ``as_of``: two-digit years read as 20xx, ages come out negative."""
+    return df.agg(F.count_if(F.col(column) > F.lit(as_of)).alias("future_births"))
+
+
 def preview(df: DataFrame, n: int = 10, order_by=None) -> DataFrame:
     """First ``n`` rows of an explicit order (planned as top-n per task, then one merge)."""
     return df.orderBy(*(order_by or [quoted(name) for name in df.columns])).limit(n)

@@ -11,9 +11,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one of our own only where none is named (tests)."""
+    """The shared folder the cluster names. One of our own is made only in local mode without any."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
         root = tempfile.mkdtemp(prefix="staffmart-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")

@@ -16,7 +16,7 @@ from staffmart.operators.cleaning import (
     null_tokens,
     trim_text,
 )
-from staffmart.operators.profile import is_loadable, preview, profile
+from staffmart.operators.profile import future_births, is_loadable, preview, profile
 from staffmart.sources.csv import read_batch
 from staffmart.sources.warehouse import read_staging, write_staging
 
@@ -88,6 +88,11 @@ def test_profile_before_and_after_cleaning(spark, tmp_path, as_of):
     assert tuple(profile(clean(raw, as_of)).first()) == (3, 2, 2, 1)
 
 
+def test_births_in_the_future_are_counted(spark, tmp_path, as_of):
+    raw = read_batch(spark, csv(tmp_path, "DOB\n07-10-69\n07-10-80\ngarbage\n"))
+    assert future_births(clean(raw, as_of), as_of).first()[0] == 1
+
+
 def test_preview_and_gate(spark, tmp_path):
     raw = read_batch(spark, csv(tmp_path, "a\n3\n1\n2\n"))
     assert [r[0] for r in preview(raw, 2).collect()] == ["1", "2"]
