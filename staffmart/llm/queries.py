@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.llm import toxicity
+from staffmart.llm import line_dedup, toxicity
 from staffmart.llm.text import fold, table
 
 
@@ -20,5 +20,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_toxicity": op7_toxicity}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op7_toxicity": op7_toxicity, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {}
