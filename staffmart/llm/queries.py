@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.llm import line_dedup, toxicity
+from staffmart.llm import line_dedup, ngram_join, toxicity
 from staffmart.llm.text import fold, table
 
 
@@ -25,5 +25,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op7_toxicity": op7_toxicity, "op10_line_dedup": op10_line_dedup}
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op7_toxicity": op7_toxicity, "op10_line_dedup": op10_line_dedup}
 ORACLES: dict[str, str] = {}
