@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.llm import line_dedup, ngram_join, toxicity
+from staffmart.llm import decontamination, line_dedup, ngram_join, packing, toxicity
 from staffmart.llm.text import fold, table
 
 
@@ -29,5 +29,20 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join, "op7_toxicity": op7_toxicity, "op10_line_dedup": op10_line_dedup}
-ORACLES: dict[str, str] = {}
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), packing.tokenizer_path())
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_packing": op3_packing,
+    "op7_toxicity": op7_toxicity,
+    "op10_line_dedup": op10_line_dedup,
+}
+ORACLES = {"op1_decontamination": decontamination.ORACLE}
