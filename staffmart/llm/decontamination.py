@@ -58,7 +58,8 @@ def contained_items(
 
     def hits(rows: DataFrame, table: DataFrame) -> DataFrame:
         """(doc_id, item_id, shingle): shingles of ``rows`` that are in ``table``."""
-        probes = shingled(rows, id_col, text_col).select(F.col("id").alias("doc_id"), F.explode("shingles").alias("probe"))
+        # explode would have its array computed a second time, in a filter below it
+        probes = shingled(rows, id_col, text_col).select(F.col("id").alias("doc_id"), F.explode_outer("shingles").alias("probe"))
         single = materialise(table.select("shingle").distinct(), "probes")
         met = lookup(probes, single, [("probe", "shingle")], how="left_semi")
         return met.join(table, F.col("probe") == F.col("shingle")).select("doc_id", "item_id", "shingle")
