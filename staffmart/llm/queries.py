@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffmart.llm import decontamination, line_dedup, ngram_join, packing, toxicity
+from staffmart.llm import (
+    decontamination,
+    licenses,
+    line_dedup,
+    ngram_join,
+    packing,
+    perplexity,
+    quality,
+    secrets,
+    toxicity,
+)
 from staffmart.llm.text import fold, table
 
 
@@ -38,11 +48,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        (fold(F.col("id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), *perplexity.COUNTS, "base_failed", "kept", "log_perplexity")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
+    "op6_perplexity": op6_perplexity,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle()}
