@@ -14,6 +14,7 @@ from staffmart.llm import (
     perplexity,
     quality,
     secrets,
+    suffix_dedup,
     toxicity,
 )
 from staffmart.llm.text import fold, table
@@ -58,6 +59,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge(table(spark, sf_dir, "documents"))
     return judged.select(F.col("id").alias("doc_id"), *perplexity.COUNTS, "base_failed", "kept", "log_perplexity")
@@ -76,6 +81,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_perplexity": op6_perplexity,
     "op7_toxicity": op7_toxicity,
     "op8_licenses": op8_licenses,
