@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from staffmart.catalog.inputs import batch, raw_people, raw_people_csv
 from staffmart.catalog.staging_sql import staging_cte
 from staffmart.functions.dates import parse_date_dayfirst
-from staffmart.operators.cleaning import cast_to_staging, clean, drop_exact_duplicates
+from staffmart.operators.cleaning import cast_to_staging, clean, drop_exact_duplicates, nan_to_null
 from staffmart.operators.profile import preview, profile
 from staffmart.operators.upsert import ambiguous_matches, collapse_by_key, repeated_keys
 from staffmart.session import fresh_dir
+from staffmart.sources.csv import read_batch
 from staffmart.sources.derived import AS_OF, read
 from staffmart.sources.warehouse import write_staging
 
@@ -48,6 +49,23 @@ def dates_dayfirst(spark, sf_dir):
     return texts.select("o_orderkey", parse_date_dayfirst(F.col("written"), AS_OF).alias("day"))
 
 
+def csv_messy_files(spark, sf_dir):
+    """Customers written as two sets of files with the columns in another order, with quoted line breaks in the names."""
+    people = read(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat("c_name", F.lit('\n"second", line'))).otherwise(F.col("c_name"))
+    people = people.select("c_custkey", name.alias("c_name"), "c_mktsegment")
+    folder = fresh_dir(spark, "messy")
+    for odd, columns in enumerate((["c_custkey", "c_name", "c_mktsegment"], ["c_mktsegment", "c_name", "c_custkey"])):
+        part = people.where(F.col("c_custkey") % 2 == odd).select(*columns)
+        part.write.mode("append").option("header", True).option("escape", '"').csv(folder)
+    return read_batch(spark, folder, multiline=True).select("c_custkey", "c_name", "c_mktsegment")
+
+
+def nan_cleared(spark, sf_dir):
+    balance = F.when(F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return nan_to_null(read(spark, sf_dir, "customer").select("c_custkey", balance.alias("c_acctbal")))
+
+
 def typed_quarantine(spark, sf_dir):
     key = F.col("o_orderkey")
     raw = read(spark, sf_dir, "orders").select(
@@ -93,6 +111,8 @@ QUERIES = {
     "csv_roundtrip_clean": csv_roundtrip_clean,
     "dedup_exact": dedup_exact,
     "dates_dayfirst": dates_dayfirst,
+    "csv_messy_files": csv_messy_files,
+    "nan_cleared": nan_cleared,
     "typed_quarantine": typed_quarantine,
     "batch_profile": batch_profile,
     "batch_preview": batch_preview,
@@ -126,6 +146,11 @@ FROM copies""",
     "dedup_exact": "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem",
     "dates_dayfirst": """
 SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
+    "csv_messy_files": """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
+       c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '"second", line' ELSE '' END AS c_name, c_mktsegment
+FROM customer""",
+    "nan_cleared": "SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS c_acctbal FROM customer",
     "typed_quarantine": """
 WITH raw AS (
   SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'abc' ELSE CAST(o_orderkey AS VARCHAR) END AS Employee_ID,

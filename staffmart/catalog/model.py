@@ -57,6 +57,22 @@ def accuracy(spark, sf_dir):
     return found.select(F.round("accuracy", 6).alias("accuracy"))
 
 
+def rule_scored(spark, sf_dir):
+    """Active staff with a fixed rule in place of the model's probability, in steps that meet every rounding case."""
+    steps = F.col("SatisfactionScore") * 100 + F.pmod(F.col("TenureDays"), F.lit(300.0))
+    return feat.active_rows(filled_features(spark, sf_dir)).withColumn("FlightRiskScore", risk.percent(steps / 800))
+
+
+def risk_rank_by_rule(spark, sf_dir):
+    path = fresh_dir(spark, "rule-ranked")
+    write_ranked(risk.rank_risk(rule_scored(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+def risk_top5_by_rule(spark, sf_dir):
+    return risk.top_k(rule_scored(spark, sf_dir), 5)
+
+
 _scored: dict[str, DataFrame] = {}
 
 
@@ -86,6 +102,8 @@ QUERIES = {
     "class_weight": class_weight,
     "accuracy": accuracy,
     "classification_report": classification_report,
+    "risk_rank_by_rule": risk_rank_by_rule,
+    "risk_top5_by_rule": risk_top5_by_rule,
     "flight_risk_ranked": flight_risk_ranked,
     "flight_risk_top5": flight_risk_top5,
 }
@@ -125,6 +143,12 @@ guessed AS (
   SELECT AttritionFlag AS y, CASE WHEN SatisfactionScore <= 3 OR TenureDays < 1500 THEN 1 ELSE 0 END AS p
   FROM split WHERE is_test)"""
 
+RULE_RANKED = f"""{FEATURES},
+ranked AS (
+  SELECT FullName, Email, PayZone, SatisfactionScore, FactKey,
+         round_even((SatisfactionScore * 100 + TenureDays % 300) / 800 * 100, 2) AS FlightRiskScore
+  FROM filled WHERE EmployeeStatus = 'Active')"""
+
 # Levels that occur in the derived staging, without the first of each column.
 LEVELS = {
     "Gender": ("Male",),
@@ -140,6 +164,9 @@ FLAGS = ",\n       ".join(
 )
 
 ORACLES = {
+    "risk_rank_by_rule": f"WITH {RULE_RANKED} SELECT * EXCLUDE (FactKey) FROM ranked",
+    "risk_top5_by_rule": f"""
+WITH {RULE_RANKED} SELECT * EXCLUDE (FactKey) FROM ranked ORDER BY FlightRiskScore DESC, FactKey LIMIT 5""",
     "feature_impute": f"WITH {FEATURES} SELECT * FROM filled",
     "one_hot_levels": f"WITH {FEATURES} SELECT FactKey, {FLAGS} FROM filled",
     "stratified_split": f"WITH {SPLIT} SELECT FactKey, AttritionFlag, is_test FROM split",

@@ -20,15 +20,23 @@ DATE_SHAPES = (
     (r"^\d{1,2}-[A-Za-z]{4,}-\d{4}$", ("d-MMMM-yyyy",)),
     (r"^[A-Za-z]{3}-\d{1,2}-\d{4}$", ("MMM-d-yyyy",)),
     (r"^[A-Za-z]{4,}-\d{1,2}-\d{4}$", ("MMMM-d-yyyy",)),
+    (r"^[A-Za-z]{3}-\d{1,2}-\d{2}$", ("MMM-d-yy",)),
+    (r"^\d{4}-[A-Za-z]{3}-\d{1,2}$", ("yyyy-MMM-d",)),
+    (r"^\d{4}-[A-Za-z]{4,}-\d{1,2}$", ("yyyy-MMMM-d",)),
+    (r"^[A-Za-z]{3}-\d{4}$", ("MMM-yyyy",)),
+    (r"^[A-Za-z]{4,}-\d{4}$", ("MMMM-yyyy",)),
+    (r"^\d{4}-\d{1,2}$", ("yyyy-M",)),
     (r"^\d{1,2}-\d{4}$", ("M-yyyy",)),
     (r"^\d{4}$", ("yyyy",)),
 )
 
 
 def date_text(col: Column) -> Column:
-    """The text without its time of day and with "-" as the only separator."""
-    no_time = F.regexp_replace(F.trim(col), r"[T ]\d{1,2}:\d{2}.*$", "")
-    return F.regexp_replace(no_time, r"[/., ]+", "-")
+    """The text without weekday, ordinal ending and time of day, and with "-" as the only separator."""
+    plain = F.regexp_replace(F.trim(col), r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?[., ]+", "")
+    plain = F.regexp_replace(plain, r"(?i)([T ]\d{1,2}:\d{2}.*| \d{1,2} ?[ap]\.?m\.?)$", "")
+    plain = F.regexp_replace(plain, r"(?i)(?<=\d)(st|nd|rd|th)(?![a-z])", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?i)\bsept\b", "Sep"), r"[/., ]+", "-")
 
 
 def read_date_text(unified: Column, as_of: dt.date) -> Column:

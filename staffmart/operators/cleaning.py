@@ -57,8 +57,11 @@ def canonical_numbers(df: DataFrame) -> DataFrame:
     }
 
     def spell(col: Column) -> Column:
-        plain = strip_text(col).try_cast("decimal(38,10)").cast("string")
-        return F.coalesce(F.regexp_replace(plain, r"\.?0+$", ""), col)
+        # Plain decimals are respelled as text, so no digit is lost; other notations keep their spelling.
+        plain = F.regexp_replace(strip_text(col), r"^[+]|(?<=^-|^|^[+])0+(?=\d)", "")
+        plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        plain = F.when(plain == "-0", "0").otherwise(plain)
+        return F.when(strip_text(col).rlike(r"^[+-]?\d+(\.\d*)?$"), plain).otherwise(col)
 
     return map_columns(df, spell, lambda f: is_text(f) and RENAMES.get(f.name, f.name) in numeric)
 

@@ -72,17 +72,24 @@ def lookup_dims(
     small: Mapping[str, bool] | None = None,
     hot_from: DataFrame | None = None,
     match: Callable[[Column], Column] = exact,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Left lookups of the four surrogate keys; unresolved ones stay NULL.
 
-    Members with a NULL key part cannot match and leave first, which makes the rest unique. Only the
+    Members with a NULL key part cannot match and leave first, which makes the rest unique; with ``null_safe``
+    NULL parts match each other, and the unknown member is no candidate. Only the
     key columns of a dimension travel. Key frequencies, where they matter, are counted on
     ``hot_from``, a stored table with the lookup columns, instead of on the joins so far.
     """
     types = dict(rows.dtypes)
 
+    def marked(value: Column) -> Column:
+        """With ``null_safe`` a text that tells NULL from every value, else the value."""
+        return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("")) if null_safe else value
+
     def compared(name: str) -> Column:
-        return (match(F.col(name)) if types[name] == "string" else F.col(name)).alias(f"_m_{name}")
+        value = match(F.col(name)) if types[name] == "string" else F.col(name)
+        return marked(value).alias(f"_m_{name}")
 
     keys = [c for columns in LOOKUP_KEYS.values() for c in columns]
     found = rows.select("*", *[compared(c) for c in keys])
@@ -90,10 +97,14 @@ def lookup_dims(
     for name, columns in LOOKUP_KEYS.items():
         natural = NATURAL[name]
         members = dims[name].select(SURROGATE[name], *[F.col(n).alias(f"_n_{n}") for n in natural])
-        members = members.dropna(subset=[f"_n_{n}" for n in natural])
+        if null_safe:
+            members = members.where(F.col(SURROGATE[name]) != -1)
+        else:
+            members = members.dropna(subset=[f"_n_{n}" for n in natural])
         members = members.withColumns(
             {f"_n_{n}": match(F.col(f"_n_{n}")) for n in natural if dict(dims[name].dtypes)[n] == "string"}
         )
+        members = members.withColumns({f"_n_{n}": marked(F.col(f"_n_{n}")) for n in natural})
         found = lookup(
             found,
             members,
@@ -119,6 +130,7 @@ def new_facts(
     dims: Mapping[str, DataFrame],
     existing: DataFrame | None = None,
     match: Callable[[Column], Column] = exact,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Fact rows for ``rows``, those of the stored batch ``source`` that have none yet.
 
@@ -126,7 +138,7 @@ def new_facts(
     scan, and the joins run once.
     """
     numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=fits_broadcast(source))
-    found = lookup_dims(numbered, dims, hot_from=source, match=match)
+    found = lookup_dims(numbered, dims, hot_from=source, match=match, null_safe=null_safe)
     found = found.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
     return found.select(*FACT_COLUMNS)
 
@@ -137,6 +149,7 @@ def upsert_fact(
     dims: Mapping[str, DataFrame],
     as_of: dt.date,
     match: Callable[[Column], Column] = exact,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Update the changeable columns of known employees, insert rows for the others.
 
@@ -145,7 +158,7 @@ def upsert_fact(
     """
     source = fact_source(staging, as_of, match)
     if fact is None:
-        return new_facts(source, source, dims, match=match)
+        return new_facts(source, source, dims, match=match, null_safe=null_safe)
     assert_single_match(source, fact, "EmployeeID")
     small = fits_broadcast(staging)
     updated = upsert_many(fact, source, "EmployeeID", FACT_UPDATES, small=small)
@@ -154,7 +167,7 @@ def upsert_fact(
     fresh = lookup(source, known, [("EmployeeID", "_known")], "left_anti", small=fits_broadcast(fact))
     if not small:
         fresh = materialise(fresh, "fresh")  # read twice: to count and to number
-    return updated.unionByName(new_facts(fresh, source, dims, fact, match))
+    return updated.unionByName(new_facts(fresh, source, dims, fact, match, null_safe))
 
 
 def with_tenure(fact: DataFrame, as_of: dt.date) -> DataFrame:

@@ -143,11 +143,14 @@ def turnover(fact: DataFrame, as_of: dt.date, period: str = "year") -> DataFrame
 
 
 def time_intelligence(df: DataFrame, day: str, value: Column) -> DataFrame:
-    """Monthly totals with running total, previous month and year to date.
+    """Monthly totals with running total, previous month and year to date; months without rows total 0.
 
     The windows run over monthly totals: a few hundred rows for any amount of data.
     """
-    monthly = df.groupBy(F.trunc(day, "month").alias("month")).agg(F.sum(value).alias("total"))
+    found = df.where(F.col(day).isNotNull()).groupBy(F.trunc(day, "month").alias("month")).agg(F.sum(value).alias("total"))
+    span = F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))
+    monthly = found.agg(span.alias("months")).select(F.explode("months").alias("month")).join(found, "month", "left")
+    monthly = monthly.withColumn("total", F.coalesce("total", F.lit(0).cast(found.schema["total"].dataType)))
     so_far = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     in_year = Window.partitionBy(F.year("month")).orderBy("month").rowsBetween(
         Window.unboundedPreceding, Window.currentRow

@@ -8,7 +8,7 @@ from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.operators.features import LABEL, ROW_KEY
@@ -45,10 +45,15 @@ def fit_risk(
     return Pipeline(stages=[assembler, booster]).fit(train)
 
 
+def percent(probability: Column) -> Column:
+    """A probability in percent, two decimals, halves to even."""
+    return F.bround(probability * 100, 2)
+
+
 def score(model: Model, df: DataFrame) -> DataFrame:
-    """Probability of leaving in percent, two decimals, halves to even."""
+    """Probability of leaving in percent."""
     risk = vector_to_array(F.col("probability"))[1]
-    return model.transform(df).withColumn("FlightRiskScore", F.bround(risk * 100, 2))
+    return model.transform(df).withColumn("FlightRiskScore", percent(risk))
 
 
 def rank_risk(scored: DataFrame, key: str = ROW_KEY) -> DataFrame:

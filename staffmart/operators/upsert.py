@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from staffmart.functions.text import exact
 from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.operators.keys import allocate_keys
+from staffmart.session import materialise
 
 
 class DuplicateKeyError(ValueError):
@@ -113,7 +114,10 @@ def upsert(
         )
     fresh = incoming.join(target.select(*keys), condition, "left_anti")
     fresh = fresh.select(*[F.col(f"_s_{name}").alias(name) for name in source.columns])
-    fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=fits_broadcast(source))
+    small = fits_broadcast(source)
+    if not small:
+        fresh = materialise(fresh, "fresh")  # read twice: to count and to number
+    fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=small)
     return kept.unionByName(fresh.select(*columns))
 
 

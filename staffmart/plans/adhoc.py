@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from staffmart.schema import STAR_TABLES
 from staffmart.sources.warehouse import register_star
 
 # Functions that reach out of SQL into the JVM.
@@ -17,17 +18,30 @@ class RefusedStatement(ValueError):
     """The statement is not a query over the star."""
 
 
+def relations(session: SparkSession, query: str) -> set[str]:
+    """Names of all tables that a query reads, those of its own WITH clauses left out."""
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(query).toString()
+    named = set(re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan))
+    own = {name for group in re.findall(r"CTE \[([^\]]*)\]", plan) for name in group.split(", ")}
+    return {name.replace(", ", ".").lower() for name in named} - {name.lower() for name in own}
+
+
 def run_sql(spark: SparkSession, statement: str, root: str, as_of: dt.date) -> DataFrame:
-    """Run one query in a session that knows only the five views of the current snapshot.
+    """Run one query over the five views of the current snapshot.
 
-    The statement is placed inside a query, so anything but a query fails to parse; unknown tables
-    and columns fail analysis; paths cannot be read as tables. This guards against mistakes and is
-    not a security boundary. An empty result is a result.
+    The statement is placed inside a query, so anything but a query fails to parse. Every table it names must be one of the
+    five views, whatever else the catalog holds; paths cannot be read as tables. This guards against
+    mistakes and is not a security boundary. An empty result is a result.
     """
-    if re.search(rf"(?i)\b({'|'.join(REFUSED_FUNCTIONS)})\b", statement):
+    without_text = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", statement)
+    if re.search(rf"(?i)\b({'|'.join(REFUSED_FUNCTIONS)})\s*\(", without_text):
         raise RefusedStatement("function not available in ad-hoc queries")
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
     session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
     register_star(session, root, as_of)
-    return session.sql(f"SELECT * FROM (\n{statement.strip().rstrip(';')}\n)")
+    query = f"SELECT * FROM (\n{statement.strip().rstrip(';')}\n)"
+    others = relations(session, query) - {name.lower() for name in STAR_TABLES}
+    if others:
+        raise RefusedStatement(f"not one of the five tables: {sorted(others)}")
+    return session.sql(query)

@@ -21,7 +21,7 @@ from staffmart.operators.features import (
     one_hot_names,
     stratified_split,
 )
-from staffmart.operators.risk import TREES, fit_risk, score
+from staffmart.operators.risk import TREES, classification_report, fit_risk, score
 from staffmart.session import materialise
 
 
@@ -30,7 +30,7 @@ def encoded_features(star: Mapping[str, DataFrame], as_of: dt.date) -> tuple[Dat
 
     Pay zone stays aboard as text for the ranked list next to its 0/1 columns.
     """
-    filled = impute(feature_frame(star, as_of))
+    filled = materialise(impute(feature_frame(star, as_of)), "filled")  # read for levels, split and marking
     levels = category_levels(filled, CATEGORICAL)
     wide = one_hot(filled.withColumn("_zone", F.col("PayZone")), CATEGORICAL, levels)
     split = stratified_split(wide.withColumnRenamed("_zone", "PayZone"))
@@ -44,6 +44,11 @@ def train_risk(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = TREES
     return fit_risk(train, features, trees), table
 
 
+def evaluate_risk(model, table: DataFrame) -> DataFrame:
+    """Accuracy and class report of the trained model on the test share of its feature table."""
+    return classification_report(model.transform(table.where("is_test")))
+
+
 def scored_active(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = TREES) -> DataFrame:
     """Active staff with FlightRiskScore; no active staff gives no rows."""
     model, table = train_risk(star, as_of, trees)

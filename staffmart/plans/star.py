@@ -133,7 +133,7 @@ def load_star(
     members = dim_members(staging, as_of, match)
     with ThreadPoolExecutor(len(members)) as pool:
         loaded = dict(pool.map(inheritable_thread_target(spark)(load_dim), members.items()))
-    fact = upsert_fact(star.get("Fact_HR"), staging, loaded, as_of, match)
+    fact = upsert_fact(star.get("Fact_HR"), staging, loaded, as_of, match, null_safe)
     loaded["Fact_HR"] = snapshot.write("Fact_HR", fact)
     snapshot.commit(streams)
     return loaded
@@ -173,5 +173,8 @@ def load_report(
     return report(True, message, counts)
 
 
-def load_csv(spark: SparkSession, path: str, root: str, as_of: dt.date, **options) -> DataFrame:
-    return load_report(spark, read_batch(spark, path), root, as_of, **options)
+def load_csv(
+    spark: SparkSession, path: str, root: str, as_of: dt.date, multiline: bool = False, **options
+) -> DataFrame:
+    """Load CSV files. Quoted line breaks need ``multiline``; without it they fail the load instead of tearing rows."""
+    return load_report(spark, read_batch(spark, path, multiline), root, as_of, **options)

@@ -8,20 +8,52 @@ from pyspark.sql import functions as F
 from staffmart.schema import CSV_NA_TOKENS
 
 
+class TornRows(ValueError):
+    """Quoted line breaks in files read line by line."""
+
+
+def headers(spark: SparkSession, path: str) -> list:
+    """One row per different header line: its files, and whether any of their lines leaves a quote open.
+
+    One pass over the lines; ids grow along a file, so the least one marks its first line.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"),
+        (quotes % 2 == 1).alias("open"),
+    )
+    files = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max("open").alias("open"))
+    return files.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"), F.max("open").alias("open")).collect()
+
+
 def read_batch(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Read a batch as text columns with the header kept verbatim; missing-value tokens become NULL.
 
-    The header fixes the column list, so no value inference pass runs over the file. Files stay
-    splittable unless ``multiline`` is set, which is needed only for quoted line breaks.
+    Files with different headers are read apart and put together by column name; a column that a file
+    lacks is NULL there. Files stay splittable unless ``multiline`` is set, which quoted line breaks need: without
+    it a line that leaves a quote open raises ``TornRows``.
     """
-    raw = (
+    found = headers(spark, path)
+    if not multiline and any(row["open"] for row in found):
+        raise TornRows(f"quoted line breaks in {path}: read it with multiline=True")
+    reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
         .option("multiLine", multiline)
         .option("escape", '"')
-        .option("enforceSchema", True)
-        .csv(path)
+        .option("enforceSchema", False)
     )
+    parts = [reader.csv(path if len(found) == 1 else row["files"]) for row in found] or [reader.csv(path)]
+    raw = parts[0]
+    for part in parts[1:]:
+        raw = raw.unionByName(part, allowMissingColumns=True)
+    return as_read(raw)
+
+
+def as_read(raw: DataFrame) -> DataFrame:
+    """Missing-value tokens become NULL."""
     tokens = list(CSV_NA_TOKENS)
     columns = [F.col(f"`{name}`") for name in raw.columns]
     return raw.select(

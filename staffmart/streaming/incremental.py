@@ -3,37 +3,67 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from staffmart.operators.cleaning import clean
 from staffmart.operators.profile import is_loadable
 from staffmart.plans.star import load_star
 from staffmart.schema import STAGING_SCHEMA
-from staffmart.session import materialise
-from staffmart.sources.warehouse import current_commit
+from staffmart.session import filesystem, materialise
+from staffmart.sources.csv import as_read
+from staffmart.sources.warehouse import current_commit, write_staging
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gives a streaming query; it lives and dies with the checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def load_arrivals(
-    spark: SparkSession, arrivals: str, root: str, checkpoint: str, as_of: dt.date, stream: str = "arrivals"
+    spark: SparkSession,
+    arrivals: str,
+    root: str,
+    checkpoint: str,
+    as_of: dt.date,
+    stream: str = "arrivals",
+    csv_columns: list[str] | None = None,
 ) -> None:
-    """Load all staging files that arrived since the last call into the star, then stop.
+    """Load all files that arrived since the last call into the star, then stop.
 
-    The id of the last loaded micro-batch is part of the published commit, so a batch that Spark
-    replays after a failure is recognised and skipped.
+    Arrivals are staging Parquet, or with ``csv_columns`` (their header) raw CSV that is cleaned like any batch. The
+    published commit records the run's id and its last micro-batch, so a batch that Spark replays after a failure is
+    recognised and skipped. A run with another checkpoint is another run: nothing of it is skipped.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
+        name = f"{stream}/{run_id(session, checkpoint)}"
         commit = current_commit(session, root)
-        if commit and commit["streams"].get(stream, -1) >= batch_id:
+        if commit and commit["streams"].get(name, -1) >= batch_id:
+            return
+        if not is_loadable(batch):
             return
-        staging = materialise(batch, "arrival")
-        if is_loadable(staging):
-            load_star(session, staging, root, as_of, streams={stream: batch_id})
+        staging = materialise(batch, "arrival") if csv_columns is None else write_staging(clean(as_read(batch), as_of), root)
+        load_star(session, staging, root, as_of, streams={name: batch_id})
 
-    arriving = spark.readStream.schema(STAGING_SCHEMA).parquet(arrivals)
+    if csv_columns is None:
+        arriving = spark.readStream.schema(STAGING_SCHEMA).parquet(arrivals)
+    else:
+        header = ", ".join(f"`{c}` string" for c in csv_columns)
+        # enforceSchema off: a file with another header stops the stream instead of being read by position.
+        reader = spark.readStream.schema(header).option("header", True).option("escape", '"')
+        arriving = reader.option("enforceSchema", False).option("multiLine", True).csv(arrivals)
+    run_batches(arriving, load, checkpoint)
+
+
+def run_batches(arriving: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand everything that is there to ``handle``, batch by batch."""
     query = (
-        arriving.writeStream.foreachBatch(load)
+        arriving.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -42,6 +72,26 @@ def load_arrivals(
 
 
 def drop_repeats(events: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
-    """Streaming duplicate removal: a repeat that arrives within ``lateness`` is dropped, and state
-    older than that is forgotten."""
+    """Duplicate removal inside a stream, with bounded state: a repeat that arrives within ``lateness`` is dropped. Rows that
+    are later than that are dropped too, repeats or not; where every row counts, use ``append_new``."""
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
+
+
+def append_new(events: DataFrame, key: str, path: str, checkpoint: str) -> None:
+    """Append the stream to the table at ``path``, each key once, however late it comes.
+
+    The table itself is the memory: a batch is compared with the keys stored so far. A replayed batch
+    finds its rows there and adds none. A row without a key stops the stream, as nothing could recognise it.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        present = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"row without {key}"))).otherwise(F.col(key))
+        rows = batch.withColumn(key, present.cast(batch.schema[key].dataType)).dropDuplicates([key])
+        fs, folder = filesystem(session, path)
+        if fs.exists(folder):
+            known = session.read.schema(batch.schema).parquet(path).select(key)
+            rows = rows.join(known, key, "left_anti")
+        rows.select(*batch.columns).write.mode("append").parquet(path)
+
+    run_batches(events, handle, checkpoint)

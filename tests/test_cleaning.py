@@ -17,7 +17,7 @@ from staffmart.operators.cleaning import (
     trim_text,
 )
 from staffmart.operators.profile import future_births, is_loadable, preview, profile
-from staffmart.sources.csv import read_batch
+from staffmart.sources.csv import TornRows, read_batch
 from staffmart.sources.warehouse import read_staging, write_staging
 
 
@@ -130,3 +130,45 @@ def test_names_ages_and_fences(spark):
         strip_fences(F.lit("```sql\nSELECT 1\n```")).alias("sql"),
     ).first()
     assert tuple(row) == (" Lee", 26, "SELECT 1")
+
+
+@pytest.mark.parametrize(
+    "text, day",
+    [
+        ("2023-02", dt.date(2023, 2, 1)),
+        ("Mar 2021", dt.date(2021, 3, 1)),
+        ("March 2021", dt.date(2021, 3, 1)),
+        ("Sept 5 2021", dt.date(2021, 9, 5)),
+        ("Fri, 5 Mar 2021", dt.date(2021, 3, 5)),
+        ("5th March 2021", dt.date(2021, 3, 5)),
+        ("Mar 5, 21", dt.date(2021, 3, 5)),
+        ("2021 Mar 5", dt.date(2021, 3, 5)),
+        ("2021-Mar-05", dt.date(2021, 3, 5)),
+        ("1/2/2023 3 pm", dt.date(2023, 2, 1)),
+        ("1 August 2021", dt.date(2021, 8, 1)),
+        ("Friday", None),
+    ],
+)
+def test_more_date_shapes(spark, as_of, text, day):
+    assert spark.range(1).select(parse_date_dayfirst(F.lit(text), as_of)).first()[0] == day
+
+
+def test_numbers_keep_all_their_digits(spark):
+    texts = ["1.00000000001", "1.00000000002", "1", "1.0", "+01.", "-0", "0.0", "1e3", "x", None, "10", "1" * 60]
+    rows = spark.createDataFrame([(t,) for t in texts], "`Training Cost` string")
+    found = {r[0] for r in drop_exact_duplicates(rows).collect()}
+    assert found == {"1.00000000001", "1.00000000002", "1", "0", "1e3", "x", None, "10", "1" * 60}
+
+
+def test_files_with_other_column_orders_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("FirstName,LastName\nBob,Kim\n")
+    (tmp_path / "b.csv").write_text("LastName,FirstName,Title\nLee,Ann,T\n")
+    found = read_batch(spark, str(tmp_path)).select("FirstName", "LastName", "Title").collect()
+    assert {tuple(r) for r in found} == {("Bob", "Kim", None), ("Ann", "Lee", "T")}
+
+
+def test_quoted_line_breaks_are_never_torn(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('FirstName,Title\nBob,"left\nfor good"\n')
+    with pytest.raises(TornRows):
+        read_batch(spark, str(tmp_path))
+    assert [tuple(r) for r in read_batch(spark, str(tmp_path), multiline=True).collect()] == [("Bob", "left\nfor good")]

@@ -17,6 +17,8 @@ from staffmart.operators.risk import (
     score,
     top_k,
 )
+from staffmart.plans.flight_risk import evaluate_risk
+from staffmart.session import materialise
 
 
 def test_median_is_exact_and_interpolated(spark):
@@ -109,3 +111,14 @@ def test_names_match_columns(spark):
 
 def test_halves_go_to_even(spark):
     assert spark.range(1).select(F.bround(F.lit(0.00125) * 100, 2)).first()[0] == 0.12
+
+
+def test_the_trained_model_is_judged_on_its_test_rows(spark):
+    rows = [(i, float(i % 7), float(i % 3), int(i % 7 > 4)) for i in range(400)]
+    table = spark.createDataFrame(rows, "FactKey long, a double, b double, AttritionFlag int")
+    marked = materialise(stratified_split(table), "marked")
+    model = fit_risk(class_weight(marked.where("not is_test")), ["a", "b"], trees=2)
+    report = {r["row"]: r for r in evaluate_risk(model, marked).collect()}
+    assert report["accuracy"]["support"] == marked.where("is_test").count()
+    assert report["0"]["support"] + report["1"]["support"] == report["accuracy"]["support"]
+    assert report["accuracy"]["f1"] > 0.9

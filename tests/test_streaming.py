@@ -6,7 +6,7 @@ from staffmart.plans.star import load_star
 from staffmart.schema import STAR_TABLES
 from staffmart.session import fresh_dir
 from staffmart.sources.warehouse import current_commit, read_star
-from staffmart.streaming.incremental import drop_repeats, load_arrivals
+from staffmart.streaming.incremental import append_new, drop_repeats, load_arrivals
 
 
 def rows(df):
@@ -25,12 +25,40 @@ def test_arrivals_equal_batches_and_replays_change_nothing(spark, staging, as_of
     one, other = read_star(spark, streamed), read_star(spark, batched)
     for name in STAR_TABLES:
         assert rows(one[name]) == rows(other[name])
-    assert current_commit(spark, streamed)["streams"] == {"arrivals": 1}
-    # without its progress folder the stream delivers batch 0 again; the commit knows it
-    load_arrivals(spark, arrivals, streamed, fresh_dir(spark, "progress"), as_of)
+    assert list(current_commit(spark, streamed)["streams"].values()) == [1]
+    # nothing new: the same run loads nothing again
+    load_arrivals(spark, arrivals, streamed, progress, as_of)
     assert current_commit(spark, streamed)["number"] == 2
 
 
+def test_another_run_is_never_skipped(spark, staging, as_of):
+    streamed = fresh_dir(spark, "streamed")
+    for employee in (1, 2):
+        arrivals = fresh_dir(spark, "arrivals")
+        staging({"Employee_ID": employee}).write.parquet(arrivals)
+        load_arrivals(spark, arrivals, streamed, fresh_dir(spark, "progress"), as_of)
+    assert rows(read_star(spark, streamed)["Fact_HR"].select("EmployeeID")) == [(1,), (2,)]
+
+
+def test_raw_csv_arrivals_are_cleaned(spark, as_of):
+    arrivals, streamed = fresh_dir(spark, "arrivals"), fresh_dir(spark, "streamed")
+    raw = spark.createDataFrame([(" 7 ", "Ann", "05/03/2021")], "`Employee ID` string, FirstName string, StartDate string")
+    raw.write.option("header", True).csv(arrivals)
+    load_arrivals(spark, arrivals, streamed, fresh_dir(spark, "progress"), as_of, csv_columns=raw.columns)
+    fact = read_star(spark, streamed)["Fact_HR"]
+    assert rows(fact.select("EmployeeID", "StartDate")) == [(7, dt.date(2021, 3, 5))]
+
+
+def test_late_unique_rows_are_kept(spark):
+    source, sink, progress = (fresh_dir(spark, n) for n in ("in", "out", "progress"))
+    schema = "event_id long, ts timestamp"
+    for when, ids in ((dt.datetime(2026, 1, 9), [1, 2]), (dt.datetime(2026, 1, 1), [2, 3, 3])):
+        spark.createDataFrame([(i, when) for i in ids], schema).write.mode("append").parquet(source)
+        append_new(spark.readStream.schema(schema).parquet(source), "event_id", sink, progress)
+    found = spark.read.schema(schema).parquet(sink).select("event_id")
+    assert rows(found) == [(1,), (2,), (3,)]
+
+
 def test_repeats_are_dropped_across_batches(spark):
     source, sink, progress = (fresh_dir(spark, n) for n in ("in", "out", "progress"))
     start = dt.datetime(2026, 1, 1)
