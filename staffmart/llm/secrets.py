@@ -1,7 +1,6 @@
 """Secrets in texts, also below layers of encoding.
 
-Base patterns run over the text itself. A worklist then unwraps what is encoded: runs with URL escapes, Unicode and hex
-escapes, base64, and compressed data inside base64 or hex. Every decoded layer is scanned with the same patterns and goes
+Base patterns run over the text itself. A worklist then unwraps what is encoded: URL escapes, Unicode and hex escapes, runs of base64, and compressed data inside base64 or hex. Every decoded layer is scanned with the same patterns and goes
 back on the list, until no new layer appears; a layer seen before at the same place is dropped, so cycles end. Spans in
 a layer are mapped to the characters of the text that produced them: exactly through escapes, to the whole run through base64 and compression.
 
@@ -37,7 +36,6 @@ KINDS = [kind for kind, *_ in BASE] + [f"decoded_{kind}" for kind, *_ in BASE]
 HEX = re.compile(r"[0-9a-f]{32,}")
 # No text without one of these has a base match or an encoded run.
 SIGNS = r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[A-Za-z0-9+/_-]{20}"
-ESCAPED = re.compile(r"(?:[^\s\"'<>]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x?[0-9A-Fa-f]+;)[^\s\"'<>]*)+")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]+;|&#x[0-9A-Fa-f]+;)+)")
 ONE_CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#x([0-9A-Fa-f]+);")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
@@ -84,12 +82,12 @@ def as_text(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) == len(text) else None
 
 
-def unescaped(text: str, at: int, end: int) -> Layer | None:
-    """The layer of a run with escapes; places are relative to ``text``."""
+def unescaped(text: str) -> Layer:
+    """A text with all its escapes resolved."""
     out: list[str] = []
     places: list[Span] = []
-    here = at
-    for m in ESCAPE.finditer(text, at, end):
+    here = 0
+    for m in ESCAPE.finditer(text):
         out.extend(text[here : m.start()])
         places.extend((i, i + 1) for i in range(here, m.start()))
         if m[1]:
@@ -110,17 +108,16 @@ def unescaped(text: str, at: int, end: int) -> Layer | None:
                 out.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
                 places.append((one.start(), one.end()))
         here = m.end()
-    out.extend(text[here:end])
-    places.extend((i, i + 1) for i in range(here, end))
+    out.extend(text[here:])
+    places.extend((i, i + 1) for i in range(here, len(text)))
     return "".join(out), places
 
 
 def inner_layers(text: str) -> list[Layer]:
     """What the encoded runs of a text hold, with places in that text."""
     found = []
-    if "%" in text or "\\" in text or "&#" in text:
-        for m in ESCAPED.finditer(text):
-            found.append(unescaped(text, m.start(), m.end()))
+    if ESCAPE.search(text):
+        found.append(unescaped(text))
     for m in BASE64.finditer(text):
         run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         for cut in (run, run[: len(run) - len(run) % 4]):
@@ -135,7 +132,7 @@ def inner_layers(text: str) -> list[Layer]:
         decoded = as_text(bytes.fromhex(m[0]))
         if decoded is not None:
             found.append((decoded, [m.span()] * len(decoded)))
-    return [layer for layer in found if layer is not None]
+    return found
 
 
 def decoded_matches(text: str) -> set[tuple[int, str, int]]:
