@@ -28,21 +28,41 @@ def write_staging(df: DataFrame, root: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{root}/staging/batch-{uuid.uuid4().hex}"
     stored = store(cast_to_staging(df), path)
-    _put(spark, f"{root}/staging/CURRENT", path, overwrite=True)
+    _append_record(spark, f"{root}/staging/records", path)
     return stored
 
 
 def read_staging(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(STAGING_SCHEMA).parquet(_get(spark, f"{root}/staging/CURRENT"))
+    folder = f"{root}/staging/records"
+    return spark.read.schema(STAGING_SCHEMA).parquet(_get(spark, f"{folder}/{_records(spark, folder)[-1]}"))
 
 
-def _put(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    fs, hadoop_path = filesystem(spark, path)
-    out = fs.create(hadoop_path, overwrite)
+def _records(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the whole records in a folder, oldest first."""
+    fs, path = filesystem(spark, folder)
+    if not fs.exists(path):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.endswith(".json"))
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a record that must not exist yet. It gets its name only when it is whole."""
+    fs, target = filesystem(spark, path)
+    _, draft = filesystem(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise PublishConflict(f"{path} was published by another load")
+
+
+def _append_record(spark: SparkSession, folder: str, text: str) -> None:
+    names = _records(spark, folder)
+    number = int(names[-1].split(".")[0]) + 1 if names else 1
+    _put(spark, f"{folder}/{number:010d}.json", text)
 
 
 def _get(spark: SparkSession, path: str) -> str:
@@ -56,11 +76,7 @@ def _get(spark: SparkSession, path: str) -> str:
 
 def current_commit(spark: SparkSession, root: str) -> dict | None:
     """The newest commit record, or None before the first load."""
-    fs, folder = filesystem(spark, f"{root}/commits")
-    if not fs.exists(folder):
-        return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(folder))
-    names = [n for n in names if n.endswith(".json")]
+    names = _records(spark, f"{root}/commits")
     return json.loads(_get(spark, f"{root}/commits/{names[-1]}")) if names else None
 
 
@@ -103,11 +119,28 @@ class Snapshot:
         number = (self.base["number"] if self.base else 0) + 1
         applied = {**(self.base["streams"] if self.base else {}), **(streams or {})}
         record = {"number": number, "path": self.path, "streams": applied}
-        target = f"{self.root}/commits/{number:010d}.json"
-        fs, hadoop_path = filesystem(self.spark, target)
-        if fs.exists(hadoop_path):
-            raise PublishConflict(f"version {number} of {self.root} was published by another load")
-        _put(self.spark, target, json.dumps(record))
+        _put(self.spark, f"{self.root}/commits/{number:010d}.json", json.dumps(record))
+
+
+def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete star versions and staging batches that none of the last ``keep`` records names.
+
+    Readers of a deleted version fail, so call it when no query of an older snapshot runs, and while no load runs:
+    a version in the making has no record yet.
+    """
+    named, dropped = set(), []
+    for name in _records(spark, f"{root}/commits")[-keep:]:
+        named.add(json.loads(_get(spark, f"{root}/commits/{name}"))["path"].rsplit("/", 1)[-1])
+    for name in _records(spark, f"{root}/staging/records")[-keep:]:
+        named.add(_get(spark, f"{root}/staging/records/{name}").rsplit("/", 1)[-1])
+    for folder in (f"{root}/versions", f"{root}/staging"):
+        fs, path = filesystem(spark, folder)
+        for status in fs.listStatus(path) if fs.exists(path) else []:
+            name = status.getPath().getName()
+            if name not in named and name != "records":
+                fs.delete(status.getPath(), True)
+                dropped.append(name)
+    return dropped
 
 
 def publish(spark: SparkSession, snapshot: Mapping[str, DataFrame], root: str) -> None:

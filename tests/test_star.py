@@ -17,9 +17,12 @@ from staffmart.sources.warehouse import (
     PublishConflict,
     Snapshot,
     current_commit,
+    drop_old_versions,
     publish,
+    read_staging,
     read_star,
     read_table,
+    write_staging,
 )
 
 
@@ -243,3 +246,12 @@ def test_adhoc_sql_sees_the_star_only(spark, staging, root, as_of):
             run_sql(spark, statement, root, as_of).collect()
         assert isinstance(error.value, RefusedStatement) or "Exception" in type(error.value).__name__
     assert read_star(spark, root)["Fact_HR"].count() == 1
+
+
+def test_old_versions_go_and_the_last_ones_stay(spark, staging, root, as_of):
+    for employee in (1, 2, 3):
+        batch = write_staging(staging(person(employee)), root)
+        load_star(spark, batch, root, as_of)
+    assert len(drop_old_versions(spark, root, keep=1)) == 4
+    assert read_star(spark, root)["Fact_HR"].count() == 3 and read_staging(spark, root).count() == 1
+    assert drop_old_versions(spark, root, keep=1) == []
