@@ -1,4 +1,8 @@
-"""DuckDB common table expressions that repeat staging, dimensions and fact independently."""
+"""DuckDB common table expressions that repeat staging, dimensions and fact.
+
+Surrogate keys have no meaning of their own, so their numbering rule (order of columns, md5 buckets) is shared with the library; everything
+else is stated anew.
+"""
 
 from __future__ import annotations
 

@@ -32,7 +32,7 @@ CONSTANTS = {
     "TrainingOutcome": "None",
 }
 
-# A category with more levels than this is an identifier, not a feature; encoding it is refused.
+# One column per level is refused beyond this; training uses sparse vectors, which have no such limit.
 MAX_LEVELS = 1000
 SPLIT_DIGITS = 4
 

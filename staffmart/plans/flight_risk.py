@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,9 @@ from staffmart.operators.features import (
     LABEL,
     NUMERIC,
     active_rows,
-    category_levels,
     class_weight,
     feature_frame,
     impute,
-    one_hot,
-    one_hot_names,
     stratified_split,
 )
 from staffmart.operators.risk import TREES, classification_report, fit_risk, score
@@ -28,13 +27,16 @@ from staffmart.session import materialise
 def encoded_features(star: Mapping[str, DataFrame], as_of: dt.date) -> tuple[DataFrame, list[str]]:
     """Imputed, encoded and split feature table, stored once, with its feature column names.
 
-    Pay zone stays aboard as text for the ranked list next to its 0/1 columns.
+    Each category becomes one sparse vector with a place per level, whatever the levels are called and however many there
+    are; a missing value is all zeros.
     """
     filled = materialise(impute(feature_frame(star, as_of)), "filled")  # read for levels, split and marking
-    levels = category_levels(filled, CATEGORICAL)
-    wide = one_hot(filled.withColumn("_zone", F.col("PayZone")), CATEGORICAL, levels)
-    split = stratified_split(wide.withColumnRenamed("_zone", "PayZone"))
-    return materialise(split, "features"), [*NUMERIC, *one_hot_names(levels)]
+    places, levels = [f"{c}Place" for c in CATEGORICAL], [f"{c}Levels" for c in CATEGORICAL]
+    # "keep" gives missing values the last place, which the encoder drops.
+    indexer = StringIndexer(inputCols=list(CATEGORICAL), outputCols=places, handleInvalid="keep", stringOrderType="alphabetAsc")
+    encoder = OneHotEncoder(inputCols=places, outputCols=levels, dropLast=True)
+    encoded = Pipeline(stages=[indexer, encoder]).fit(filled).transform(filled).drop(*places)
+    return materialise(stratified_split(encoded), "features"), [*NUMERIC, *levels]
 
 
 def train_risk(star: Mapping[str, DataFrame], as_of: dt.date, trees: int = TREES):
