@@ -101,7 +101,7 @@ def test_line_dedup(docs):
 
 
 def test_pipeline_stages(spark, docs, labels, items, tmp_path):
-    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    labels.withColumn("toxic", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
