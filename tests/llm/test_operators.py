@@ -200,3 +200,16 @@ def test_near_lines_fall_to_one(spark):
     rows = [(1, " ".join(words) + "\nown line of one"), (2, "own line of two here\n" + " ".join(changed)), (3, " ".join(words)), (4, "quite another text of its own")]
     kept = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {1: rows[0][1], 2: "own line of two here", 3: "", 4: rows[3][1]}
+
+
+def test_lines_that_differ_after_few_characters_stay(spark):
+    from staffmart.llm.line_dedup import dedup_lines
+
+    lines = [
+        "https://example.org/papers/first", "https://sample.net/b", "ftp://example.org/x", "https://a.org/one\tcolumn", "https://a.org/two\tlines",
+        "今日は朝から雨が降っているので家にいます", "今日は朝から山に登って夕方に帰りました", "Thtiononti.", "Thtionble.", "Thtion.", "Thatston.", "Thatstre.",
+    ]
+    near = "今日は朝から雨が降っているので家で本を読みながら音楽を聴いて過ごし、夕方には友人と電話で長く話してから夕食を作りました"
+    docs = spark.createDataFrame([(1, "\n".join([*lines, near])), (2, near + "。"), (3, lines[0])], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
+    assert kept == {1: "\n".join([*lines, near]), 2: "", 3: ""}
