@@ -213,3 +213,21 @@ def test_lines_that_differ_after_few_characters_stay(spark):
     docs = spark.createDataFrame([(1, "\n".join([*lines, near])), (2, near + "。"), (3, lines[0])], "doc_id long, text string")
     kept = {r["doc_id"]: r["text"] for r in dedup_lines(docs).collect()}
     assert kept == {1: "\n".join([*lines, near]), 2: "", 3: ""}
+
+
+def test_near_lines_meet_whatever_their_length_and_neighbours(spark):
+    import random
+
+    from staffmart.llm.line_dedup import dedup_lines
+
+    draw = random.Random(7)
+    line = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    short = [line(n) for n in range(11, 25) for _ in range(12)]
+    hot = [line(100) for _ in range(150)]
+    # One changed end takes 0.83 of the shingles to be shared; the second is too far from the hot line and near to the first.
+    near = [h[:-9] + line(9) for h in hot]
+    far = [line(9) + n[9:] for n in near]
+    texts = ["\n".join([*hot, *short]), "\n".join(hot), "\n".join(near), "\n".join(far), "\n".join(s + "." for s in short)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in dedup_lines(docs).collect()}
+    assert removed == {0: 0, 1: 150, 2: 150, 3: 150, 4: len(short)}
