@@ -4,7 +4,8 @@ Base patterns run over the text itself. A worklist then unwraps what is encoded:
 back on the list, until no new layer appears; a layer seen before at the same place is dropped, so cycles end. Spans in
 a layer are mapped to the characters of the text that produced them: exactly through escapes, to the whole run through base64 and compression.
 
-Decompression stops at 1 MiB a layer, as compressed data can be made to grow without bound. Positions are code points, ends exclusive.
+Compressed data is read to its end, with all its members, and held by the task. Bytes that are no UTF-8 stand as replacement
+characters and cost no layer. Base64 wrapped in lines is decoded as one run. Positions are code points, ends exclusive.
 
 Defined results: a NULL text is empty and has none; rows are scanned each for itself.
 """
@@ -35,12 +36,16 @@ BASE = (
 KINDS = [kind for kind, *_ in BASE] + [f"decoded_{kind}" for kind, *_ in BASE]
 HEX = re.compile(r"[0-9a-f]{32,}")
 # No text without one of these has a base match or an encoded run.
-SIGNS = r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[A-Za-z0-9+/_-]{20}"
+SIGNS = r"password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux][0-9a-f]{2}|&#|[A-Za-z0-9+/_-]{15}|[A-Za-z0-9+/_-]\r?\n[ \t]*[A-Za-z0-9+/_-]"
+SIGN = re.compile(SIGNS, re.I | re.A)
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|((?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]+;|&#x[0-9A-Fa-f]+;)+)")
 ONE_CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#x([0-9A-Fa-f]+);")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){20,}")
-LARGEST = 1 << 20
+# The least data with a secret: 11 bytes, 32 equal hex digits under zlib.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{15,}={0,2}")
+HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){11,}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+PIECE = 1 << 16  # compressed bytes unpacked at a time
 OUT = "struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, spans: string>"
 
 Span = tuple[int, int]
@@ -62,24 +67,34 @@ def joined(found) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in sorted(found, key=lambda f: (f[0], KINDS.index(f[1]), f[2])))
 
 
+class Whole(list):
+    """Places of a layer whose characters all stand for one span."""
+
+    def __getitem__(self, at):
+        return [super().__getitem__(0)] if isinstance(at, slice) else super().__getitem__(0)
+
+
 def unpacked(data: bytes) -> bytes:
-    """``data``, or what it compresses."""
+    """``data``, or what it compresses: all members, and what follows them as it is."""
     makers = ((b"\x1f\x8b", lambda: zlib.decompressobj(31)), (b"\x78", lambda: zlib.decompressobj(15)), (b"BZh", bz2.BZ2Decompressor), (b"\xfd7zXZ", lzma.LZMADecompressor))
     for magic, maker in makers:
         if data.startswith(magic):
-            try:
-                return maker().decompress(data, LARGEST)
-            except (zlib.error, OSError, lzma.LZMAError, EOFError):
-                return data
+            out, rest = [], data
+            while rest.startswith(magic):
+                member, at = maker(), 0
+                try:
+                    while at < len(rest) and not member.eof:
+                        out.append(member.decompress(rest[at : at + PIECE]))
+                        at += PIECE
+                except (zlib.error, OSError, lzma.LZMAError, EOFError):
+                    return b"".join(out) + rest if any(out) else data
+                rest = member.unused_data + rest[at:] if member.eof else b""
+            return b"".join(out) + rest
     return data
 
 
-def as_text(data: bytes) -> str | None:
-    try:
-        text = unpacked(data).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\r\n\t" for c in text) == len(text) else None
+def as_text(data: bytes) -> str:
+    return unpacked(data).decode("utf-8", "replace")
 
 
 def unescaped(text: str) -> Layer:
@@ -118,21 +133,41 @@ def inner_layers(text: str) -> list[Layer]:
     found = []
     if ESCAPE.search(text):
         found.append(unescaped(text))
-    for m in BASE64.finditer(text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for run, span in [(m[0], m.span()) for m in BASE64.finditer(text)] + wrapped_runs(text):
+        run = run.rstrip("=").replace("-", "+").replace("_", "/")
         for cut in (run, run[: len(run) - len(run) % 4]):
             try:
-                decoded = as_text(base64.b64decode(cut + "=" * (-len(cut) % 4), validate=True))
+                found.append((as_text(base64.b64decode(cut + "=" * (-len(cut) % 4), validate=True)), Whole([span])))
+                break
             except (binascii.Error, ValueError):
                 continue
-            if decoded is not None:
-                found.append((decoded, [m.span()] * len(decoded)))
-                break
     for m in HEX_BYTES.finditer(text):
-        decoded = as_text(bytes.fromhex(m[0]))
-        if decoded is not None:
-            found.append((decoded, [m.span()] * len(decoded)))
-    return found
+        found.append((as_text(bytes.fromhex(m[0])), Whole([m.span()])))
+    return [(inner, places) for inner, places in found if SIGN.search(inner)]
+
+
+def wrapped_runs(text: str) -> list[tuple[str, Span]]:
+    """Runs of base64 over several lines, joined, with their spans.
+
+    Lines of one width and a shorter last one make a run; a shorter first line may start behind other text. Words beside the run
+    can look like lines of it, so it is read with and without the first line, and the whole block once more.
+    """
+    runs = set()
+    for block in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE.finditer(text, *block.span())]
+        width = [end - start for start, end in lines]
+        first = 0
+        wanted = {(0, len(lines))}
+        while first < len(lines):
+            last = first + 1
+            while last < len(lines) and width[last] == width[first]:
+                last += 1
+            stop = last + (last < len(lines) and width[last] < width[first])
+            wanted |= {(first, stop), (first - (first > 0 and width[first - 1] < width[first]), stop)}
+            first = last
+        runs |= {tuple(lines[a:b]) for a, b in wanted if b - a > 1}
+    joined_runs = [("".join(text[a:b] for a, b in lines), (lines[0][0], lines[-1][1])) for lines in sorted(runs)]
+    return [(run, span) for run, span in joined_runs if BASE64.match(run)]
 
 
 def decoded_matches(text: str) -> set[tuple[int, str, int]]:
@@ -142,6 +177,7 @@ def decoded_matches(text: str) -> set[tuple[int, str, int]]:
     work: list[Layer] = [(inner, places) for inner, places in inner_layers(text)]
     while work:
         inner, places = work.pop()
+        whole = isinstance(places, Whole)
         start, end = min(p[0] for p in places), max(p[1] for p in places)
         mark = (hashlib.sha256(inner.encode("utf-8", "surrogatepass")).digest(), start, end)
         if mark in seen or text[start:end] == inner:
@@ -151,7 +187,8 @@ def decoded_matches(text: str) -> set[tuple[int, str, int]]:
             found.add((min(p[0] for p in places[at:to]), f"decoded_{kind}", max(p[1] for p in places[at:to])))
         for deeper, own in inner_layers(inner):
             if deeper != inner:
-                work.append((deeper, [(places[a][0], places[b - 1][1]) for a, b in own]))
+                kind_of = Whole if whole or isinstance(own, Whole) else list
+                work.append((deeper, kind_of((places[a][0], places[b - 1][1]) for a, b in (own[:1] if whole else own))))
     return found
 
 

@@ -4,6 +4,7 @@ import base64
 import collections
 import gzip
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -231,3 +232,19 @@ def test_near_lines_meet_whatever_their_length_and_neighbours(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     removed = {r["doc_id"]: r["n_removed"] for r in dedup_lines(docs).collect()}
     assert removed == {0: 0, 1: 150, 2: 150, 3: 150, 4: len(short)}
+
+
+def test_layers_are_read_to_their_end():
+    secret = "password=hunter2hunter2"
+    far = ("é" * (1 << 20) + " " + secret).encode()
+    noisy = "\ufeffü\u00a0\u3000\u00ad\u200d\f".encode() + b"\xff " + secret.encode()
+    members = gzip.compress(b"first ") + gzip.compress(secret.encode())
+    least = base64.b64encode(b"token:abcdefgh").decode().rstrip("=")
+    for hidden in (*(base64.b64encode(d).decode() for d in (gzip.compress(far), members, noisy)), least, b"token:abcdefgh".hex()):
+        assert f"decoded_assign:6:{6 + len(hidden)}" in secrets.scan(f"héllo {hidden} end")[4].split(","), hidden[:40]
+    lines = base64.encodebytes(b"".join(b"%d," % i for i in range(40)) + secret.encode() + b" and more" * 20).decode().rstrip("\n")
+    packed = base64.encodebytes(gzip.compress(random.Random(3).randbytes(200) + secret.encode())).decode().rstrip("\n").replace("\n", "\r\n  ")
+    for hidden in (lines, packed):
+        for before, after in (("key\n", "\n\nend"), ("key: ", " end"), ("some words here\n", " end")):
+            spans = secrets.scan(before + hidden + after)[4].split(",")
+            assert f"decoded_assign:{len(before)}:{len(before + hidden)}" in spans, (before, spans)
