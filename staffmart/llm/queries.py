@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffmart.llm import (
     decontamination,
     licenses,
     line_dedup,
+    merkle,
     ngram_join,
     packing,
     perplexity,
@@ -76,6 +77,19 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(added: Column) -> Column:
+        return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + added, F.col("text")])
+
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 0
+    digests = {"leaf": leaf(F.lit(0)), "claimed": F.when(tampered, leaf(F.lit(1)))}
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), "lang", "doc_id", digests)
+    folded = merkle.folded(F.coalesce("claimed", "leaf"), F.col("path"))
+    proof = F.sha2(F.array_join("path.digest", ""), 256).alias("proof_sha256")
+    proofs = proofs.select("doc_id", "leaf", "subroot", "root", proof, folded.alias("folded_root"))
+    return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -87,5 +101,6 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle()}
