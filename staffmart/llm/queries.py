@@ -17,6 +17,7 @@ from staffmart.llm import (
     secrets,
     suffix_dedup,
     toxicity,
+    whitening,
 )
 from staffmart.llm.text import fold, table
 
@@ -77,6 +78,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    pairs = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "pair")
+    white = white.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", pairs)
+    return white.select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "pair.whitened", "pair.explained", "identity_error"
+    )
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def leaf(added: Column) -> Column:
         return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + added, F.col("text")])
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
     "op13_merkle": op13_merkle,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle()}
