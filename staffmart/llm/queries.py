@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staffmart.llm import (
+    bpe,
     decontamination,
     licenses,
     line_dedup,
@@ -87,6 +88,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(table(spark, sf_dir, "documents"), bpe.vocabulary_path(), columns).withColumnRenamed("id", "doc_id")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     def leaf(added: Column) -> Column:
         return merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + added, F.col("text")])
@@ -112,6 +118,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
     "op11_whitening": op11_whitening,
+    "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
 ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle()}
