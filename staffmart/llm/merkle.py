@@ -161,7 +161,7 @@ def manifest(docs: DataFrame, group: str, key: str, digests: Mapping[str, Column
     whole = whole.select("root").first()
     root = F.lit(whole[0] if whole else None).cast("string")
     nothing = F.struct(F.array().cast(PATH).alias("path"), F.lit("").alias("subroot"))
-    above = paths(top_levels, tops.sparkSession.range(1).select(F.lit("").alias("tree"), nothing.alias("end")))
+    above = paths(top_levels, tops.select("tree").distinct().withColumn("end", nothing))
     ends = materialise(above.select(F.col("name").alias("tree"), F.struct("path", F.col("digest").alias("subroot")).alias("end")), "merkle-ends")
 
     found = paths(levels, ends)

@@ -106,6 +106,63 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+# The same trees, proofs and walks by recursion over whole levels; crc32 of a decimal number bit by bit.
+MERKLE_ORACLE = """
+WITH RECURSIVE marked AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0 AS tampered
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, tampered,
+    sha256(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')
+      || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-')
+      || coalesce(strlen(text) || ':' || text, '-')) AS changed
+  FROM marked
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed
+), nodes AS (
+  SELECT lang, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS width FROM leaves
+  UNION ALL
+  SELECT lang, level, pos, node, width FROM (
+    SELECT lang, level + 1 AS level, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node, (width + 1) // 2 AS width
+    FROM nodes WHERE width > 1 GROUP BY lang, level, pos // 2, width)
+), subroots AS (
+  SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE width = 1
+), tops AS (
+  SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS width FROM subroots
+  UNION ALL
+  SELECT level, pos, node, width FROM (
+    SELECT level + 1 AS level, pos // 2 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node, (width + 1) // 2 AS width
+    FROM tops WHERE width > 1 GROUP BY level, pos // 2, width)
+), steps AS (
+  SELECT l.lang, l.pos, n.level AS step, (l.pos >> n.level) & 1 AS is_right, s.node AS sibling
+  FROM leaves l JOIN nodes n ON n.lang IS NOT DISTINCT FROM l.lang AND n.width > 1 AND n.pos = l.pos >> n.level
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = n.level AND s.pos = xor(n.pos, 1)
+  UNION ALL
+  SELECT l.lang, l.pos, 1000 + n.level, (r.pos >> n.level) & 1, s.node
+  FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang JOIN tops n ON n.width > 1 AND n.pos = r.pos >> n.level
+  LEFT JOIN tops s ON s.level = n.level AND s.pos = xor(n.pos, 1)
+), proofs AS (
+  SELECT lang, pos, string_agg(coalesce(sibling, ''), '' ORDER BY step) AS proof,
+    list({'r': is_right, 's': coalesce(sibling, '')} ORDER BY step) AS path
+  FROM steps GROUP BY lang, pos
+), walks AS (
+  SELECT l.lang, l.pos, 1 AS step, coalesce(path, []) AS path, CASE WHEN tampered THEN changed ELSE leaf END AS node
+  FROM leaves l LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+  UNION ALL
+  SELECT lang, pos, step + 1, path, sha256(CASE WHEN path[step].r = 1 THEN path[step].s || node ELSE node || path[step].s END)
+  FROM walks WHERE step <= len(path)
+)
+SELECT l.doc_id, l.leaf, r.subroot, (SELECT node FROM tops WHERE width = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+  w.node AS folded_root, w.node = (SELECT node FROM tops WHERE width = 1) AS verified
+FROM leaves l JOIN subroots r ON r.lang IS NOT DISTINCT FROM l.lang
+LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.pos = l.pos
+JOIN walks w ON w.lang IS NOT DISTINCT FROM l.lang AND w.pos = l.pos AND w.step = len(w.path) + 1
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_join": op2_ngram_join,
@@ -121,4 +178,4 @@ QUERIES = {
     "op12_bpe": op12_bpe,
     "op13_merkle": op13_merkle,
 }
-ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle()}
+ORACLES = {"op1_decontamination": decontamination.ORACLE, "op8_licenses": licenses.oracle(), "op13_merkle": MERKLE_ORACLE}

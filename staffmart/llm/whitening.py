@@ -229,11 +229,8 @@ def squared_singular_values(diagonal: np.ndarray, upper: np.ndarray) -> np.ndarr
     return np.sort(np.array(found))[::-1]
 
 
-def twisted(diagonal: np.ndarray, upper: np.ndarray, value: float, known: list[np.ndarray]) -> np.ndarray:
-    """The unit eigenvector of B'B for ``value``, from the factorisations from both ends that meet where they fit best.
-
-    ``known`` holds vectors of values too near for that alone; the result is made orthogonal to them in rounds of inverse iteration.
-    """
+def twisted(diagonal: np.ndarray, upper: np.ndarray, value: float) -> np.ndarray:
+    """The unit eigenvector of B'B for ``value``, from the factorisations from both ends that meet where they fit best."""
     size = len(diagonal)
     tiny = EPS * EPS * max(value, float(np.abs(diagonal).max()) ** 2, 1e-300)
     safe = lambda x: x if abs(x) > tiny else (tiny if x >= 0 else -tiny)
@@ -263,23 +260,29 @@ def twisted(diagonal: np.ndarray, upper: np.ndarray, value: float, known: list[n
     for i in range(twist, size - 1):
         z[i + 1] = -up_u[i] * z[i]
     z /= np.linalg.norm(z)
-    if known:
+    return z
+
+
+def refined(diagonal: np.ndarray, upper: np.ndarray, value: float, z: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """``z`` after rounds of inverse iteration on B'B, orthogonal to the ``known`` vectors of values close by."""
+    size = len(diagonal)
+    square = np.diag(diagonal) + np.diag(upper, 1)
+    shifted = square.T @ square - value * (1 + 4 * EPS) * np.eye(size)
+    basis = np.array(known).reshape(len(known), size)
+    if known:  # values this close may have given the same vector again
         z = np.random.default_rng(len(known)).standard_normal(size)
-        basis = np.array(known)
-        for _ in range(4):
-            for _ in range(2):
-                z -= basis.T @ (basis @ z)
-            for i in range(size - 1):  # solve with the downward factors
-                z[i + 1] -= down_l[i] * z[i]
-            z /= down_d
-            z /= np.abs(z).max()
-            for i in range(size - 2, -1, -1):
-                z[i] -= down_l[i] * z[i + 1]
-            z /= np.linalg.norm(z)
+    for _ in range(4):
         for _ in range(2):
-            z -= basis.T @ (basis @ z)
-        z /= np.linalg.norm(z)
-    return z
+            z = z - basis.T @ (basis @ z)
+        z = z / np.linalg.norm(z)
+        try:
+            z = np.linalg.solve(shifted, z)
+        except np.linalg.LinAlgError:
+            z = np.linalg.solve(shifted - 8 * EPS * value * np.eye(size), z)
+    for _ in range(2):
+        z = z / np.linalg.norm(z)
+        z = z - basis.T @ (basis @ z)
+    return z / np.linalg.norm(z)
 
 
 def directions(square: np.ndarray, components: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +293,12 @@ def directions(square: np.ndarray, components: int) -> tuple[np.ndarray, np.ndar
     vectors: list[np.ndarray] = []
     for k in kept:
         near = [vectors[j] for j in range(k) if values[j] - values[k] <= 1e-3 * values[j]]
-        vectors.append(twisted(diagonal, upper, float(values[k]), near))
+        z = twisted(diagonal, upper, float(values[k]))
+        image = diagonal * z + np.append(upper * z[1:], 0.0)
+        back = diagonal * image + np.append(0.0, upper * image[:-1])
+        if near or not np.abs(back - values[k] * z).max() < 64 * EPS * values[0]:
+            z = refined(diagonal, upper, float(values[k]), z if np.isfinite(z).all() else np.ones(len(z)), near)
+        vectors.append(z)
     out = np.array(vectors).reshape(len(kept), len(values)).T.copy()
     for k in range(len(rights) - 1, -1, -1):
         w = rights[k]
