@@ -12,7 +12,7 @@ from staffmart.functions.dates import tenure_days
 from staffmart.functions.text import exact
 from staffmart.operators.joins import fits_broadcast, lookup
 from staffmart.operators.keys import allocate_keys
-from staffmart.operators.upsert import assert_single_match, upsert_many
+from staffmart.operators.upsert import AmbiguousMatchError
 from staffmart.schema import NATURAL, STAR_SCHEMAS, SURROGATE
 from staffmart.session import materialise
 
@@ -131,14 +131,18 @@ def new_facts(
     existing: DataFrame | None = None,
     match: Callable[[Column], Column] = exact,
     null_safe: bool = False,
+    top: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Fact rows for ``rows``, those of the stored batch ``source`` that have none yet.
 
     Numbering comes before the lookups: it needs staging columns only, so its counting pass stays a
     scan, and the joins run once.
     """
-    numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=fits_broadcast(source))
-    found = lookup_dims(numbered, dims, hot_from=source, match=match, null_safe=null_safe)
+    few = fits_broadcast(source) if small is None else small
+    numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=few, top=top)
+    sizes = None if small is None else dict.fromkeys(LOOKUP_KEYS, small)
+    found = lookup_dims(numbered, dims, sizes, hot_from=source, match=match, null_safe=null_safe)
     found = found.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
     return found.select(*FACT_COLUMNS)
 
@@ -150,24 +154,54 @@ def upsert_fact(
     as_of: dt.date,
     match: Callable[[Column], Column] = exact,
     null_safe: bool = False,
+    top: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Update the changeable columns of known employees, insert rows for the others.
 
     A row without an employee id matches nothing and is inserted by every load. Two rows of one
     batch for an employee already in ``fact`` raise ``AmbiguousMatchError``.
+
+    ``fact`` is read twice: its ids alone, to tell the batch's known employees from new ones, and
+    its rows, to update them. The batch is collapsed to one row per employee, which says how often the
+    employee occurs, whether the fact knows them, and what is new. ``top`` is the largest fact key
+    where ``fact`` is only some parts of the table; ``small`` passes on a size check.
     """
     source = fact_source(staging, as_of, match)
     if fact is None:
-        return new_facts(source, source, dims, match=match, null_safe=null_safe)
-    assert_single_match(source, fact, "EmployeeID")
-    small = fits_broadcast(staging)
-    updated = upsert_many(fact, source, "EmployeeID", FACT_UPDATES, small=small)
-    known = fact.select("EmployeeID").where("EmployeeID is not null").distinct()
-    known = known.withColumnRenamed("EmployeeID", "_known")
-    fresh = lookup(source, known, [("EmployeeID", "_known")], "left_anti", small=fits_broadcast(fact))
-    if not small:
+        return new_facts(source, source, dims, match=match, null_safe=null_safe, top=top, small=small)
+    batch_small = fits_broadcast(staging) if small is None else small
+    per_id = source.where(F.col("EmployeeID").isNotNull()).groupBy(F.col("EmployeeID").alias("_id"))
+    per_id = per_id.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*FACT_UPDATES)).alias("_new"))
+    known = known_ids(per_id, fact, batch_small)
+    several = known.where("_known AND _rows > 1").select("_id", "_rows").take(3)
+    if several:
+        raise AmbiguousMatchError(f"several source rows match one target row, for example {several}")
+
+    changes = known.where("_known").select("_id", "_new")
+    updated = lookup(fact, changes, [("EmployeeID", "_id")], "left", small=batch_small)
+    updated = updated.select(*[
+        F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name) if name in FACT_UPDATES else F.col(name)
+        for name in fact.columns
+    ])
+    fresh = lookup(source, known.where("_known").select("_id"), [("EmployeeID", "_id")], "left_anti", small=batch_small)
+    if not batch_small:
         fresh = materialise(fresh, "fresh")  # read twice: to count and to number
-    return updated.unionByName(new_facts(fresh, source, dims, fact, match, null_safe))
+    return updated.unionByName(new_facts(fresh, source, dims, fact, match, null_safe, top, small))
+
+
+def known_ids(per_id: DataFrame, fact: DataFrame, small: bool) -> DataFrame:
+    """``per_id`` with the mark whether the fact holds the id: a stored table of the batch's size.
+
+    The ids of the fact meet the batch's before they are reduced to one each, so a small batch lets few of them through.
+    """
+    ids = fact.select(F.col("EmployeeID").alias("_seen")).where("_seen IS NOT NULL")
+    if small:
+        per_id = materialise(per_id, "batch-ids")
+        ids = ids.join(F.broadcast(per_id.select("_id")), F.col("_seen") == F.col("_id"), "left_semi")
+    ids = ids.distinct().withColumn("_known", F.lit(True))
+    marked = per_id.join(ids, F.col("_id") == F.col("_seen"), "left").drop("_seen")
+    return materialise(marked.withColumn("_known", F.coalesce("_known", F.lit(False))), "known-ids")
 
 
 def with_tenure(fact: DataFrame, as_of: dt.date) -> DataFrame:

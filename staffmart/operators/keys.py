@@ -39,8 +39,9 @@ def allocate_keys(
     existing: DataFrame | None = None,
     digits: int = KEY_BUCKET_DIGITS,
     small: bool = False,
+    top: int | None = None,
 ) -> DataFrame:
-    """Number ``new_rows`` without gaps after the largest existing key.
+    """Number ``new_rows`` without gaps after the largest existing key, which is ``top`` where that is known.
 
     The order is (hash bucket, ``order_by``). A bucket is a pure function of the row, so counting
     and numbering agree even when a lost task is rerun, and no task sees more than its buckets.
@@ -52,10 +53,12 @@ def allocate_keys(
     start = F.greatest(F.coalesce(F.max(key), F.lit(0)), F.lit(0)).alias("_size")
     if small:
         nth = F.row_number().over(Window.orderBy("_bucket", *order))
-        base = F.lit(0) if existing is None else existing.agg(start).scalar()
+        base = F.lit(max(top or 0, 0)) if existing is None or top is not None else existing.agg(start).scalar()
         return bucketed.withColumn(key, (base + nth).cast("long")).drop("_bucket")
     sizes = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    if existing is not None:
+    if top is not None:
+        sizes = sizes.unionByName(sizes.sparkSession.range(1).select(F.lit("").alias("_bucket"), F.lit(max(top, 0)).cast("long").alias("_size")))
+    elif existing is not None:
         sizes = sizes.unionByName(existing.agg(start).withColumn("_bucket", F.lit("")))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

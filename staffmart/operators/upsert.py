@@ -74,6 +74,28 @@ def assert_single_match(source: DataFrame, target: DataFrame, key: str) -> None:
         raise AmbiguousMatchError(f"several source rows match one target row, for example {found}")
 
 
+def key_condition(target: DataFrame, keys: Sequence[str], null_safe: bool, match: Callable[[Column], Column]) -> list[Column]:
+    """Equality of ``target``'s keys with those of a source whose columns are prefixed."""
+    types = dict(target.dtypes)
+
+    def matches(name: str) -> Column:
+        left, right = F.col(name), F.col(f"_s_{name}")
+        if types[name] == "string":
+            left, right = match(left), match(right)
+        return left.eqNullSafe(right) if null_safe else left == right
+
+    return [matches(name) for name in keys]
+
+
+def unmatched(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], null_safe: bool = False, match: Callable[[Column], Column] = exact
+) -> DataFrame:
+    """The rows of ``source`` whose keys ``target`` does not hold."""
+    incoming = source.select(*[F.col(name).alias(f"_s_{name}") for name in source.columns])
+    fresh = incoming.join(target.select(*keys), key_condition(target, keys, null_safe, match), "left_anti")
+    return fresh.select(*[F.col(f"_s_{name}").alias(name) for name in source.columns])
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -82,29 +104,22 @@ def upsert(
     update: Sequence[str] = (),
     null_safe: bool = False,
     match: Callable[[Column], Column] = exact,
+    top: int | None = None,
 ) -> DataFrame:
     """Update ``update`` columns of matched rows, insert unmatched source rows under new surrogate keys.
 
     ``source`` has the columns of ``target`` without ``surrogate`` and unique ``keys``. A NULL in the
     source overwrites. Target rows without a match stay as they are; with no ``update`` columns all
     of them do. Keys compare null-unsafe, so a key with a NULL part is inserted again by every load
-    unless ``null_safe``. ``match`` says what counts as the same text key.
+    unless ``null_safe``. ``match`` says what counts as the same text key. ``top`` is the largest
+    surrogate key where ``target`` is only a part of its table.
     """
-    columns, types = target.columns, dict(target.dtypes)
-    incoming = source.select(*[F.col(name).alias(f"_s_{name}") for name in source.columns])
-
-    def matches(name: str):
-        left, right = F.col(name), F.col(f"_s_{name}")
-        if types[name] == "string":
-            left, right = match(left), match(right)
-        return left.eqNullSafe(right) if null_safe else left == right
-
-    condition = [matches(name) for name in keys]
+    columns = target.columns
     kept = target
     if update:
-        wanted = [f"_s_{name}" for name in (*keys, *update)]
-        marked = incoming.select(*wanted).withColumn("_matched", F.lit(True))
-        kept = target.join(marked, condition, "left").select(
+        wanted = [F.col(name).alias(f"_s_{name}") for name in (*keys, *update)]
+        marked = source.select(*wanted).withColumn("_matched", F.lit(True))
+        kept = target.join(marked, key_condition(target, keys, null_safe, match), "left").select(
             *[
                 F.when(F.col("_matched"), F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name)
                 if name in update
@@ -112,12 +127,11 @@ def upsert(
                 for name in columns
             ]
         )
-    fresh = incoming.join(target.select(*keys), condition, "left_anti")
-    fresh = fresh.select(*[F.col(f"_s_{name}").alias(name) for name in source.columns])
+    fresh = unmatched(target, source, keys, null_safe, match)
     small = fits_broadcast(source)
     if not small:
         fresh = materialise(fresh, "fresh")  # read twice: to count and to number
-    fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=small)
+    fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=small, top=top)
     return kept.unionByName(fresh.select(*columns))
 
 

@@ -16,11 +16,11 @@ from staffmart.operators.cleaning import StagingError, clean
 from staffmart.operators.fact import upsert_fact
 from staffmart.operators.keys import empty_table, seed_unknown
 from staffmart.operators.profile import is_loadable, profile
-from staffmart.operators.upsert import assert_unique, collapse_by_key, upsert
-from staffmart.schema import NATURAL, SURROGATE
+from staffmart.operators.upsert import assert_unique, collapse_by_key, unmatched, upsert
+from staffmart.schema import NATURAL, STAR_TABLES, SURROGATE
 from staffmart.session import materialise
 from staffmart.sources.csv import read_batch
-from staffmart.sources.warehouse import Snapshot, read_star, write_staging
+from staffmart.sources.warehouse import Snapshot, part_of, write_staging
 
 Match = Callable[[Column], Column]
 
@@ -32,6 +32,8 @@ DIM_UPDATES = {
     "Dim_Training": (),
 }
 
+# Rows meant for a part of the fact and of the employee dimension.
+ROWS_PER_PART = 1 << 20
 # Dimensions whose natural key has to stay unique.
 UNIQUE_DIMS = ("Dim_Employee", "Dim_Location")
 
@@ -90,11 +92,35 @@ def upsert_dim(
     null_safe: bool = False,
     reference_employee_key: bool = False,
     match: Match = exact,
+    top: int | None = None,
 ) -> DataFrame:
     """The dimension after the batch. Before the first load it consists of the unknown member."""
     if current is None:
         current = seed_unknown(empty_table(members.sparkSession, name), name, reference_employee_key)
-    return upsert(current, members, NATURAL[name], SURROGATE[name], DIM_UPDATES[name], null_safe, match)
+    return upsert(current, members, NATURAL[name], SURROGATE[name], DIM_UPDATES[name], null_safe, match, top)
+
+
+def touched_parts(snapshot: Snapshot, name: str, keys: DataFrame, rows_per_part: int) -> tuple[int, list[int] | None]:
+    """How many parts the table has after a load of ``keys`` (one column, stored), and those the load rewrites: None for all.
+
+    A part is meant to hold ``rows_per_part`` rows. When parts have grown to four times as many, their number is set anew and
+    the table is dealt again, which all loads together pay for once in a doubling or two.
+    """
+    have, (key,) = snapshot.parts(name), keys.columns
+    rows = snapshot.rows(name) + keys.count()
+    if not have or rows > 4 * rows_per_part * have:
+        return max(1, -(-rows // rows_per_part)), None
+    if have == 1:
+        return 1, [0]
+    found = keys.where(F.col(key).isNotNull()).select(part_of(F.col(key), have).alias("part")).distinct()
+    return have, sorted(row["part"] for row in found.collect()) or [0]
+
+
+def spread_nulls(key: str, order: str, parts: int, touched: list[int] | None) -> Column:
+    """The part of a row; rows without a key match nothing, so they are dealt over the parts that are written anyway."""
+    places = F.array(*[F.lit(part) for part in touched]) if touched else F.sequence(F.lit(0), F.lit(parts - 1))
+    dealt = F.get(places, F.pmod(F.xxhash64(order), F.size(places)).cast("int"))
+    return F.when(F.col(key).isNull(), dealt).otherwise(part_of(F.col(key), parts))
 
 
 def load_star(
@@ -106,6 +132,8 @@ def load_star(
     reference_employee_key: bool = False,
     streams: dict[str, int] | None = None,
     fold_case: bool = False,
+    rows_per_part: int = ROWS_PER_PART,
+    small: bool | None = None,
 ) -> dict[str, DataFrame]:
     """Merge a stored staging batch into the star under ``root`` and publish all five tables at once.
 
@@ -113,30 +141,39 @@ def load_star(
     ``fold_case`` ignores case and trailing blanks in text keys and in the status,
     ``reference_employee_key`` gives the unknown employee an ordinary key.
 
-    The members of a dimension are collapsed once into a written table, because the merge reads them
-    several times. The four dimensions are independent and run at the same time; the fact sees them
-    as stored, with known sizes.
+    The employee dimension and the fact are stored in parts by a hash of the employee id; a batch reads and writes only the
+    parts that its employees are in, and of the employee dimension the fact looks up in those alone. Insert-only
+    dimensions without new members are not written. The members of a dimension are collapsed once into a
+    written table, because the merge reads them several times. The four dimensions are independent and run at the same time; the
+    fact sees them as stored, with known sizes. ``small`` passes on a check of the batch's and the dimensions' sizes to the fact's joins.
     """
     match = folded if fold_case else exact
-    star = read_star(spark, root) or {}
     snapshot = Snapshot(spark, root)
 
     def load_dim(item: tuple[str, DataFrame]) -> tuple[str, DataFrame]:
         name, members = item
         members = materialise(members, f"members-{name}")
-        merged = upsert_dim(name, members, star.get(name), null_safe, reference_employee_key, match)
-        stored = snapshot.write(name, merged)
+        parts, touched, part = 1, [0] if snapshot.parts(name) else None, None
+        if name == "Dim_Employee":
+            parts, touched = touched_parts(snapshot, name, members.select("EmployeeID"), rows_per_part)
+            part = part_of(F.col("EmployeeID"), parts)
+        current, top = snapshot.read(name, touched), snapshot.top(name)
+        if current is not None and not DIM_UPDATES[name] and unmatched(current, members, NATURAL[name], null_safe, match).isEmpty():
+            return name, current
+        merged = upsert_dim(name, members, current, null_safe, reference_employee_key, match, top)
+        stored = snapshot.write(name, merged, part, parts, touched)
         if name in UNIQUE_DIMS:
-            assert_unique(stored, NATURAL[name])
+            assert_unique(stored, NATURAL[name])  # equal keys share a part
         return name, stored
 
     members = dim_members(staging, as_of, match)
     with ThreadPoolExecutor(len(members)) as pool:
         loaded = dict(pool.map(inheritable_thread_target(spark)(load_dim), members.items()))
-    fact = upsert_fact(star.get("Fact_HR"), staging, loaded, as_of, match, null_safe)
-    loaded["Fact_HR"] = snapshot.write("Fact_HR", fact)
+    parts, touched = touched_parts(snapshot, "Fact_HR", staging.select("Employee_ID"), rows_per_part)
+    fact = upsert_fact(snapshot.read("Fact_HR", touched), staging, loaded, as_of, match, null_safe, snapshot.top("Fact_HR"), small)
+    snapshot.write("Fact_HR", fact, spread_nulls("EmployeeID", "FactKey", parts, touched), parts, touched)
     snapshot.commit(streams)
-    return loaded
+    return {name: snapshot.read(name) for name in STAR_TABLES}
 
 
 def load_report(

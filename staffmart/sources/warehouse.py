@@ -5,13 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from staffmart.operators.cleaning import cast_to_staging
 from staffmart.operators.fact import with_tenure
-from staffmart.schema import STAGING_SCHEMA, STAR_SCHEMAS, STAR_TABLES
+from staffmart.schema import STAGING_SCHEMA, STAR_SCHEMAS, STAR_TABLES, SURROGATE
 from staffmart.session import filesystem, store
 
 
@@ -80,16 +82,25 @@ def current_commit(spark: SparkSession, root: str) -> dict | None:
     return json.loads(_get(spark, f"{root}/commits/{names[-1]}")) if names else None
 
 
+def part_of(key: Column, parts: int) -> Column:
+    """The part that holds a key; the same in every load."""
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(parts)).cast("int")
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the current snapshot; readers of older snapshots are not disturbed by a publish."""
     commit = current_commit(spark, root)
     if commit is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    return _read_version(spark, commit["path"], name)
+    return _read_parts(spark, name, commit["tables"][name])
 
 
-def _read_version(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{path}/{name}")
+def _read_parts(spark: SparkSession, name: str, entry: Mapping, wanted: Collection[int] | None = None) -> DataFrame:
+    """The parts of a table that a record names, or the ``wanted`` ones of them."""
+    paths = [part["path"] for number, part in sorted(entry["paths"].items()) if wanted is None or int(number) in wanted]
+    if not paths:
+        return spark.createDataFrame([], STAR_SCHEMAS[name])
+    return spark.read.schema(STAR_SCHEMAS[name]).parquet(*paths)
 
 
 def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
@@ -97,49 +108,103 @@ def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     commit = current_commit(spark, root)
     if commit is None:
         return None
-    return {name: _read_version(spark, commit["path"], name) for name in STAR_TABLES}
+    return {name: _read_parts(spark, name, commit["tables"][name]) for name in STAR_TABLES}
 
 
 class Snapshot:
-    """A star version in the making. Nothing is visible to readers until ``commit``."""
+    """A star version in the making. Nothing is visible to readers until ``commit``.
+
+    Tables are stored in parts. A commit record names the path and the rows of every part, so a load writes the parts that
+    its batch touches and the record goes on naming the others where earlier loads left them. It also names the largest key.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
         self.base = current_commit(spark, root)
         self.path = f"{root}/versions/{uuid.uuid4().hex}"
-
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        schema = STAR_SCHEMAS[name]
-        df.select(*schema.names).write.mode("errorifexists").parquet(f"{self.path}/{name}")
-        return _read_version(self.spark, self.path, name)
+        self.tables = dict(self.base["tables"]) if self.base else {}
+
+    def read(self, name: str, wanted: Collection[int] | None = None) -> DataFrame | None:
+        """The table as last written here or published before, or some of its parts; None before the first load."""
+        return _read_parts(self.spark, name, self.tables[name], wanted) if name in self.tables else None
+
+    def parts(self, name: str) -> int:
+        return self.tables[name]["parts"] if name in self.tables else 0
+
+    def rows(self, name: str) -> int:
+        return sum(part["rows"] for part in self.tables[name]["paths"].values()) if name in self.tables else 0
+
+    def top(self, name: str) -> int | None:
+        """The largest surrogate key, without a look at the table."""
+        return self.tables[name]["top"] if name in self.tables else None
+
+    def write(
+        self, name: str, df: DataFrame, part: Column | None = None, parts: int = 1, replaced: Collection[int] | None = None
+    ) -> DataFrame:
+        """Write the table, or instead of the ``replaced`` parts the rows that now belong to them; returns what was written.
+
+        Rebalancing brings a part's rows together and splits a part that holds far more than others, so no task writes a hot key alone.
+        """
+        schema, path = STAR_SCHEMAS[name], f"{self.path}/{name}"
+        rows = df.select(*schema.names)
+        if part is not None:
+            rows = rows.withColumn("_part", part).hint("rebalance", "_part")
+        else:
+            rows = rows.withColumn("_part", F.lit(0))
+        rows.write.mode("errorifexists").partitionBy("_part").parquet(path)
+        key = SURROGATE.get(name, "FactKey")
+        written = self.spark.read.schema(StructType([*schema.fields, StructField("_part", IntegerType())])).parquet(path)
+        # One row for each part written.
+        found = written.groupBy("_part").agg(F.count("*").alias("rows"), F.max(key).alias("top")).collect()
+        kept = {} if replaced is None else {n: p for n, p in self.tables[name]["paths"].items() if int(n) not in replaced}
+        made = {str(r["_part"]): {"path": f"{path}/_part={r['_part']}", "rows": r["rows"]} for r in found}
+        tops = [r["top"] for r in found if r["top"] is not None] + [0 if replaced is None else self.tables[name]["top"]]
+        self.tables[name] = {"parts": parts, "top": max(tops), "paths": {**kept, **made}}
+        return _read_parts(self.spark, name, self.tables[name], {int(n) for n in made})
 
     def commit(self, streams: Mapping[str, int] | None = None) -> None:
         """Make the version current by creating the next commit record, which must not exist yet."""
         number = (self.base["number"] if self.base else 0) + 1
         applied = {**(self.base["streams"] if self.base else {}), **(streams or {})}
-        record = {"number": number, "path": self.path, "streams": applied}
+        record = {"number": number, "path": self.path, "tables": self.tables, "streams": applied}
         _put(self.spark, f"{self.root}/commits/{number:010d}.json", json.dumps(record))
 
 
 def drop_old_versions(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
-    """Delete star versions and staging batches that none of the last ``keep`` records names.
+    """Delete parts of star versions, and staging batches, that none of the last ``keep`` records names.
 
-    Readers of a deleted version fail, so call it when no query of an older snapshot runs, and while no load runs:
-    a version in the making has no record yet.
+    Returns the versions and batches that are gone altogether. Readers of a deleted part fail, so call it when no query of an
+    older snapshot runs, and while no load runs: a version in the making has no record yet.
     """
     named, dropped = set(), []
     for name in _records(spark, f"{root}/commits")[-keep:]:
-        named.add(json.loads(_get(spark, f"{root}/commits/{name}"))["path"].rsplit("/", 1)[-1])
+        for entry in json.loads(_get(spark, f"{root}/commits/{name}"))["tables"].values():
+            named.update("/".join(part["path"].split("/")[-3:]) for part in entry["paths"].values())
     for name in _records(spark, f"{root}/staging/records")[-keep:]:
         named.add(_get(spark, f"{root}/staging/records/{name}").rsplit("/", 1)[-1])
-    for folder in (f"{root}/versions", f"{root}/staging"):
-        fs, path = filesystem(spark, folder)
-        for status in fs.listStatus(path) if fs.exists(path) else []:
-            name = status.getPath().getName()
-            if name not in named and name != "records":
-                fs.delete(status.getPath(), True)
-                dropped.append(name)
+
+    def children(path: str) -> list[str]:
+        fs, folder = filesystem(spark, path)
+        return [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+    def drop(path: str) -> None:
+        fs, folder = filesystem(spark, path)
+        fs.delete(folder, True)
+
+    for version in children(f"{root}/versions"):
+        held = [f"{version}/{table}/{part}" for table in children(f"{root}/versions/{version}") for part in children(f"{root}/versions/{version}/{table}")]
+        if not named.intersection(held):
+            drop(f"{root}/versions/{version}")
+            dropped.append(version)
+            continue
+        for part in held:
+            if "/_part=" in part and part not in named:
+                drop(f"{root}/versions/{part}")
+    for batch in children(f"{root}/staging"):
+        if batch not in named and batch != "records":
+            drop(f"{root}/staging/{batch}")
+            dropped.append(batch)
     return dropped
 
 

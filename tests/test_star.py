@@ -236,7 +236,7 @@ def test_adhoc_sql_sees_the_star_only(spark, staging, root, as_of):
         "select * from other",
         "select Salary from Fact_HR",
         "drop view Fact_HR",
-        f"select * from parquet.`{commit['path']}/Fact_HR`",
+        f"select * from parquet.`{commit['path']}/Fact_HR/_part=0`",
         "select reflect('java.lang.System', 'exit', 1)",
         "select * from global_temp.shared",
         "with f as (select 1) select * from f, shared_table",
@@ -252,6 +252,74 @@ def test_old_versions_go_and_the_last_ones_stay(spark, staging, root, as_of):
     for employee in (1, 2, 3):
         batch = write_staging(staging(person(employee)), root)
         load_star(spark, batch, root, as_of)
-    assert len(drop_old_versions(spark, root, keep=1)) == 4
+    dropped = drop_old_versions(spark, root, keep=1)
+    assert len(dropped) == 3  # two batches and the second version; the first still holds unchanged dimensions
     assert read_star(spark, root)["Fact_HR"].count() == 3 and read_staging(spark, root).count() == 1
     assert drop_old_versions(spark, root, keep=1) == []
+
+
+def stored_files(spark, root):
+    from staffmart.session import filesystem
+
+    fs, path = filesystem(spark, f"{root}/versions")
+    found, listing = set(), fs.listFiles(path, True)
+    while listing.hasNext():
+        name = listing.next().getPath().toString()
+        if name.endswith(".parquet"):
+            found.add(name)
+    return found
+
+
+def test_a_small_batch_writes_the_parts_it_touches(spark, staging, root, as_of):
+    people = [person(i, FirstName=f"n{i}", PayZone="A", LocationCode=i % 3) for i in range(200)]
+    load_star(spark, staging(*people), root, as_of, rows_per_part=20)
+    before, files = current_commit(spark, root), stored_files(spark, root)
+    assert before["tables"]["Fact_HR"]["parts"] == 10
+    star = load_star(spark, staging(person(7, PayZone="B", LocationCode=1)), root, as_of, rows_per_part=20)
+    after, added = current_commit(spark, root), stored_files(spark, root) - files
+    for name in ("Fact_HR", "Dim_Employee"):
+        one, other = before["tables"][name]["paths"], after["tables"][name]["paths"]
+        assert [n for n in one if one[n] != other[n]] == [str(next(iter(n for n in other if one[n] != other[n])))]
+        assert len({f.rsplit("/", 1)[0] for f in added if f"/{name}/" in f}) == 1
+    assert after["tables"]["Dim_Location"] == before["tables"]["Dim_Location"]  # nothing new there
+    assert not [f for f in added if "/Dim_Location/" in f]
+    assert rows(star["Fact_HR"].where("PayZone = 'B'"), "EmployeeID") == [(7,)] and star["Fact_HR"].count() == 200
+    assert rows(star["Fact_HR"], "FactKey") == sorted([(i + 1,) for i in range(200)], key=str)
+
+
+def test_parts_give_the_rows_of_one_part(spark, staging, as_of, root):
+    batches = [
+        [person(i % 90, PayZone="A") for i in range(120)] + [{"Title": f"t{k}"} for k in range(5)],
+        [person(i, PayZone="B") for i in range(80, 130) if i >= 90 or i % 90 >= 30] + [{"Title": "u"}],
+        [{"Title": "only without ids"}],
+    ]
+    found = []
+    for rows_per_part in (10, 1 << 20):
+        folder = f"{root}-{rows_per_part}"
+        for batch in batches:
+            star = load_star(spark, staging(*batch), folder, as_of, rows_per_part=rows_per_part)
+        found.append({name: rows(star[name], *star[name].columns) for name in star})
+    assert found[0] == found[1]
+
+
+def test_parts_are_dealt_again_when_they_have_grown(spark, staging, root, as_of):
+    load_star(spark, staging(*[person(i) for i in range(10)]), root, as_of, rows_per_part=5)
+    star = load_star(spark, staging(*[person(i) for i in range(5, 100)]), root, as_of, rows_per_part=5)
+    assert current_commit(spark, root)["tables"]["Fact_HR"]["parts"] > 10
+    assert star["Fact_HR"].count() == 100 and star["Dim_Employee"].count() == 101
+    star = load_star(spark, staging(person(3, PayZone="Z")), root, as_of, rows_per_part=5)
+    assert rows(star["Fact_HR"].where("PayZone = 'Z'"), "EmployeeID") == [(3,)]
+
+
+def test_fact_is_scanned_twice_at_most(spark, staging, root, as_of):
+    from staffmart.operators import fact as fact_module
+
+    load_star(spark, staging(*[person(i) for i in range(10)]), root, as_of)
+    batch = staging(person(1, PayZone="Q"), person(11))
+    star = read_star(spark, root)
+    known = fact_module.known_ids(batch.groupBy(F.col("Employee_ID").alias("_id")).agg(F.count("*").alias("_rows")), star["Fact_HR"], True)
+    assert sorted((r["_id"], r["_known"]) for r in known.collect()) == [(1, True), (11, False)]
+    merged = fact_module.upsert_fact(star["Fact_HR"], batch, star, as_of, top=10)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    # The ids were read while planning; the rows once.
+    assert sum("FactKey#" in line and "Relation" in line for line in plan.splitlines()) == 1
