@@ -1,4 +1,4 @@
-"""Chunk vectors and exact nearest-neighbour retrieval."""
+"""Exact nearest-neighbour retrieval over given vectors."""
 
 from __future__ import annotations
 
@@ -6,43 +6,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffmart.session import store
+from staffmart.session import materialise, store
 
 TOP = 3
-# A query set of at most this many rows travels to every task; a larger one is partitioned.
-BROADCAST_QUERIES = 4096
-# Cells of the partitioned search, and the rows of either side that meet in one task.
-PIVOTS = 128
-BLOCK_VECTORS = 100_000
-BLOCK_QUERIES = 4096
-# Vectors scored at a time inside a task.
-SLICE_ROWS = 2048
+# Queries that travel to the vectors at once, and a task's table of their products with a slice of vectors.
+BLOCK_BYTES = 32 << 20
+MEETING_BYTES = 32 << 20
+# Relative error allowed for products; what lies within it is measured exactly.
+ROUNDING = 1e-11
 
 HIT_SCHEMA = "query_id long, vec_id long, distance double"
 
 
-def vectorise(chunks: DataFrame, text: str = "chunk", dimensions: int = 256) -> DataFrame:
-    """Lexical vectors: hashed word counts weighted by rarity, length 1, as ``embedding``.
-
-    ``chunks`` is read twice (for the weights and for the vectors), so give it a stored table.
-    """
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit"),
-    ]
-    found = Pipeline(stages=stages).fit(chunks).transform(chunks)
-    vector = vector_to_array("_unit", "float32").alias("embedding")
-    return found.select(*chunks.columns, vector)
-
-
 def build_index(vectors: DataFrame, path: str) -> DataFrame:
     """An exact index is the stored vector table."""
     return store(vectors, path)
@@ -53,34 +31,45 @@ def as_matrix(vectors: Iterable) -> np.ndarray:
 
 
 def distances(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Euclidean distance of every query (row) to every vector (column)."""
-    return np.stack([np.sqrt(((vectors - q) ** 2).sum(axis=1)) for q in queries])
-
-
-def nearest(
-    query_ids: np.ndarray, queries: np.ndarray, batches: Iterable[pd.DataFrame], k: int
-) -> pd.DataFrame:
-    """The ``k`` nearest vectors of each query over a stream of batches; memory is k per query."""
-    count = len(query_ids)
-    best_distance = np.empty((count, 0))
-    best_id = np.empty((count, 0), dtype=np.int64)
-    for batch in batches:
-        for at in range(0, len(batch), SLICE_ROWS):
-            part = batch.iloc[at : at + SLICE_ROWS]
-            found = distances(queries, as_matrix(part["embedding"]))
-            ids = np.broadcast_to(part["vec_id"].to_numpy(dtype=np.int64), found.shape)
-            all_distance = np.concatenate([best_distance, found], axis=1)
-            all_id = np.concatenate([best_id, ids], axis=1)
-            order = np.lexsort((all_id, all_distance), axis=1)[:, :k]
-            best_distance = np.take_along_axis(all_distance, order, axis=1)
-            best_id = np.take_along_axis(all_id, order, axis=1)
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, best_id.shape[1]),
-            "vec_id": best_id.ravel(),
-            "distance": best_distance.ravel(),
-        }
-    )
+    """Euclidean distance of each query to the vector in the same row."""
+    return np.sqrt(((vectors - queries) ** 2).sum(axis=1))
+
+
+class Nearest:
+    """The ``k`` nearest vectors so far of each of a block of queries; memory is k per query."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.squares = (queries**2).sum(axis=1)
+        self.distance = np.full((len(ids), k), np.inf)
+        self.vec_id = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, vec_ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Products of both sides tell which pairs can matter; those are measured exactly and ranked."""
+        squares = (vectors**2).sum(axis=1)
+        about = self.squares[:, None] + squares[None, :] - 2 * (self.queries @ vectors.T)
+        slack = ROUNDING * (self.squares[:, None] + squares[None, :]) + np.finfo(float).tiny
+        limit = np.minimum(self.distance[:, -1] ** 2, np.inf)
+        if len(vec_ids) >= self.k:
+            upper = np.partition(about + slack, self.k - 1, axis=1)[:, self.k - 1]
+            limit = np.minimum(limit, upper)
+        query, place = np.nonzero(about - slack <= (limit * (1 + ROUNDING))[:, None])
+        if not len(query):
+            return
+        found = distances(self.queries[query], vectors[place])
+        every = np.concatenate((query, np.repeat(np.arange(len(self.ids)), self.k)))
+        far = np.concatenate((found, self.distance.ravel()))
+        who = np.concatenate((vec_ids[place], self.vec_id.ravel()))
+        order = np.lexsort((who, far, every))
+        every = every[order]
+        nth = np.arange(len(every)) - np.searchsorted(every, every)
+        best = order[nth < self.k]
+        self.distance, self.vec_id = far[best].reshape(-1, self.k), who[best].reshape(-1, self.k)
+
+    def hits(self) -> pd.DataFrame:
+        found = np.isfinite(self.distance)
+        rows = np.broadcast_to(self.ids[:, None], found.shape)
+        return pd.DataFrame({"query_id": rows[found], "vec_id": self.vec_id[found], "distance": self.distance[found]})
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -89,107 +78,48 @@ def ranked(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP) -> DataFrame:
-    """Exact ``k`` nearest vectors (Euclidean, ties by id) of every query.
-
-    ``queries`` has query_id and embedding, ``vectors`` has vec_id and embedding. A small query set
-    goes to the vectors: each task scans its vectors once and hands on ``k`` rows per query. A larger
-    one is searched cell by cell, see ``knn_partitioned``.
-    """
-    held = queries.select("query_id", "embedding").limit(BROADCAST_QUERIES + 1).collect()
-    if len(held) > BROADCAST_QUERIES:
-        return knn_partitioned(queries, vectors, k)
-    if not held:
-        return ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
-    query_ids = np.array([row["query_id"] for row in held], dtype=np.int64)
-    matrix = as_matrix(row["embedding"] for row in held)
+def scan_block(spark, ids: np.ndarray, matrix: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest vectors of one block of queries in every task's share of the vectors."""
+    block = spark.sparkContext.broadcast((ids, matrix))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield nearest(query_ids, matrix, batches, k)
+        best = Nearest(*block.value, k)
+        rows = max(1, MEETING_BYTES // (8 * max(1, len(best.ids))))
+        for batch in batches:
+            batch = batch[batch["embedding"].notna()]
+            for at in range(0, len(batch), rows):
+                part = batch.iloc[at : at + rows]
+                best.add(part["vec_id"].to_numpy(dtype=np.int64), as_matrix(part["embedding"]))
+        yield best.hits()
 
-    return ranked(vectors.select("vec_id", "embedding").mapInPandas(scan, HIT_SCHEMA), k)
+    return vectors.select("vec_id", "embedding").mapInPandas(scan, HIT_SCHEMA)
 
 
-def knn_partitioned(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = TOP,
-    pivots: int = PIVOTS,
-    block_vectors: int = BLOCK_VECTORS,
-    block_queries: int = BLOCK_QUERIES,
-) -> DataFrame:
-    """Exact search for query sets of any size; give it stored tables.
+def knn(queries: DataFrame, vectors: DataFrame, k: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact ``k`` nearest vectors (Euclidean, ties by id) of every query; rows without a vector take no part.
 
-    Vectors belong to the cell of their nearest pivot. From the cells' sizes and radii each query gets
-    an upper bound for its k-th distance, and by the triangle inequality it has to visit only cells
-    that can hold something nearer. A crowded cell is split into blocks on both sides, so no task
-    meets more than one block of vectors and one block of queries.
+    ``queries`` has query_id and embedding, ``vectors`` has vec_id and embedding. Blocks of queries of at most ``block_bytes``
+    go to the vectors, one scan of the vectors a block; each task hands on ``k`` rows per query, whatever the number of
+    vectors or of copies among them. Blocks are dealt by a hash of the id, so the driver holds one at a time.
     """
-    chosen = vectors.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(pivots).collect()
-    if not chosen:
-        return ranked(queries.sparkSession.createDataFrame([], HIT_SCHEMA), k)
-    centre = as_matrix(row["embedding"] for row in chosen)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                far = distances(centre, as_matrix(batch["embedding"]))
-                yield batch.assign(cell=far.argmin(axis=0).astype("int32"), reach=far.min(axis=0))
-
-    placed = vectors.select("vec_id", "embedding").mapInPandas(
-        assign, "vec_id long, embedding array<float>, cell int, reach double"
-    )
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
-    size, radius = np.zeros(len(centre)), np.full(len(centre), -np.inf)
-    for row in stats.collect():
-        size[row["cell"]], radius[row["cell"]] = row["n"], row["radius"]
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            far = distances(as_matrix(batch["embedding"]), centre)
-            cells = []
-            for row in far:
-                farthest = row + radius
-                order = np.argsort(farthest)
-                enough = np.searchsorted(np.cumsum(size[order]), min(k, size.sum()))
-                bound = farthest[order][enough]
-                cells.append(np.flatnonzero((size > 0) & (row - radius <= bound + 1e-9)).tolist())
-            yield batch.assign(cells=cells)
-
-    routed = (
-        queries.select("query_id", "embedding")
-        .mapInPandas(visits, "query_id long, embedding array<float>, cells array<int>")
-        .withColumn("cell", F.explode("cells"))
-        .drop("cells")
-    )
-    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    blocks = (
-        stats.select("cell", F.ceil(F.col("n") / block_vectors).cast("int").alias("v_blocks"))
-        .join(
-            load.select("cell", F.ceil(F.col("n") / block_queries).cast("int").alias("q_blocks")), "cell"
-        )
-    )
-    blocks = F.broadcast(blocks)  # one row per pivot
-
-    def block(key: str, count: str):
-        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    left = placed.drop("reach").join(blocks, "cell").withColumn("v", block("vec_id", "v_blocks"))
-    left = left.withColumn("q", every("q_blocks")).select("cell", "v", "q", "vec_id", "embedding")
-    right = routed.join(blocks, "cell").withColumn("q", block("query_id", "q_blocks"))
-    right = right.withColumn("v", every("v_blocks")).select("cell", "v", "q", "query_id", "embedding")
-
-    def meet(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(found) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        ids = asked["query_id"].to_numpy(dtype=np.int64)
-        return nearest(ids, as_matrix(asked["embedding"]), [found], k)
-
-    keys = ["cell", "v", "q"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, HIT_SCHEMA)
-    return ranked(hits, k)
+    spark = vectors.sparkSession
+    asked = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
+    asked = materialise(asked, "queries")
+    size = asked.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-size[0] * 8 * (size[1] or 0) // block_bytes))
+    if blocks > 1:
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        asked = materialise(asked.repartition(blocks, "block").sortWithinPartitions("block"), "query-blocks")
+    found = None
+    for number in range(blocks):
+        held = (asked.where(F.col("block") == number) if blocks > 1 else asked).select("query_id", "embedding").toArrow()
+        if not held.num_rows:
+            continue
+        matrix = as_matrix(held["embedding"].to_numpy())
+        hits = scan_block(spark, held["query_id"].to_numpy().astype(np.int64), matrix, vectors, k)
+        if blocks > 1:
+            hits = materialise(ranked(hits, k), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return ranked(spark.createDataFrame([], HIT_SCHEMA), k)
+    return found if blocks > 1 else ranked(found, k)

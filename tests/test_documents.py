@@ -1,3 +1,5 @@
+import collections
+import math
 import re
 
 import numpy as np
@@ -7,7 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from staffmart.operators import documents as docs
+from staffmart.operators import lexical
 from staffmart.operators import vectors as vec
+from staffmart.session import fresh_dir
 
 
 def plain_split(text, size, overlap, separators=("\n\n", "\n", " ", "")):
@@ -143,16 +147,28 @@ def test_nearest_neighbours(crowd):
 
 
 @pytest.mark.parametrize("k", [1, 3, 400])
-def test_partitioned_search_is_exact(crowd, k):
+def test_blocks_of_queries_are_exact(crowd, k):
     queries, vectors, query_df, vector_df = crowd
-    found = vec.knn_partitioned(query_df, vector_df, k, pivots=9, block_vectors=16, block_queries=8)
+    found = vec.knn(query_df, vector_df, k, block_bytes=8 * 4 * 15)
     assert hit_rows(found) == brute_force(queries, vectors, k)
 
 
-def test_large_query_sets_take_the_partitioned_search(crowd, monkeypatch):
-    queries, vectors, query_df, vector_df = crowd
-    monkeypatch.setattr(vec, "BROADCAST_QUERIES", 10)
-    assert hit_rows(vec.knn(query_df, vector_df, 2)) == brute_force(queries, vectors, 2)
+def test_slices_of_vectors_are_exact(crowd, monkeypatch):
+    queries, vectors, _, _ = crowd
+    best = vec.Nearest(np.array([i for i, _ in queries]), np.array([q for _, q in queries], float), 5)
+    rng = np.random.default_rng(3)
+    for part in np.array_split(rng.permutation(len(vectors)), 40):
+        best.add(np.array([vectors[i][0] for i in part]), np.array([vectors[i][1] for i in part], float))
+    found = best.hits()
+    found = sorted((int(r.query_id), int(r.vec_id), round(r.distance, 6)) for r in found.itertuples())
+    assert found == sorted(r[:3] for r in brute_force(queries, vectors, 5))
+
+
+def test_rows_without_a_vector_take_no_part(spark):
+    vectors = spark.createDataFrame([(1, [0.0, 1.0]), (2, None)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(1, [0.0, 0.0]), (9, None)], "query_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in vec.knn(queries, vectors, 2).collect()] == [(1, 1)]
+    assert vec.knn(queries.limit(0), vectors).collect() == []
 
 
 def test_equal_distances_rank_by_id(spark):
@@ -161,11 +177,46 @@ def test_equal_distances_rank_by_id(spark):
     assert [r["vec_id"] for r in vec.knn(query, vectors, 2).orderBy("rank").collect()] == [2, 5]
 
 
-def test_lexical_vectors_find_the_text_itself(spark):
-    texts = [(0, "annual leave policy"), (1, "travel expense policy"), (2, "parental leave and pay")]
-    chunks = spark.createDataFrame(texts, "vec_id long, chunk string")
-    found = vec.vectorise(chunks)
-    for row in found.collect():
-        assert np.linalg.norm(row["embedding"]) == pytest.approx(1.0, abs=1e-5)
-    hits = vec.knn(found.select(F.col("vec_id").alias("query_id"), "embedding"), found, 1).collect()
-    assert {(r["query_id"], r["vec_id"]) for r in hits} == {(i, i) for i in range(3)}
+def plain_search(texts, queries, k):
+    """Cosines from dictionaries."""
+    counts = {i: collections.Counter(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in texts}
+    holding = collections.Counter(term for c in counts.values() for term in c)
+    rarity = {t: math.log((len(texts) + 1) / (n + 1)) for t, n in holding.items()}
+
+    def unit(words):
+        raw = {t: n * rarity[t] for t, n in words.items() if t in rarity}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        return {t: x / length if length else 0.0 for t, x in raw.items()}
+
+    vectors, out = {i: unit(c) for i, c in counts.items()}, []
+    for qid, text in queries:
+        asked = unit(collections.Counter(re.findall(r"[^\W_]+", (text or "").lower())))
+        scores = [(-round(sum(x * v[t] for t, x in asked.items() if t in v), 9), i) for i, v in vectors.items() if set(asked) & set(v)]
+        out += [(qid, i, -s, rank + 1) for rank, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+TEXTS = [(0, "Annual leave policy"), (1, "travel expense policy; policy"), (2, "parental leave and pay"), (3, None), (4, ""), (5, "Annual leave policy")]
+TEXTS += [(10 + i, f"policy number {i} of {i % 7}") for i in range(60)]
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_lexical_search(spark, monkeypatch, large):
+    chunks = spark.createDataFrame(TEXTS, "doc_id long, chunk string")
+    index = lexical.build_index(chunks, fresh_dir(spark, "index"), ["doc_id"])
+    assert index.texts == len(TEXTS) and index.vocabulary.where("term = 'policy'").first()["texts"] == 63
+    for row in index.postings.groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).collect():
+        assert row["s"] == pytest.approx(1.0)
+    if large:
+        monkeypatch.setattr(lexical, "fits_broadcast", lambda df: False)
+    queries = [(1, "leave POLICY policy"), (2, "number 3"), (3, "unheard words"), (4, None), (5, "expense and pay")]
+    found = lexical.search(index, spark.createDataFrame(queries, "query_id long, text string"), 3)
+    assert sorted((r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in found.collect()) == plain_search(TEXTS, queries, 3)
+
+
+def test_no_two_terms_share_a_place(spark):
+    """A vocabulary far larger than any fixed number of slots would keep apart."""
+    chunks = spark.createDataFrame([(i, f"word{i}") for i in range(5000)], "doc_id long, chunk string")
+    index = lexical.build_index(chunks, fresh_dir(spark, "index"), ["doc_id"])
+    found = lexical.search(index, spark.createDataFrame([(7, "word7"), (8, "word4999")], "query_id long, text string"), 3)
+    assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in found.collect()) == [(7, 7, 1.0), (8, 4999, 1.0)]
