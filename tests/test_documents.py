@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from staffmart.operators import documents as docs
-from staffmart.operators import lexical
+from staffmart.operators import lexical, similar
 from staffmart.operators import vectors as vec
 from staffmart.session import fresh_dir
 
@@ -220,3 +220,32 @@ def test_no_two_terms_share_a_place(spark):
     index = lexical.build_index(chunks, fresh_dir(spark, "index"), ["doc_id"])
     found = lexical.search(index, spark.createDataFrame([(7, "word7"), (8, "word4999")], "query_id long, text string"), 3)
     assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in found.collect()) == [(7, 7, 1.0), (8, 4999, 1.0)]
+
+
+@pytest.mark.parametrize("crowd", [0, 64])
+def test_similar_vectors_are_found(spark, crowd):
+    """Against the exact search: pairs of any distance up to the radius, hundreds of near copies, and exact copies."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 16))
+    step = rng.normal(size=(60, 5, 16))
+    near = centres[:, None] + step / np.linalg.norm(step, axis=2, keepdims=True) * rng.uniform(0, 0.6, size=(60, 5, 1))
+    crowded = rng.normal(size=16) + 0.01 * rng.normal(size=(300, 16))
+    points = np.concatenate((centres, near.reshape(-1, 16), crowded, np.repeat(centres[:1], 200, axis=0))).astype("float32")
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    vectors = spark.createDataFrame(rows + [(9000, None)], "vec_id long, embedding array<float>").repartition(4)
+    queries = vectors.where("vec_id % 2 = 0 OR vec_id < 60").withColumnRenamed("vec_id", "query_id")
+    exact = {(r["query_id"], r["vec_id"], r["rank"]) for r in vec.knn(queries, vectors, 4).collect() if r["distance"] <= 0.5}
+    found = {(r["query_id"], r["vec_id"], r["rank"]) for r in similar.similar(queries, vectors, 0.5, 4, crowd=crowd).collect()}
+    pairs, kept = {e[:2] for e in exact}, {f[:2] for f in found}
+    assert len(pairs & kept) >= 0.9 * len(pairs) and len(pairs) > 1000
+    copies = {e for e in exact if e[0] >= 660}  # one distance for all: ids decide
+    assert copies <= found
+
+
+def test_recall_formula():
+    assert similar.keys_needed(0.95) < similar.keys_needed(0.99) and similar.keys_needed(0.5, projections=1) == 1
+
+
+def test_no_vectors_are_similar(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert similar.similar(none.withColumnRenamed("vec_id", "query_id"), none, 1.0).collect() == []
