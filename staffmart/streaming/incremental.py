@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,21 +78,47 @@ def drop_repeats(events: DataFrame, key: str, time: str, lateness: str) -> DataF
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def append_new(events: DataFrame, key: str, path: str, checkpoint: str) -> None:
-    """Append the stream to the table at ``path``, each key once, however late it comes.
+STATE = {
+    # Keys live on the executors' disks; each batch uploads what it changed to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-    The table itself is the memory: a batch is compared with the keys stored so far. A replayed batch
-    finds its rows there and adds none. A row without a key stops the stream, as nothing could recognise it.
-    """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        present = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"row without {key}"))).otherwise(F.col(key))
-        rows = batch.withColumn(key, present.cast(batch.schema[key].dataType)).dropDuplicates([key])
-        fs, folder = filesystem(session, path)
-        if fs.exists(folder):
-            known = session.read.schema(batch.schema).parquet(path).select(key)
-            rows = rows.join(known, key, "left_anti")
-        rows.select(*batch.columns).write.mode("append").parquet(path)
-
-    run_batches(events, handle, checkpoint)
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def append_new(events: DataFrame, key: str, path: str, checkpoint: str) -> list[dict]:
+    """Append the stream to the table at ``path``, each key once, however late it comes; returns the progress of the batches.
+
+    The keys met so far are keyed state, dealt by hash: a batch looks up its own keys, and neither the table nor other keys are
+    read, so its cost follows its size and not that of the table. State and table belong to the checkpoint: a
+    replayed batch meets the state it met before and replaces its own files, and a lost executor's state comes back from the checkpoint.
+    A table begun with another checkpoint is refused, as its keys are not known here. A row without a key stops the stream, as nothing
+    could recognise it. Read the table with ``spark.read.parquet``, which leaves out files of unfinished batches.
+    """
+    spark = events.sparkSession
+    (fs, begun), (_, kept) = filesystem(spark, f"{path}/_spark_metadata"), filesystem(spark, f"{checkpoint}/metadata")
+    if fs.exists(begun) and not fs.exists(kept):
+        raise ValueError(f"{path} was begun with another checkpoint than {checkpoint}")
+    present = F.when(F.col(key).isNull(), F.raise_error(F.lit(f"row without {key}"))).otherwise(F.col(key))
+    rows = events.withColumn(key, present.cast(events.schema[key].dataType)).dropDuplicates([key])
+    with settings(spark, STATE):
+        query = (
+            rows.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return [json.loads(progress.json) for progress in query.recentProgress]

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from staffmart.plans.star import load_star
@@ -76,3 +78,27 @@ def test_repeats_are_dropped_across_batches(spark):
         query.awaitTermination()
     found = spark.read.schema(schema).parquet(sink).groupBy("event_id").agg(F.count(F.lit(1)))
     assert rows(found) == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_a_batch_costs_its_own_keys(spark):
+    """State is looked up by key: after many rows a small batch updates few, and the table is not read."""
+    source, sink, progress = (fresh_dir(spark, n) for n in ("in", "out", "progress"))
+    schema = "event_id long, ts timestamp"
+    spark.range(5000).selectExpr("id AS event_id", "timestamp'2026-01-09' AS ts").write.parquet(source)
+    append_new(spark.readStream.schema(schema).parquet(source), "event_id", sink, progress)
+    spark.createDataFrame([(7, dt.datetime(2020, 1, 1)), (9999, dt.datetime(2020, 1, 1))], schema).write.mode("append").parquet(source)
+    batches = append_new(spark.readStream.schema(schema).parquet(source), "event_id", sink, progress)
+    state = [op for batch in batches for op in batch["stateOperators"]]
+    assert [op["numRowsUpdated"] for op in state if op["numRowsUpdated"]] == [1]
+    assert state[-1]["numRowsTotal"] == 5001
+    assert [batch["numInputRows"] for batch in batches if batch["numInputRows"]] == [2]
+    assert spark.read.parquet(sink).count() == 5001
+    with pytest.raises(ValueError, match="another checkpoint"):
+        append_new(spark.readStream.schema(schema).parquet(source), "event_id", sink, fresh_dir(spark, "progress"))
+
+
+def test_a_row_without_a_key_stops_the_stream(spark):
+    source, sink, progress = (fresh_dir(spark, n) for n in ("in", "out", "progress"))
+    spark.createDataFrame([(None, 1)], "event_id long, v int").write.parquet(source)
+    with pytest.raises(Exception, match="row without event_id"):
+        append_new(spark.readStream.schema("event_id long, v int").parquet(source), "event_id", sink, progress)
