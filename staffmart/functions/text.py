@@ -16,6 +16,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+COLLATION = "UTF8_LCASE_RTRIM"
 FENCE = "```"
 
 
@@ -34,8 +35,8 @@ def exact(col: Column) -> Column:
 
 
 def folded(col: Column) -> Column:
-    """Keys match whatever their case and trailing blanks, as under a case-insensitive collation."""
-    return F.lower(F.rtrim(col))
+    """Keys match whatever their case and trailing blanks: a collation that grouping, joins and comparisons follow."""
+    return F.collate(col, COLLATION)
 
 
 def full_name(first: Column, last: Column) -> Column:

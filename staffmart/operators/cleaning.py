@@ -113,12 +113,9 @@ def typed(col: Column, kind: T.DataType) -> Column:
     return col.try_cast(kind)
 
 
-def cast_to_staging(df: DataFrame, mode: str = "fail"):
-    """Bind by name to the staging layout: missing -> NULL, unknown -> error.
-
-    ``fail``: a value that does not fit stops the job. ``quarantine``: returns (good, rejected),
-    the rejected rows in their original form with the names of the offending columns.
-    """
+def judged(df: DataFrame) -> tuple[list[Column], Column]:
+    """The typed columns of the staging layout, bound by name (missing -> NULL, unknown -> error), and the names of those, with
+    commas between, whose value does not fit a row."""
     unknown = [name for name in df.columns if name not in STAGING_SCHEMA.names]
     if unknown:
         raise StagingError(f"columns unknown to staging: {unknown}")
@@ -128,21 +125,39 @@ def cast_to_staging(df: DataFrame, mode: str = "fail"):
         if name not in df.columns:
             values.append(F.lit(None).cast(field.dataType).alias(name))
             continue
-        raw = F.col(name)
-        value = typed(raw, field.dataType)
-        bad = raw.isNotNull() & value.isNull()
-        if name in STAGING_MAX_LENGTH:
-            bad = bad | (F.length(raw) > STAGING_MAX_LENGTH[name])
-        faults.append(F.when(bad, F.lit(name)))
-        if mode == "fail":
-            message = F.concat(F.lit(f"value does not fit {name}: "), raw.cast("string"))
-            value = F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message)).otherwise(value)
+        value = typed(F.col(name), field.dataType)
         values.append(value.cast(field.dataType).alias(name))
-    if mode == "fail":
-        return df.select(*values)
-    if mode != "quarantine":
+        faults.append(F.when(misfit(name, F.col(name), value), F.lit(name)))
+    return values, F.concat_ws(",", *faults)
+
+
+def misfit(name: str, raw: Column, value: Column) -> Column:
+    bad = raw.isNotNull() & value.isNull()
+    if name in STAGING_MAX_LENGTH:
+        bad = bad | (F.length(raw) > STAGING_MAX_LENGTH[name])
+    return F.coalesce(bad, F.lit(False))
+
+
+def cast_to_staging(df: DataFrame, mode: str = "fail"):
+    """Bind by name to the staging layout.
+
+    ``fail``: a value that does not fit stops the job. ``quarantine``: returns (good, rejected),
+    the rejected rows in their original form with the names of the offending columns.
+    """
+    values, faults = judged(df)
+    if mode == "quarantine":
+        marked = df.withColumn("reject_reason", faults)
+        return marked.where("reject_reason = ''").select(*values), marked.where("reject_reason <> ''")
+    if mode != "fail":
         raise ValueError(f"unknown mode {mode!r}")
-    judged = df.withColumn("reject_reason", F.concat_ws(",", *faults))
-    good = judged.where("reject_reason = ''").select(*values)
-    rejected = judged.where("reject_reason <> ''")
-    return good, rejected
+
+    def strict(field: T.StructField) -> Column:
+        name = field.name
+        if name not in df.columns:
+            return F.lit(None).cast(field.dataType).alias(name)
+        value = typed(F.col(name), field.dataType)
+        message = F.concat(F.lit(f"value does not fit {name}: "), F.col(name).cast("string"))
+        checked = F.when(misfit(name, F.col(name), value), F.raise_error(message)).otherwise(value)
+        return checked.cast(field.dataType).alias(name)
+
+    return df.select(*[strict(field) for field in STAGING_SCHEMA.fields])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffmart.functions.dates import tenure_days
 from staffmart.functions.text import exact
-from staffmart.operators.joins import fits_broadcast, lookup
+from staffmart.operators.joins import ROWS_PER_TASK, fits_broadcast, hot_keys, lookup
 from staffmart.operators.keys import allocate_keys
 from staffmart.operators.upsert import AmbiguousMatchError
 from staffmart.schema import NATURAL, STAR_SCHEMAS, SURROGATE
@@ -73,12 +73,13 @@ def lookup_dims(
     hot_from: DataFrame | None = None,
     match: Callable[[Column], Column] = exact,
     null_safe: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Left lookups of the four surrogate keys; unresolved ones stay NULL.
 
     Members with a NULL key part cannot match and leave first, which makes the rest unique; with ``null_safe``
     NULL parts match each other, and the unknown member is no candidate. Only the
-    key columns of a dimension travel. Key frequencies, where they matter, are counted on
+    key columns of a dimension travel. Key frequencies, where they matter, are counted for all lookups in one scan of
     ``hot_from``, a stored table with the lookup columns, instead of on the joins so far.
     """
     types = dict(rows.dtypes)
@@ -93,7 +94,12 @@ def lookup_dims(
 
     keys = [c for columns in LOOKUP_KEYS.values() for c in columns]
     found = rows.select("*", *[compared(c) for c in keys])
-    hot_from = (rows if hot_from is None else hot_from).select(*[compared(c) for c in keys])
+    sizes = {name: fits_broadcast(dims[name]) if small is None else small[name] for name in LOOKUP_KEYS}
+    hot = None
+    if not all(sizes.values()):
+        counted = (rows if hot_from is None else hot_from).select(*[compared(c) for c in keys])
+        large = {name: [f"_m_{c}" for c in columns] for name, columns in LOOKUP_KEYS.items() if not sizes[name]}
+        hot = hot_keys(counted, large, rows_per_task)
     for name, columns in LOOKUP_KEYS.items():
         natural = NATURAL[name]
         members = dims[name].select(SURROGATE[name], *[F.col(n).alias(f"_n_{n}") for n in natural])
@@ -109,8 +115,8 @@ def lookup_dims(
             found,
             members,
             [(f"_m_{column}", f"_n_{n}") for column, n in zip(columns, natural)],
-            small=None if small is None else small[name],
-            hot_from=hot_from,
+            small=sizes[name],
+            hot=None if sizes[name] else hot.where(F.col("lookup") == name),
         )
     return found.drop(*[f"_m_{c}" for c in keys])
 
@@ -133,6 +139,7 @@ def new_facts(
     null_safe: bool = False,
     top: int | None = None,
     small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Fact rows for ``rows``, those of the stored batch ``source`` that have none yet.
 
@@ -142,7 +149,7 @@ def new_facts(
     few = fits_broadcast(source) if small is None else small
     numbered = allocate_keys(rows, "FactKey", FACT_KEY_ORDER, existing, small=few, top=top)
     sizes = None if small is None else dict.fromkeys(LOOKUP_KEYS, small)
-    found = lookup_dims(numbered, dims, sizes, hot_from=source, match=match, null_safe=null_safe)
+    found = lookup_dims(numbered, dims, sizes, hot_from=source, match=match, null_safe=null_safe, rows_per_task=rows_per_task)
     found = found.withColumns({key: coalesce_key(F.col(key)) for key in SURROGATE.values()})
     return found.select(*FACT_COLUMNS)
 
@@ -156,6 +163,7 @@ def upsert_fact(
     null_safe: bool = False,
     top: int | None = None,
     small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Update the changeable columns of known employees, insert rows for the others.
 
@@ -169,7 +177,7 @@ def upsert_fact(
     """
     source = fact_source(staging, as_of, match)
     if fact is None:
-        return new_facts(source, source, dims, match=match, null_safe=null_safe, top=top, small=small)
+        return new_facts(source, source, dims, match=match, null_safe=null_safe, top=top, small=small, rows_per_task=rows_per_task)
     batch_small = fits_broadcast(staging) if small is None else small
     per_id = source.where(F.col("EmployeeID").isNotNull()).groupBy(F.col("EmployeeID").alias("_id"))
     per_id = per_id.agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct(*FACT_UPDATES)).alias("_new"))
@@ -179,15 +187,15 @@ def upsert_fact(
         raise AmbiguousMatchError(f"several source rows match one target row, for example {several}")
 
     changes = known.where("_known").select("_id", "_new")
-    updated = lookup(fact, changes, [("EmployeeID", "_id")], "left", small=batch_small)
+    updated = lookup(fact, changes, [("EmployeeID", "_id")], "left", small=batch_small, rows_per_task=rows_per_task)
     updated = updated.select(*[
         F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name) if name in FACT_UPDATES else F.col(name)
         for name in fact.columns
     ])
-    fresh = lookup(source, known.where("_known").select("_id"), [("EmployeeID", "_id")], "left_anti", small=batch_small)
+    fresh = lookup(source, known.where("_known").select("_id"), [("EmployeeID", "_id")], "left_anti", small=batch_small, rows_per_task=rows_per_task)
     if not batch_small:
         fresh = materialise(fresh, "fresh")  # read twice: to count and to number
-    return updated.unionByName(new_facts(fresh, source, dims, fact, match, null_safe, top, small))
+    return updated.unionByName(new_facts(fresh, source, dims, fact, match, null_safe, top, small, rows_per_task))
 
 
 def known_ids(per_id: DataFrame, fact: DataFrame, small: bool) -> DataFrame:

@@ -100,13 +100,8 @@ def dim_date(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     )
 
 
-def turnover(fact: DataFrame, as_of: dt.date, period: str = "year") -> DataFrame:
-    """Exits per period over the mean of opening and closing headcount, up to the period of ``as_of``.
-
-    Each fact row becomes its dated events, which are summed per period in one pass; headcounts are
-    running sums over the few periods, so no row is compared with every period. The calendar fills
-    periods without events.
-    """
+def dated_moves(fact: DataFrame, keys: Sequence[str], as_of: dt.date, period: str) -> DataFrame:
+    """(keys, period, joined, parted, exits): each fact row becomes its dated events, summed per period in one pass."""
     start, gone = F.col("StartDate"), F.col("ExitDate")
 
     def event(when: Column, joined: int, parted: int, exits: int) -> Column:
@@ -117,23 +112,25 @@ def turnover(fact: DataFrame, as_of: dt.date, period: str = "year") -> DataFrame
 
     parted = F.when(start.isNotNull() & gone.isNotNull(), F.greatest(start, gone))
     events = F.array(event(start, 1, 0, 0), event(parted, 0, 1, 0), event(gone, 0, 0, 1))
-    moves = (
-        fact.select(F.inline(events))
-        .where(F.col("period") <= F.lit(as_of))
-        .groupBy("period")
-        .agg(*[F.sum(c).alias(c) for c in ("joined", "parted", "exits")])
-    )
+    moves = fact.select(*keys, F.inline(events)).where(F.col("period") <= F.lit(as_of))
+    return moves.groupBy(*keys, "period").agg(*[F.sum(c).alias(c) for c in ("joined", "parted", "exits")])
+
+
+def headcounts(moves: DataFrame, by: Sequence[str], as_of: dt.date, period: str) -> DataFrame:
+    """Turnover of every group from its first event to the period of ``as_of``; the calendar fills periods without events."""
     last = F.trunc(F.lit(as_of), period)
-    calendar = moves.agg(F.min("period").alias("first")).select(
-        F.explode(F.sequence("first", last, F.expr(PERIOD_STEP[period]))).alias("period")
-    )
-    full = calendar.join(moves, "period", "left").fillna(0)
-    until = Window.orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    span = F.explode(F.sequence("first", last, F.expr(PERIOD_STEP[period]))).alias("period")
+    calendar = moves.groupBy(*by).agg(F.min("period").alias("first")).where("first IS NOT NULL").select(*by, span)
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by] + [F.col("_period") == F.col("period")]
+    sums = moves.select(*[F.col(c).alias(f"_{c}") for c in (*by, "period")], "joined", "parted", "exits")
+    full = calendar.join(sums, same, "left").fillna(0, ["joined", "parted", "exits"])
+    until = Window.partitionBy(*by).orderBy("period").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     closing = F.sum(F.col("joined") - F.col("parted")).over(until)
     found = full.withColumn("closing", closing).withColumn(
         "opening", F.col("closing") - F.col("joined") + F.col("parted")
     )
     return found.select(
+        *by,
         "period",
         "opening",
         "closing",
@@ -142,24 +139,51 @@ def turnover(fact: DataFrame, as_of: dt.date, period: str = "year") -> DataFrame
     )
 
 
-def time_intelligence(df: DataFrame, day: str, value: Column) -> DataFrame:
-    """Monthly totals with running total, previous month and year to date; months without rows total 0.
+def turnover(fact: DataFrame, as_of: dt.date, period: str = "year") -> DataFrame:
+    """Exits per period over the mean of opening and closing headcount, up to the period of ``as_of``.
+
+    Headcounts are running sums over the few periods, so no row is compared with every period.
+    """
+    return headcounts(dated_moves(fact, [], as_of, period), [], as_of, period)
+
+
+def turnover_by(
+    star: Mapping[str, DataFrame], dim: str, attributes: Sequence[str], as_of: dt.date, period: str = "quarter"
+) -> DataFrame:
+    """Turnover of every combination of a dimension's attributes, each with a calendar of its own; NULL is a value.
+
+    Events are summed per member and period before they meet the dimension, then per attribute and period. What the windows see is
+    one row per attribute value and period.
+    """
+    key = SURROGATE[dim]
+    members = dated_moves(star["Fact_HR"], [key], as_of, period).join(star[dim].select(key, *attributes), key, "left")
+    sums = [F.sum(c).alias(c) for c in ("joined", "parted", "exits")]
+    return headcounts(members.groupBy(*attributes, "period").agg(*sums), attributes, as_of, period)
+
+
+def time_intelligence(df: DataFrame, day: str, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Monthly totals with running total, previous month and year to date, of all rows or of every group ``by``.
 
-    The windows run over monthly totals: a few hundred rows for any amount of data.
+    Months without rows total 0, from a group's first month to its last; NULL is a group. The windows run over monthly
+    totals: a few hundred rows a group for any amount of data.
     """
-    found = df.where(F.col(day).isNotNull()).groupBy(F.trunc(day, "month").alias("month")).agg(F.sum(value).alias("total"))
+    found = df.where(F.col(day).isNotNull()).groupBy(*by, F.trunc(day, "month").alias("month")).agg(F.sum(value).alias("total"))
     span = F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))
-    monthly = found.agg(span.alias("months")).select(F.explode("months").alias("month")).join(found, "month", "left")
+    months = found.groupBy(*by).agg(span.alias("months")).select(*by, F.explode("months").alias("month"))
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in by] + [F.col("_month") == F.col("month")]
+    monthly = months.join(found.select(*[F.col(c).alias(f"_{c}") for c in (*by, "month")], "total"), same, "left")
     monthly = monthly.withColumn("total", F.coalesce("total", F.lit(0).cast(found.schema["total"].dataType)))
-    so_far = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_year = Window.partitionBy(F.year("month")).orderBy("month").rowsBetween(
+    in_group = Window.partitionBy(*by).orderBy("month")
+    so_far = in_group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_year = Window.partitionBy(*by, F.year("month")).orderBy("month").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return monthly.select(
+        *by,
         "month",
         "total",
         F.sum("total").over(so_far).alias("running_total"),
-        F.lag("total").over(Window.orderBy("month")).alias("previous_month"),
+        F.lag("total").over(in_group).alias("previous_month"),
         F.sum("total").over(in_year).alias("year_to_date"),
     )
 

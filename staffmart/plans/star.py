@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -14,13 +14,14 @@ from staffmart.functions.dates import age_years
 from staffmart.functions.text import exact, folded, full_name
 from staffmart.operators.cleaning import StagingError, clean
 from staffmart.operators.fact import upsert_fact
+from staffmart.operators.joins import ROWS_PER_TASK
 from staffmart.operators.keys import empty_table, seed_unknown
-from staffmart.operators.profile import is_loadable, profile
+from staffmart.operators.profile import is_loadable
 from staffmart.operators.upsert import assert_unique, collapse_by_key, unmatched, upsert
 from staffmart.schema import NATURAL, STAR_TABLES, SURROGATE
 from staffmart.session import materialise
 from staffmart.sources.csv import read_batch
-from staffmart.sources.warehouse import Snapshot, part_of, write_staging
+from staffmart.sources.warehouse import Snapshot, part_of, stage
 
 Match = Callable[[Column], Column]
 
@@ -134,6 +135,7 @@ def load_star(
     fold_case: bool = False,
     rows_per_part: int = ROWS_PER_PART,
     small: bool | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> dict[str, DataFrame]:
     """Merge a stored staging batch into the star under ``root`` and publish all five tables at once.
 
@@ -145,7 +147,8 @@ def load_star(
     parts that its employees are in, and of the employee dimension the fact looks up in those alone. Insert-only
     dimensions without new members are not written. The members of a dimension are collapsed once into a
     written table, because the merge reads them several times. The four dimensions are independent and run at the same time; the
-    fact sees them as stored, with known sizes. ``small`` passes on a check of the batch's and the dimensions' sizes to the fact's joins.
+    fact sees them as stored, with known sizes. ``small`` passes on a check of the batch's and the dimensions' sizes to the fact's joins,
+    ``rows_per_task`` how many rows of one key they leave in a task.
     """
     match = folded if fold_case else exact
     snapshot = Snapshot(spark, root)
@@ -170,7 +173,7 @@ def load_star(
     with ThreadPoolExecutor(len(members)) as pool:
         loaded = dict(pool.map(inheritable_thread_target(spark)(load_dim), members.items()))
     parts, touched = touched_parts(snapshot, "Fact_HR", staging.select("Employee_ID"), rows_per_part)
-    fact = upsert_fact(snapshot.read("Fact_HR", touched), staging, loaded, as_of, match, null_safe, snapshot.top("Fact_HR"), small)
+    fact = upsert_fact(snapshot.read("Fact_HR", touched), staging, loaded, as_of, match, null_safe, snapshot.top("Fact_HR"), small, rows_per_task)
     snapshot.write("Fact_HR", fact, spread_nulls("EmployeeID", "FactKey", parts, touched), parts, touched)
     snapshot.commit(streams)
     return {name: snapshot.read(name) for name in STAR_TABLES}
@@ -181,18 +184,23 @@ def load_report(
     raw: DataFrame,
     root: str,
     as_of: dt.date,
+    rejects: str | None = None,
     **options,
 ) -> DataFrame:
     """Clean, stage and load one raw batch; returns one row with success, message and counts.
 
     Required columns are checked before anything is written. An empty batch and a failed load leave
-    the star as it was; counts are taken after cleaning.
+    the star as it was; counts are taken after cleaning, while the batch is written. A value that does not fit fails the load; with
+    ``rejects``, the path of a table, such rows are added to it as they came, with the columns at fault, the rest is
+    loaded, and the report has their number. They are added once the load is published, so a failed load adds none.
     """
-    def report(success: bool, message: str, counts=(0, 0, 0)) -> DataFrame:
+    names = ("records", "active", "terminated") + (("rejected",) if rejects else ())
+
+    def report(success: bool, message: str, counts: Mapping[str, int] | None = None) -> DataFrame:
         return spark.range(1).select(
             F.lit(success).alias("success"),
             F.lit(message).alias("message"),
-            *[F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("records", "active", "terminated"))],
+            *[F.lit((counts or {}).get(name, 0)).cast("long").alias(name) for name in names],
         )
 
     try:
@@ -200,13 +208,17 @@ def load_report(
             raise StagingError("column ExitDate is missing")
         if not is_loadable(raw):  # cleaning never removes the last row, so the raw batch decides
             return report(False, "no valid data to load")
-        staging = write_staging(clean(raw, as_of), root)
-        load_star(spark, staging, root, as_of, **options)
-        found = profile(staging).first()
+        staged = stage(clean(raw, as_of), root, quarantine=rejects is not None)
+        counts = staged.counts
+        if counts["records"]:
+            load_star(spark, staged.rows, root, as_of, **options)
+        if rejects and counts["rejected"]:
+            staged.rejected.write.mode("append").parquet(rejects)
     except Exception as error:  # the report is the interface: it carries the cause
         return report(False, f"load failed: {error}")
-    counts = (found["row_count"], found["active"], found["terminated"])
-    message = f"loaded {counts[0]} records ({counts[1]} active, {counts[2]} terminated)"
+    if not counts["records"]:
+        return report(False, f"no valid data to load ({counts['rejected']} rejected)", counts)
+    message = f"loaded {counts['records']} records ({counts['active']} active, {counts['terminated']} terminated)"
     return report(True, message, counts)
 
 

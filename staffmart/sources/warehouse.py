@@ -7,36 +7,81 @@ import json
 import uuid
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from staffmart.operators.cleaning import cast_to_staging
+from staffmart.operators.cleaning import cast_to_staging, judged
 from staffmart.operators.fact import with_tenure
 from staffmart.schema import STAGING_SCHEMA, STAR_SCHEMAS, STAR_TABLES, SURROGATE
-from staffmart.session import filesystem, store
+from staffmart.session import filesystem
 
 
 class PublishConflict(RuntimeError):
     """Another load published while this one ran."""
 
 
-def write_staging(df: DataFrame, root: str) -> DataFrame:
+# What is counted while a batch is written.
+COUNTS = {
+    "records": "count_if(_fits)",
+    "active": "count_if(_fits AND ExitDate IS NULL)",
+    "terminated": "count_if(_fits AND ExitDate IS NOT NULL)",
+    "rejected": "count_if(NOT _fits)",
+}
+
+
+class Staged:
+    """A stored batch, the rows it rejected in their original form with the reason, and the counts taken while it was written."""
+
+    def __init__(self, rows: DataFrame, rejected: DataFrame | None, counts: Mapping[str, int]) -> None:
+        self.rows, self.rejected, self.counts = rows, rejected, counts
+
+
+def stage(df: DataFrame, root: str, quarantine: bool = False) -> Staged:
     """Replace the staging batch by ``df``; the previous batch stays readable until the new one is whole.
 
-    Returns the stored batch, so that its five readers scan narrow Parquet columns instead of
-    repeating the cleaning.
+    The batch is cleaned, typed, counted and written in one pass. With ``quarantine`` rows with a value that does not fit are
+    written beside the others, without it they stop the load.
     """
     spark = df.sparkSession
     path = f"{root}/staging/batch-{uuid.uuid4().hex}"
-    stored = store(cast_to_staging(df), path)
+    if quarantine:
+        values, faults = judged(df)
+        bad = F.col("_reason") != ""
+        original = F.when(bad, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        rows = df.withColumn("_reason", faults).select(*values, original.alias("_original"), "_reason", (~bad).alias("_fits"))
+    else:
+        rows = cast_to_staging(df).withColumn("_fits", F.lit(True))
+    counts = Observation()
+    observed = rows.observe(counts, *[F.expr(count).alias(name) for name, count in COUNTS.items()])
+    observed.write.mode("errorifexists").partitionBy("_fits").parquet(path)
+    found = {name: counts.get.get(name) or 0 for name in COUNTS}
+
+    def part(fits: bool, schema: StructType) -> DataFrame:
+        if not found["records" if fits else "rejected"]:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{path}/_fits={str(fits).lower()}")
+
+    rejected = None
+    if quarantine:
+        kept = part(False, StructType([rows.schema["_original"], rows.schema["_reason"]]))
+        rejected = kept.select("_original.*", F.col("_reason").alias("reject_reason"))
     _append_record(spark, f"{root}/staging/records", path)
-    return stored
+    return Staged(part(True, STAGING_SCHEMA), rejected, found)
+
+
+def write_staging(df: DataFrame, root: str) -> DataFrame:
+    """``stage`` for a batch whose values have to fit. Its five readers scan narrow columns instead of repeating the cleaning."""
+    return stage(df, root).rows
 
 
 def read_staging(spark: SparkSession, root: str) -> DataFrame:
     folder = f"{root}/staging/records"
-    return spark.read.schema(STAGING_SCHEMA).parquet(_get(spark, f"{folder}/{_records(spark, folder)[-1]}"))
+    path = _get(spark, f"{folder}/{_records(spark, folder)[-1]}")
+    fs, fitting = filesystem(spark, f"{path}/_fits=true")
+    if not fs.exists(fitting):
+        return spark.createDataFrame([], STAGING_SCHEMA)
+    return spark.read.schema(STAGING_SCHEMA).parquet(f"{path}/_fits=true")
 
 
 def _records(spark: SparkSession, folder: str) -> list[str]:
