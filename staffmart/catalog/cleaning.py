@@ -36,6 +36,13 @@ def dates_dayfirst(spark, sf_dir):
     month_first = F.when(F.dayofmonth(day) > 12, F.date_format(day, "MM/dd/yyyy"))
     text = (
         F.when(key % 97 == 0, "garbage")
+        .when(key % 101 == 0, F.concat(F.date_format(day, "d/M/"), F.lit("2300")))
+        .when(key % 64 == 0, F.date_format(day, "yyyyMMdd HHmmss"))
+        .when(key % 64 == 32, F.date_format(day, "dMMMyyyy"))
+        .when(key % 64 == 1, F.upper(F.date_format(day, "ddMMMyyyy")))
+        .when(key % 64 == 33, F.date_format(day, "d 'of' MMMM yyyy"))
+        .when(key % 64 == 2, F.concat(F.lit("10:20 "), F.date_format(day, "dd/MM/yyyy")))
+        .when(key % 64 == 34, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T10")))
         .when(key % 8 == 0, F.date_format(day, "yyyy-MM-dd"))
         .when(key % 8 == 1, F.date_format(day, "dd/MM/yyyy"))
         .when(key % 8 == 2, F.date_format(day, "d.M.yyyy"))
@@ -145,7 +152,7 @@ SELECT CAST(k AS INTEGER) AS Employee_ID, c_name AS FirstName,
 FROM copies""",
     "dedup_exact": "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem",
     "dates_dayfirst": """
-SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
+SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 AND o_orderkey % 101 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders""",
     "csv_messy_files": """
 SELECT CAST(c_custkey AS VARCHAR) AS c_custkey,
        c_name || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || '"second", line' ELSE '' END AS c_name, c_mktsegment

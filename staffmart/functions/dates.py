@@ -23,6 +23,8 @@ DATE_SHAPES = (
     (r"^[A-Za-z]{3}-\d{1,2}-\d{2}$", ("MMM-d-yy",)),
     (r"^\d{4}-[A-Za-z]{3}-\d{1,2}$", ("yyyy-MMM-d",)),
     (r"^\d{4}-[A-Za-z]{4,}-\d{1,2}$", ("yyyy-MMMM-d",)),
+    (r"^\d{4}-[A-Za-z]{3}$", ("yyyy-MMM",)),
+    (r"^\d{4}-[A-Za-z]{4,}$", ("yyyy-MMMM",)),
     (r"^[A-Za-z]{3}-\d{4}$", ("MMM-yyyy",)),
     (r"^[A-Za-z]{4,}-\d{4}$", ("MMMM-yyyy",)),
     (r"^\d{4}-\d{1,2}$", ("yyyy-M",)),
@@ -30,13 +32,20 @@ DATE_SHAPES = (
     (r"^\d{4}$", ("yyyy",)),
 )
 
+# The days that nanoseconds in 64 bits can hold; others count as unreadable.
+FIRST_DAY, LAST_DAY = dt.date(1677, 9, 22), dt.date(2262, 4, 11)
+
 
 def date_text(col: Column) -> Column:
     """The text without weekday, ordinal ending and time of day, and with "-" as the only separator."""
     plain = F.regexp_replace(F.trim(col), r"(?i)^(mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?[., ]+", "")
+    plain = F.regexp_replace(plain, r"^\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?[ ,]+", "")
+    # A time without colons after a whole date.
+    plain = F.regexp_replace(plain, r"(?<=^\d{8})[T ]\d{2}(\d{2}){0,2}$|(?<=^\d{4}[-/.]\d{1,2}[-/.]\d{1,2})[T ]\d{1,2}$", "")
     plain = F.regexp_replace(plain, r"(?i)([T ]\d{1,2}:\d{2}.*| \d{1,2} ?[ap]\.?m\.?)$", "")
     plain = F.regexp_replace(plain, r"(?i)(?<=\d)(st|nd|rd|th)(?![a-z])", "")
-    return F.regexp_replace(F.regexp_replace(plain, r"(?i)\bsept\b", "Sep"), r"[/., ]+", "-")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i) of (?=[a-z])", " "), r"(?<=\d)(?=[A-Za-z]{3})|(?<=[A-Za-z]{3})(?=\d)", "-")
+    return F.regexp_replace(F.regexp_replace(plain, r"(?i)\bsept\b", "Sep"), r"[/., -]+", "-")
 
 
 def read_date_text(unified: Column, as_of: dt.date) -> Column:
@@ -46,6 +55,9 @@ def read_date_text(unified: Column, as_of: dt.date) -> Column:
     for shape, readings in reversed(DATE_SHAPES):
         attempts = F.coalesce(*[F.try_to_date(unified, reading) for reading in readings])
         parsed = F.when(unified.rlike(shape), attempts).otherwise(parsed)
+    quarter = F.make_date(F.substring(unified, 1, 4).try_cast("int"), F.substring(unified, -1, 1).try_cast("int") * 3 - 2, F.lit(1))
+    parsed = F.when(unified.rlike(r"^[0-9]{4}-?[Qq][1-4]$"), quarter).otherwise(parsed)
+    parsed = F.when(parsed.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), parsed)
     two_digit_year = unified.rlike(r"^[^-]+-[^-]+-\d{2}$")
     century = F.lit(dt.date(as_of.year + 50, 1, 1))
     return F.when(two_digit_year & (parsed >= century), F.add_months(parsed, -1200)).otherwise(parsed)

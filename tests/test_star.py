@@ -248,6 +248,34 @@ def test_adhoc_sql_sees_the_star_only(spark, staging, root, as_of):
     assert read_star(spark, root)["Fact_HR"].count() == 1
 
 
+def test_adhoc_sql_follows_names_to_what_they_mean(spark, staging, root, as_of):
+    load_star(spark, staging(person(1)), root, as_of)
+    spark.sql("create table if not exists secret_t using parquet as select 1 as v")
+    spark.sql("create or replace view Dim_Job_view as select * from secret_t")
+    try:
+        for statement in (
+            "with secret_t as (select * from secret_t) select * from secret_t",
+            "with a as (with secret_t as (select 1) select * from secret_t) select * from a, secret_t",
+            "select (select max(v) from secret_t) from Fact_HR",
+            "select * from Fact_HR where EmployeeID in (with q as (select v from secret_t) select v from q)",
+            "select * from Dim_Job_view",
+            "select * from default.secret_t",
+            "select * from Fact_HR f join lateral (select v from secret_t where v = f.EmployeeID) on true",
+        ):
+            with pytest.raises(RefusedStatement):
+                run_sql(spark, statement, root, as_of)
+        for statement, value in (
+            ("with secret_t as (select 5 as v) select v from secret_t", 5),
+            ("select count(*) from (with f as (select * from Fact_HR) select * from f where EmployeeID in (select EmployeeID from f))", 1),
+            ("select sum(id) from range(4) where id <= (select max(FactKey) from Fact_HR)", 1),
+            ("select v from values (3) as t(v) where exists (select 1 from Dim_Employee)", 3),
+        ):
+            assert run_sql(spark, statement, root, as_of).first()[0] == value
+    finally:
+        spark.sql("drop view Dim_Job_view")
+        spark.sql("drop table secret_t")
+
+
 def test_old_versions_go_and_the_last_ones_stay(spark, staging, root, as_of):
     for employee in (1, 2, 3):
         batch = write_staging(staging(person(employee)), root)
