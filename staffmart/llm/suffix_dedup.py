@@ -18,10 +18,11 @@ Defined results: NULL is an empty text; rows are told apart by a hash of id and
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,11 @@ LENGTH = 200
 PIECE = 32
 BITS = 1 << 27  # of the filter
 BLOCK_BITS = 1 << 16
-CHUNK = 2 << 20  # bytes of text in one run
+CHUNK = 512 << 10  # bytes of text in one run, and hashed at once
 RANGE = 200_000  # suffixes merged by one task
+SAMPLED = 8192  # one in so many suffixes helps to find the ranges
+ROWS = 1 << 14  # suffixes laid out as rows at a time
+PART = 1 << 14  # suffixes in a row of the run table at most
 
 
 def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -52,10 +56,27 @@ def piece_hashes(raw: np.ndarray) -> np.ndarray:
     hashes, factor, width = raw.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
     while width < PIECE:
         hashes = hashes[:-width] * factor + hashes[width:]
-        factor, width = factor * factor, 2 * width
+        factor, width = np.uint64(int(factor) ** 2 % (1 << 64)), 2 * width
     return mix(hashes)
 
 
+def stretches(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(rows, first bytes, bytes) of some texts, a bounded number of bytes at a time.
+
+    A long text is cut into stretches that overlap by one byte less than a string, so every string starts in just one of them.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.binary())
+    rows, bases = np.arange(len(texts)), np.zeros(len(texts), np.int64)
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    if len(texts) and lengths.max() > CHUNK + LENGTH - 1:
+        cuts = [(row, base) for row, n in enumerate(lengths.tolist()) for base in range(0, max(n - LENGTH + 1, 1), CHUNK)]
+        rows, bases = (np.array(column, np.int64) for column in zip(*cuts))
+        views = [memoryview(text.as_buffer()) for text in texts]
+        texts = pa.array([views[row][base : base + CHUNK + LENGTH - 1].tobytes() for row, base in cuts], pa.binary())
+    for first, part in chunks(texts, CHUNK):
+        yield rows[first : first + len(part)], bases[first : first + len(part)], part
+
+
 class Strings:
     """The strings of ``LENGTH`` bytes of some texts laid end to end."""
 
@@ -67,9 +88,11 @@ class Strings:
         size = np.diff(self.offsets)
         first = self.offsets[:-1]
         count = np.maximum(size - LENGTH + 1, 0)
-        self.doc = np.repeat(np.arange(len(texts)), count)
-        self.start = np.arange(len(self.doc)) - np.repeat(np.cumsum(count) - count, count)
-        self.at = first[self.doc] + self.start
+        # Within a chunk 32 bits are enough; a longer text is a chunk of its own.
+        narrow = np.int32 if self.offsets[-1] < 1 << 31 else np.int64
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), count)
+        self.start = np.arange(len(self.doc), dtype=narrow) - np.repeat((np.cumsum(count) - count).astype(narrow), count)
+        self.at = first.astype(narrow)[self.doc] + self.start
         self.least = np.zeros(0, np.uint64)
         if len(self.at):
             self.pieces = piece_hashes(self.raw)
@@ -95,7 +118,7 @@ def repeated_bits(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column("text")):
+            for _, _, texts in stretches(batch.column("text")):
                 hashes, count = np.unique(Strings(texts).anchors(), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "n": pa.array(np.minimum(count, 2))})
 
@@ -121,21 +144,28 @@ def candidates(strings: Strings, bits: np.ndarray) -> np.ndarray:
     return np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
 
 
-def order_key(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The first seven bytes of suffixes as a number, in suffix order."""
-    key = np.zeros(len(at), np.int64)
-    for k in range(7):
-        key = key << 8 | raw[at + k]
-    return key
+def laid_out(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first, rows of ``LENGTH`` bytes) for the suffixes at some places, a bounded number at a time."""
+    matrix = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)
+    for first in range(0, len(at), ROWS):
+        yield first, matrix[at[first : first + ROWS]]
+
+
+def range_of(raw: np.ndarray, at: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """The range of the suffix order that each suffix belongs to, by all its bytes."""
+    place = np.zeros(len(at), np.int64)
+    for first, rows in laid_out(raw, at):
+        place[first : first + len(rows)] = np.searchsorted(splitters, rows.view(f"S{LENGTH}").ravel(), side="right")
+    return place
 
 
-def front_coded(rows: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> dict[str, list]:
+def front_coded(rows: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> dict:
     """Sorted different suffixes (one a row) as shared prefix lengths, rests, row keys and starts."""
     shared = np.zeros(len(rows), np.int64)
     if len(rows) > 1:
         shared[1:] = (rows[1:] != rows[:-1]).argmax(axis=1)
     rests = rows[np.arange(LENGTH) >= shared[:, None]].tobytes()
-    return {"shared": shared.astype(np.uint8).tobytes(), "rests": rests, "keys": keys.tolist(), "starts": starts.tolist()}
+    return {"shared": shared.astype(np.uint8).tobytes(), "rests": rests, "keys": keys, "starts": starts}
 
 
 RUNS = "range int, shared binary, rests binary, keys array<long>, starts array<int>"
@@ -144,39 +174,66 @@ RUNS = "range int, shared binary, rests binary, keys array<long>, starts array<i
 def sorted_runs(batch: pa.RecordBatch, bits: np.ndarray, splitters: np.ndarray) -> Iterator[dict]:
     """Parts of sorted runs by range; range -1 holds the starts that a run has settled as repeated."""
     row_keys = batch.column("key").to_numpy(zero_copy_only=False)
-    for first, texts in chunks(batch.column("text"), CHUNK):
+    for rows_of, bases, texts in stretches(batch.column("text")):
         strings = Strings(texts)
         chosen = candidates(strings, bits)
         if not len(chosen):
             continue
-        at = strings.at[chosen]
-        data = strings.raw.tobytes()
-        suffixes = [data[i : i + LENGTH] for i in at.tolist()]
-        order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), np.int64)
-        del suffixes
-        matrix = np.lib.stride_tricks.sliding_window_view(strings.raw, LENGTH)
+        doc, at, raw = strings.doc[chosen], strings.at[chosen], strings.raw
+        key, start = row_keys[rows_of[doc]], (bases[doc] + strings.start[chosen]).astype(np.int32)
+        del strings, chosen
+        order = suffix_order(raw, at)
         same = np.zeros(len(order), bool)
-        for begin in range(1, len(order), 1 << 16):
-            part = order[begin - 1 : begin + (1 << 16)]
-            rows = matrix[at[part]]
-            same[begin : begin + len(part) - 1] = (rows[1:] == rows[:-1]).all(axis=1)
+        before = None
+        for begin, rows in laid_out(raw, at[order]):
+            if before is not None:
+                same[begin] = (rows[0] == before).all()
+            same[begin + 1 : begin + len(rows)] = (rows[1:] == rows[:-1]).all(axis=1)
+            before = rows[-1]
         repeated = same.copy()
         repeated[:-1] |= same[1:]
-        key, start = row_keys[first + strings.doc[chosen]], strings.start[chosen]
         settled = order[repeated]
-        yield {"range": -1, "shared": None, "rests": None, "keys": key[settled].tolist(), "starts": start[settled].tolist()}
+        for begin in range(0, len(settled), PART):
+            part = settled[begin : begin + PART]
+            yield {"range": -1, "shared": None, "rests": None, "keys": key[part], "starts": start[part]}
         order = order[~same]
-        place = np.searchsorted(splitters, order_key(strings.raw, at[order]), side="right")
+        place = range_of(raw, at[order], splitters)
         edges = np.flatnonzero(np.diff(place, prepend=-1, append=place[-1] + 1))
-        for a, b in zip(edges[:-1], edges[1:]):
-            part = order[a:b]
-            yield {"range": int(place[a]), **front_coded(matrix[at[part]], key[part], start[part])}
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for begin in range(a, b, PART):
+                part = order[begin : min(begin + PART, b)]
+                rows = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[at[part]]
+                yield {"range": int(place[a]), **front_coded(rows, key[part], start[part])}
+
+
+def suffix_order(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The order of the suffixes at some places, from ranks of their first 8, 16, ... bytes.
+
+    Ranks are known for all places that a suffix can reach; a place near the end counts as if zeros followed.
+    """
+    padded = np.concatenate((raw, np.zeros(2 * LENGTH, np.uint8)))
+    key = np.zeros(len(raw) + LENGTH, np.uint64)
+    for k in range(8):
+        key = key << np.uint64(8) | padded[k : k + len(key)]
+    covered = np.bincount(at, minlength=len(key)) - np.bincount(at + LENGTH, minlength=len(key))
+    places = np.flatnonzero(np.cumsum(covered) > 0)
+    rank = np.zeros(len(key), np.int64)
+    rank[places] = np.unique(key[places], return_inverse=True)[1]
+    del key, covered
+    width = 8
+    while width < LENGTH:
+        step = min(width, LENGTH - width)
+        # Of overlapping halves the first comes first: ranks of both together order twice the width, or all of it at last.
+        both = rank[places] << 32 | rank[np.minimum(places + step, len(rank) - 1)]
+        rank[places] = np.unique(both, return_inverse=True)[1]
+        width += step
+    return np.argsort(rank[at], kind="stable")
 
 
 class Run:
     """A front-coded run being read: the current suffix and the prefix it shares with the last winner."""
 
-    def __init__(self, shared: bytes, rests: bytes, keys: list[int], starts: list[int]):
+    def __init__(self, shared: bytes, rests: bytes, keys: Sequence[int], starts: Sequence[int]):
         self.shared, self.rests, self.keys, self.starts = shared, rests, keys, starts
         self.number, self.at, self.suffix, self.common = -1, 0, b"", 0
         self.advance()
@@ -245,7 +302,12 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
 
 def merged_range(table: pa.Table) -> pa.Table:
     """(key, start) of the suffixes of a range that repeat across runs."""
-    runs = [Run(r["shared"], r["rests"], r["keys"], r["starts"]) for r in table.to_pylist()]
+    columns = {name: table[name].combine_chunks() for name in ("keys", "starts")}
+    lists = {name: [column[i].values.to_numpy() for i in range(table.num_rows)] for name, column in columns.items()}
+    runs = [
+        Run(shared.as_py(), rests.as_py(), keys, starts)
+        for shared, rests, keys, starts in zip(table["shared"], table["rests"], lists["keys"], lists["starts"])
+    ]
     keys, starts, before = [], [], None
     for common, key, start in merge(runs):
         if common == LENGTH:
@@ -262,25 +324,27 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column("text")):
+            for _, _, texts in stretches(batch.column("text")):
                 strings = Strings(texts)
                 chosen = candidates(strings, bits.value)
-                some = chosen[strings.least[chosen] % np.uint64(64) == 0] if len(chosen) else chosen
-                key = order_key(strings.raw, strings.at[some]) if len(some) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(chosen)], pa.int64()), "order": pa.array([key.tolist()], pa.list_(pa.int64()))})
+                some = chosen[mix(strings.least[chosen] + strings.start[chosen].astype(np.uint64)) % np.uint64(SAMPLED) == 0]
+                rows = [r.tobytes() for _, part in laid_out(strings.raw, strings.at[some]) for r in part] if len(some) else []
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(chosen)], pa.int64()), "order": pa.array([rows], pa.list_(pa.binary()))})
 
-    sampled = materialise(docs.select("text").mapInArrow(sample, "n long, order array<long>"), "suffix-sample")
+    sampled = materialise(docs.select("text").mapInArrow(sample, "n long, order array<binary>"), "suffix-sample")
     total = sampled.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE))
-    quantiles = F.percentile_approx("o", [k / ranges for k in range(1, ranges)] or [0.5], 100_000)
-    found = sampled.select(F.explode("order").alias("o")).agg(quantiles).first()[0] if ranges > 1 else None
-    splitters = np.unique(np.array(found or [], np.int64))
+    picked = sampled.select(F.explode("order").alias("o"))
+    # One sampled suffix in so many ends a range; a suffix sampled often ends one only.
+    every = max(1, RANGE // SAMPLED)
+    numbered = picked.withColumn("nth", F.expr("row_number() OVER (ORDER BY o)")) if total > RANGE else picked.limit(0).withColumn("nth", F.lit(0))
+    splitters = numbered.where(F.col("nth") % every == 0).select("o").distinct().toArrow()["o"].to_pylist()
+    splitters = np.sort(np.array(splitters, f"S{LENGTH}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("range", pa.int32()), ("shared", pa.binary()), ("rests", pa.binary()), ("keys", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32()))])
         for batch in batches:
             for row in sorted_runs(batch, bits.value, splitters):
-                yield pa.RecordBatch.from_pylist([row], schema)
+                yield pa.RecordBatch.from_pydict({name: pa.array([row[name]], schema.field(name).type) for name in schema.names}, schema)
 
     parts = materialise(docs.select("key", "text").mapInArrow(run, RUNS), "suffix-runs")
     within = parts.where("range = -1").select(F.explode(F.arrays_zip("keys", "starts")).alias("s")).select("s.keys", "s.starts").toDF("key", "start")

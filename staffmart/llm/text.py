@@ -28,7 +28,7 @@ def fold(id_column: Column, folds: int) -> Column:
 
 def chunks(texts: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """(first row, slice) pieces of a text array, each of at most ``max_bytes`` or one text; NULL becomes empty."""
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, "") if texts.null_count else texts
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
     while first < len(texts):

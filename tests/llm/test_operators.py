@@ -248,3 +248,55 @@ def test_layers_are_read_to_their_end():
         for before, after in (("key\n", "\n\nend"), ("key: ", " end"), ("some words here\n", " end")):
             spans = secrets.scan(before + hidden + after)[4].split(",")
             assert f"decoded_assign:{len(before)}:{len(before + hidden)}" in spans, (before, spans)
+
+
+def test_suffix_order_is_that_of_the_bytes():
+    rng = random.Random(1)
+    raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)) + bytes(300) + b"ab" * 400, np.uint8)
+    at = np.flatnonzero(np.arange(len(raw) - suffix_dedup.LENGTH + 1) % 7 != 3)
+    suffixes = [raw[i : i + suffix_dedup.LENGTH].tobytes() for i in at]
+    assert [suffixes[i] for i in suffix_dedup.suffix_order(raw, at)] == sorted(suffixes)
+
+
+def test_runs_of_a_text_of_candidates_alone_take_little_memory():
+    """Two megabytes of which every string is a candidate, in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, numpy as np, pyarrow as pa
+from staffmart.llm import suffix_dedup as s
+rng = random.Random(1)
+text = "".join(rng.choice("abcdefgh ") for _ in range(2 << 20))
+batch = pa.RecordBatch.from_pydict({"key": pa.array([1], pa.int64()), "text": pa.array([text])})
+bits = np.full(s.BITS // 8, 255, np.uint8)
+runs = sum(len(r["starts"]) for r in s.sorted_runs(batch, bits, np.array([b"c"], f"S{s.LENGTH}")))
+assert runs == (2 << 20) - s.LENGTH + 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONPATH": root})
+    assert int(found.stdout.split()[-1]) < 300
+
+
+def test_most_suffixes_begin_alike(spark, monkeypatch):
+    """Ranges are cut by whole suffixes: a frequent opening is not one range."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", 40)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 4)
+    opening, rng = "the same beginning again and again ", random.Random(2)
+    passages = [opening * 3 + "".join(rng.choice("abcdef") for _ in range(260)) for _ in range(6)]
+    texts = [(i, f"{i:05d} " * 40 + passages[i % 6] + f" {i:04d}") for i in range(40)] + [(99, "x" * (suffix_dedup.CHUNK + 700))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = {r["id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    places = collections.Counter()
+    for i, text in texts:
+        if i != 99:
+            places.update(text[k : k + suffix_dedup.LENGTH] for k in range(len(text) - suffix_dedup.LENGTH + 1))
+    for i, text in texts:
+        covered = [False] * len(text)
+        for k in range(len(text) - suffix_dedup.LENGTH + 1):
+            if i == 99 or places[text[k : k + suffix_dedup.LENGTH]] > 1:
+                covered[k : k + suffix_dedup.LENGTH] = [True] * suffix_dedup.LENGTH
+        spans = sum(c and not b for b, c in zip([False, *covered], covered))
+        assert found[i] == (sum(covered), spans)
