@@ -8,8 +8,9 @@ linked with nothing). Two texts link when their sets have a Jaccard similarity o
    repeats within pieces of the corpus; it steers the work and never the result.
 2. A text's prefix is long enough that a linked partner shares a token of it. Where the estimated number of candidates is
    high the prefix is lengthened by l - 1 tokens and l shared tokens are asked for; a pair uses the smaller l of its two texts.
-3. Equal sets are one node. In a posting list of more than a few texts all are first compared with its smallest. Then
-   all lists give the pairs that pass length filter and match count, but only of texts that the links so far leave apart.
+3. Equal sets are one node. In a posting list of more than a few texts all are first compared with one of them, in several rounds:
+   first with that of most fame, then with others that the links so far leave in another component. Then all lists give
+   the pairs that pass length filter, bit tables and match count, but only of texts that are still in different components.
 4. Candidates first pass a bit table of their sets, which bounds from below how much the sets differ; those not ruled out
    are verified on their whole sets. Links are joined into components.
 
@@ -46,7 +47,9 @@ SLOTS = 1 << 20  # of the frequency table
 CHEAP = 64  # candidates that cost no longer prefix
 LONGEST = 8  # the largest number of shared tokens asked for
 LEAST_BITS = 9  # a bit table has 2 ** 9 bits or more
-LIST = 8  # a posting list of more texts is first compared with one of them
+LIST = 8  # a posting list of more texts is first compared with some of them, one after another
+ROUNDS = 5  # such comparisons at most
+WORTHWHILE = 20  # another one follows if this one found one in so many of the links so far
 
 
 class Sets:
@@ -262,14 +265,59 @@ def links(docs: DataFrame, facts: DataFrame, frequency: np.ndarray, rule: Rule)
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         return materialise(verified(pairs, whole_sets(docs, ids.join(nodes, "node"), rule), rule.percent), f"join-{name}-links")
 
-    long = posts.where(F.col("texts") > LIST)
-    smallest = long.groupBy("token").agg(F.min(F.struct("size", "node")).alias("p"))
-    stars = long.join(smallest, "token").where(f"node <> p.node AND 100 * p.size >= {rule.percent} * size")
-    starred = check(stars.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
-    apart = posts.join(connected(starred), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = apart.join(facts.groupBy("node").agg(F.first("fold").alias("fold")), "node")
-    rest = check(candidates(materialise(apart.drop("texts"), "join-apart"), rule.percent), "pairs")
-    return starred.unionByName(rest)
+    folds = facts.groupBy("node").agg(F.first("fold").alias("fold"))
+    # The text behind a group of near copies has no shingles of its own, so it is in more and longer lists than its copies.
+    fame = posts.groupBy("node").agg(F.sum("texts").alias("fame"))
+    posts = materialise(posts.join(folds, "node").join(fame, "node"), "join-posts")
+    found, groups, total = None, None, 0
+    for turn in range(ROUNDS):
+        starred = check(stars(in_components(posts.where(F.col("texts") > LIST), groups), turn, rule.percent), f"stars-{turn}")
+        fresh = starred.count()
+        if turn and not fresh:
+            break
+        found, total = starred if found is None else found.unionByName(starred), total + fresh
+        groups = materialise(neighbours(found), "join-neighbours")
+        if fresh * WORTHWHILE < total:
+            break
+    groups = connected(found)
+    apart = materialise(in_components(posts, groups).drop("texts", "fame"), "join-apart")
+    mixed = apart.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    apart = apart.join(mixed.select("token"), "token", "left_semi")
+    rest = check(candidates(apart, rule.percent), "pairs")
+    return found.unionByName(rest)
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """(node, component): the least of the texts asked that a text is linked to, itself included if it was asked.
+
+    Texts of one such component are connected through it, which is all that comparing fewer of them takes.
+    """
+    ends = links.select(F.col("b").alias("node"), "a").unionByName(links.select(F.col("a").alias("node"), "a"))
+    return ends.groupBy("node").agg(F.min("a").alias("component"))
+
+
+def in_components(posts: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``posts`` with the component that the links so far give each text."""
+    if groups is None:
+        return posts.withColumn("component", F.col("node"))
+    return posts.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of one text of each posting list and those of the list that are not in its component.
+
+    The first text asked is that of most fame. Later ones are others, by a hash, that are not in its component yet.
+    """
+    texts = F.struct("node", "size", "component", "fold")
+    first = posts.groupBy("token").agg(F.max_by(texts, F.struct("fame", "node")).alias("p"))
+    if turn:
+        outside = posts.join(first.select("token", F.col("p.component").alias("first_component")), "token").where("component <> first_component")
+        first = outside.groupBy("token").agg(F.max_by(texts, F.xxhash64(F.lit(turn), F.col("node"))).alias("p"))
+    near = f"component <> p.component AND 100 * least(size, p.size) >= {percent} * greatest(size, p.size)"
+    differ = " + ".join(f"bit_count(fold[{k}] ^ p.fold[{k}])" for k in range(1 << (LEAST_BITS - 6)))
+    near += f" AND {differ} <= size + p.size - 2 * (({percent} * (size + p.size) + {99 + percent}) div {100 + percent})"
+    met = posts.join(first, "token").where(near)
+    return met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
