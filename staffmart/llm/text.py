@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 # Texts handled at once by a task; a longer text is handled alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 # Columns of the documents table; every pipeline stage but the last returns them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
