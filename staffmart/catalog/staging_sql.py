@@ -98,6 +98,7 @@ def numbered(key: str, order: tuple[str, ...], start: str = "0") -> str:
     )
 
 
+# Fixed values below: names and order of the star's columns, the unknown members, and the columns a later batch changes.
 # Per dimension: surrogate key, natural key, columns with their collapse, unknown member, update list.
 EMPLOYEE = (
     "EmployeeKey",
@@ -185,6 +186,7 @@ FACT_BODY = """
     Training_Outcome AS TrainingOutcome, Training_Duration_Days AS TrainingDurationDays,
     Training_Cost AS TrainingCost"""
 
+# The stored columns of the fact, and those a later batch changes.
 FACT_COLUMNS = (
     "EmployeeID", "EmployeeKey", "JobKey", "LocationKey", "TrainingKey", "StartDate", "ExitDate",
     "SurveyDate", "TrainingDate", "EmployeeStatus", "EmployeeType", "EmployeeClassificationType",
