@@ -1,13 +1,16 @@
-"""Modified Kneser-Ney models over the characters of words, counted by Spark.
-
-An n-gram is a run of at most ``order`` characters of one lower-cased word, whose start and end are marked by a line
-break; contexts do not cross words. Counts are kept for two classes (a single-class model leaves the second empty).
-The highest order uses raw counts, lower orders the number of distinct left neighbours, n-grams at a word's
-start raw counts, as they have one left neighbour only. Orders up to ``shared`` pool both classes.
-
-The model sent to the tasks is a set of sorted hash arrays. Its size is bounded: an n-gram is stored if it makes up more
-than 1 / ``STORED`` of either class's counts of its length, the mass of others goes to the backoff. The rule is a share, so it
-acts alike on every corpus size; counts and discounts themselves cover the whole corpus.
+"""Modified Kneser-Ney models over the characters of running text, counted by Spark.
+
+A text is read as its lower-cased words with one blank between them and a line break at either end, so contexts reach from
+word to word, not from text to text. An n-gram is a run of at most ``order`` such characters. Counts are kept for two classes
+(a single-class model leaves the second empty). The highest order uses raw counts, lower orders the number of distinct left
+neighbours. N-grams of two and more characters that begin before a word or text have raw counts in all orders: what stands left
+of a blank is the end of another word, and how many ends a word follows says little about how often it is used. Orders up to ``shared`` pool both classes.
+
+No n-gram is left out. Discounts, contexts and interpolated probabilities are joins of n-gram tables on Spark. The logarithm
+of a probability is a sum over the orders: each context met adds the logarithm of its backoff weight, each n-gram met adds what it
+has above its backoff. So the model is one table of (hash, addend) in which an unknown hash counts as zero, and can be cut
+anywhere: it travels as sorted hash arrays in blocks of some ``BLOCK`` entries, as many as it takes, and neither the driver
+nor a task holds more than one of them at a time.
 """
 
 from __future__ import annotations
@@ -19,42 +22,56 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffmart.llm.text import chunks, encode_words, mix
+from staffmart.llm.text import chunks, mix, split_words
 from staffmart.session import materialise
 
 ORDER = 6
-# At most so many n-grams of one length and class are stored.
-STORED = 1 << 19
-EDGE = 10  # the line break: no word contains it
+BLOCK = 1 << 22  # hashes and addends of so many entries take 48 MB
+EDGE, BLANK = 10, 32  # the line break and the blank: no word contains them
 FACTOR = 0x9E3779B97F4A7C15
+CONTEXT = np.uint64(0xD1B54A32D192ED03)  # tells a context's hash from that of the same n-gram
+CLASSES = (0, 1)
 
 
 def factor(power: int) -> np.uint64:
     return np.uint64(pow(FACTOR, power, 1 << 64))
 
 
-def symbols(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters of all words between edges; the edge before each; the word each belongs to (its end edge included)."""
-    joined = "\n" + "".join(word + "\n" for word in words.to_pylist())
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+@dataclass
+class Running:
+    """Characters of all texts between edges; the edge before each; where words end; the symbols that each text with words has."""
+
+    points: np.ndarray
+    start: np.ndarray
+    separators: np.ndarray
+    lengths: np.ndarray
+
+
+def running(words: pa.Array, bounds: np.ndarray) -> Running:
+    """Texts of ``words`` within neighbouring ``bounds``; those without words are passed over."""
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pc.utf8_lower(words))
+    texts = pc.binary_join(lists.filter(pa.array(np.diff(bounds) > 0)), " ")
+    joined = "\n" + "".join(text + "\n" for text in texts.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
     edges = points == EDGE
     last = np.maximum.accumulate(np.where(edges, np.arange(len(points)), 0))
     start = np.concatenate(([0], last[:-1]))
-    word = np.concatenate(([0], np.cumsum(edges)[:-1] - 1))
-    return np.where(points == 0, np.uint64(0xFFFD), points), start, word
+    points = np.where(points == 0, np.uint64(0xFFFD), points)
+    return Running(points, start, np.flatnonzero(edges | (points == BLANK)), np.diff(np.flatnonzero(edges)))
 
 
-def longest(points: np.ndarray, start: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def longest(text: Running, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each character after an edge: hash and length of the longest n-gram that ends there; their positions."""
-    at = np.arange(1, len(points))
-    length = np.minimum(at - start[1:] + 1, order)
-    key = np.zeros(len(at), np.uint64)
-    for back in range(order):
-        inside = back < length
-        key[inside] += points[at[inside] - back] * factor(back)
+    at = np.arange(1, len(text.points))
+    length = np.minimum(at - text.start[1:] + 1, order)
+    key = text.points[1:].copy()
+    for back in range(1, order):
+        part = text.points[: len(text.points) - back] * factor(back)
+        key[back - 1 :] += np.where(back < length[back - 1 :], part, np.uint64(0))
     return key, length, at
 
 
@@ -67,25 +84,23 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_chunk(texts: pa.Array, classes: np.ndarray, order: int) -> pa.RecordBatch:
-    words, ids, bounds = encode_words(texts)
-    of = classes[np.repeat(np.arange(len(texts)), np.diff(bounds))]
-    points, start, word = symbols(pc.utf8_lower(words))
-    key, length, at = longest(points, start, order)
+    words, bounds = split_words(texts)
+    text = running(words, bounds)
+    key, length, at = longest(text, order)
+    of = np.repeat(classes[np.diff(bounds) > 0], text.lengths)
     codes, first = distinct(key)
     matrix = np.zeros((len(first), order), "<u4")
     begin, size = at[first] - length[first] + 1, length[first]
     for j in range(order):
-        matrix[j < size, j] = points[begin[j < size] + j]
+        matrix[j < size, j] = text.points[begin[j < size] + j]
     columns = {"gram": pa.array(matrix.view(f"<U{order}").ravel().tolist(), pa.string())}
-    for c in (0, 1):
-        weight = np.bincount(ids[of == c], minlength=len(words))
-        counted = np.bincount(codes, weights=weight[word[1:]], minlength=len(first))
-        columns[f"n{c}"] = pa.array(counted.astype(np.int64))
+    for c in CLASSES:
+        columns[f"n{c}"] = pa.array(np.bincount(codes[of == c], minlength=len(first)).astype(np.int64))
     return pa.RecordBatch.from_pydict(columns)
 
 
 def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n0, n1) over all ``rows`` (text, cls 0 or 1): grams of ``order`` characters and shorter ones at word starts."""
+    """(gram, n0, n1) over all ``rows`` (text, cls 0 or 1): grams of ``order`` characters and shorter ones at text starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,28 +112,29 @@ def count_grams(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def all_lengths(top: DataFrame, order: int, shared: int) -> DataFrame:
-    """(gram, len, n0, n1) for every length, with Kneser-Ney counts below the highest."""
-    top = materialise(top.withColumn("len", F.length("gram")), "kn-counts")
-    level = top.where(F.col("len") == order)
-    levels = [level]
+def all_lengths(top: DataFrame, order: int, shared: int) -> dict[int, DataFrame]:
+    """Tables (gram, n0, n1) by length, with Kneser-Ney counts below the highest."""
+    top = materialise(top, "kn-counts")
+    level = top.where(F.length("gram") == order)
+    levels = {order: level}
     pooled = {n: F.col("n0") + F.col("n1") for n in ("n0", "n1")}
+    begins = F.expr("filter(sequence(1, length(gram) - 1), i -> (i > 1 or length(gram) < %d) and substring(gram, i, 1) in (' ', '\n'))" % order)
+    starts = top.where(F.length("gram") > 1).select(F.explode(begins).alias("i"), "gram", "n0", "n1")
+    starts = starts.groupBy(F.expr("substring(gram, i)").alias("gram")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    starts = materialise(starts, "kn-starts")
     for length in range(order - 1, 0, -1):
         left = level.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(
             *[F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ("n0", "n1")]
         )
-        starts = top.where(F.col("len") == length)
+        if length > 1:
+            left = left.where("substring(gram, 1, 1) <> ' '")
+        raw = starts.where(F.length("gram") == length)
         if length <= shared:
-            starts = starts.withColumns(pooled)
+            raw = raw.withColumns(pooled)
         if length == shared:  # shorter lengths are derived from what is pooled here
             left = left.withColumns(pooled)
-        level = left.withColumn("len", F.lit(length)).unionByName(starts)
-        level = materialise(level.select("gram", "len", "n0", "n1"), f"kn-{length}")
-        levels.append(level)
-    result = levels[0].select("gram", "len", "n0", "n1")
-    for level in levels[1:]:
-        result = result.unionByName(level)
-    return result
+        level = levels[length] = materialise(left.unionByName(raw), f"kn-{length}")
+    return levels
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -131,100 +147,143 @@ def discounts(counts: list[int]) -> list[float]:
 
 @dataclass
 class Model:
-    """Per length: sorted hashes of n-grams with discounted shares, sorted hashes of contexts with backoff weights."""
+    """Blocks of (sorted hashes, addends); ``base`` is the addend of every character, known or not."""
 
     order: int
-    alphabet: int
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]
-
-
-def hashed(grams: list[str]) -> np.ndarray:
-    keys = np.empty(len(grams), np.uint64)
-    factors = [pow(FACTOR, i, 1 << 64) for i in range(64)]
-    for i, gram in enumerate(grams):
-        keys[i] = sum(ord(c) * factors[back] for back, c in enumerate(reversed(gram))) & 0xFFFFFFFFFFFFFFFF
-    return keys
-
-
-def sorted_arrays(grams: list[str], *values) -> tuple[np.ndarray, np.ndarray]:
-    keys = hashed(grams)
-    order = np.argsort(keys)
-    return keys[order], np.array(values, np.float32).reshape(len(values), len(grams))[:, order]
-
-
-def fit(rows: DataFrame, order: int = ORDER, shared: int = 0) -> Model:
-    """Count ``rows`` (text, cls) and build the model. Without any words all characters are equally likely."""
-    counts = materialise(all_lengths(count_grams(rows, order), order, shared), "kn-lengths")
-    facts = counts.groupBy("len").agg(
-        F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count("*").alias("types"),
-        *[F.sum((F.col(f"n{c}") == k).cast("long")).alias(f"k{c}{k}") for c in (0, 1) for k in (1, 2, 3, 4)],
-    ).collect()
-    facts = {row["len"]: row for row in facts}
-
-    def by_length(pick) -> F.Column:
-        column = F.lit(0.0)
-        for length, row in facts.items():
-            column = F.when(F.col("len") == length, F.lit(float(pick(row)))).otherwise(column)
-        return column
-
-    context = F.expr("substring(gram, 1, len - 1)")
-    totals = counts.groupBy("len", context.alias("context")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
-    stored = counts.where(
-        (F.col("n0") > by_length(lambda row: row["t0"] / STORED)) | (F.col("n1") > by_length(lambda row: row["t1"] / STORED))
-    )
-    rated = stored.withColumn("context", context).join(totals, ["len", "context"])
-    for c in (0, 1):
+    base: float
+    blocks: list[Broadcast]
+
+
+def rated(level: DataFrame, shorter: DataFrame | None, alphabet: int) -> DataFrame:
+    """(gram, context, per class l: log-probability, g: log backoff weight of the context, d: what the n-gram adds to its backoff)."""
+    facts = level.agg(*[F.count_if(F.col(f"n{c}") == k).alias(f"k{c}{k}") for c in CLASSES for k in (1, 2, 3, 4)]).first()
+    level = level.withColumn("context", F.expr("substring(gram, 1, length(gram) - 1)"))
+    cut = {}
+    for c in CLASSES:
         n = F.col(f"n{c}")
-        cut = F.lit(0.0)
-        for k in (1, 2, 3):
-            at = by_length(lambda row, c=c, k=k: discounts([row[f"k{c}{i}"] for i in (1, 2, 3, 4)])[k - 1])
-            cut = F.when(n >= k, at).otherwise(cut)
-        rated = rated.withColumn(f"a{c}", F.when(F.col(f"c{c}") > 0, F.greatest(n - cut, F.lit(0.0)) / F.col(f"c{c}")).otherwise(0.0))
-    rated = materialise(rated.select("len", "gram", "context", "a0", "a1", "c0", "c1"), "kn-rated")
-    weights = rated.groupBy("len", "context").agg(
-        *[F.when(F.max(f"c{c}") > 0, 1 - F.sum(f"a{c}")).otherwise(1.0).alias(f"g{c}") for c in (0, 1)]
+        one, two, more = discounts([facts[f"k{c}{k}"] for k in (1, 2, 3, 4)])
+        cut[c] = F.when(n >= 3, more).when(n == 2, two).when(n == 1, one).otherwise(0.0)
+    totals = level.groupBy("context").agg(
+        *[F.sum(f"n{c}").alias(f"c{c}") for c in CLASSES], *[F.sum(cut[c]).alias(f"cut{c}") for c in CLASSES]
     )
-    model = Model(order, 1 + (facts[1]["types"] if 1 in facts else 0), {}, {})
-    grams = rated.select("len", "gram", "a0", "a1").toArrow().to_pandas()
-    contexts = weights.toArrow().to_pandas()
-    for length in facts:
-        own = grams[grams["len"] == length]
-        model.grams[length] = sorted_arrays(own["gram"].tolist(), own["a0"], own["a1"])
-        own = contexts[contexts["len"] == length]
-        model.contexts[length] = sorted_arrays(own["context"].tolist(), own["g0"], own["g1"])
-    return model
-
-
-def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-    known, values = table
-    out = np.full((2, len(keys)), missing, np.float64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        out[:, hit] = values[:, at[hit]]
-    return out
-
-
-def word_likelihoods(model: Model, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood of each word under both classes, shape (2, words), and its length with the end mark."""
-    points, start, word = symbols(pc.utf8_lower(words))
-    key, length, at = longest(points, start, model.order)
-    if not len(at):
-        return np.zeros((2, 0)), np.zeros(0)
-    codes, first = distinct(key)
-    at, length = at[first], length[first]
-    p = np.full((2, len(at)), 1.0 / model.alphabet)
+    joined = level.join(totals, "context")
+    if shorter is not None:
+        shorter = shorter.select(F.col("gram").alias("suffix"), *[F.col(f"l{c}").alias(f"s{c}") for c in CLASSES])
+        joined = joined.withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, "suffix")
+    columns: list[Column] = [F.col("gram"), F.col("context")]
+    for c in CLASSES:
+        total, known = F.col(f"c{c}"), F.col(f"c{c}") > 0
+        share = F.when(known, (F.col(f"n{c}") - cut[c]) / total).otherwise(0.0)
+        weight = F.when(known, F.col(f"cut{c}") / total).otherwise(1.0)
+        below = F.lit(float(-np.log(alphabet))) if shorter is None else F.col(f"s{c}")
+        log = F.log(share + weight * F.exp(below))
+        columns += [log.alias(f"l{c}"), F.log(weight).alias(f"g{c}"), (log - F.log(weight) - below).alias(f"d{c}")]
+    return joined.select(*columns)
+
+
+def hashed(grams: pa.Array) -> np.ndarray:
+    """The polynomial hash of each n-gram, as ``longest`` has it."""
+    joined = "".join(grams.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
+    size = pc.utf8_length(grams).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    key = np.zeros(len(size), np.uint64)
+    for back in range(int(size.max()) if len(size) else 0):
+        inside = back < size
+        key[inside] += points[ends[inside] - 1 - back] * factor(back)
+    return key
+
+
+def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, is_context, value) to (key, value)."""
+    for batch in batches:
+        key = hashed(batch.column("gram"))
+        context = batch.column("is_context").to_numpy(zero_copy_only=False)
+        key = mix(np.where(context, key ^ CONTEXT, key))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("value")], names=["key", "value"])
+
+
+def fit(rows: DataFrame, order: int = ORDER, shared: int = 0, weights: tuple[float, float] = (1.0, 0.0)) -> Model:
+    """Count ``rows`` (text, cls) and build the model of the classes' log-probabilities, times ``weights`` and summed.
+
+    Without any words every character has the same probability in both classes.
+    """
+    levels = all_lengths(count_grams(rows, order), order, shared)
+    alphabet = 1 + levels[1].count()
+    weigh = lambda name: sum(F.lit(w) * F.col(f"{name}{c}") for c, w in zip(CLASSES, weights))
+    table, shorter, base = None, None, sum(weights) * float(-np.log(alphabet))
+    for length in range(1, order + 1):
+        shorter = materialise(rated(levels[length], shorter, alphabet), f"kn-rated-{length}")
+        part = shorter.select("gram", F.lit(False).alias("is_context"), weigh("d").alias("value"))
+        table = part if table is None else table.unionByName(part)
+        met = shorter.groupBy(F.col("context").alias("gram")).agg(*[F.first(f"g{c}").alias(f"g{c}") for c in CLASSES])
+        if length > 1:
+            table = table.unionByName(met.select("gram", F.lit(True).alias("is_context"), weigh("g").alias("value")))
+        elif (first := met.first()) is not None:
+            base += sum(w * first[f"g{c}"] for c, w in zip(CLASSES, weights))
+    table = table.withColumn("value", F.col("value").cast("float")).where("value <> 0").mapInArrow(keyed, "key long, value float")
+    table = materialise(table, "kn-table")
+    count = max(1, -(-table.count() // BLOCK))
+    if count > 1:
+        table = table.withColumn("block", F.pmod(F.col("key"), F.lit(count)).cast("int"))
+        table = materialise(table.repartition(count, "block").sortWithinPartitions("block"), "kn-blocks")
+    blocks = []
+    for b in range(count):
+        own = (table.where(F.col("block") == b) if count > 1 else table).select("key", "value").toArrow()
+        keys = own["key"].to_numpy().view(np.uint64)
+        sort = np.argsort(keys)
+        blocks.append(rows.sparkSession.sparkContext.broadcast((keys[sort], own["value"].to_numpy()[sort])))
+    return Model(order, base, blocks)
+
+
+def release(model: Model) -> None:
+    """Take the model off the executors; results that depend on it must have been stored."""
+    for block in model.blocks:
+        block.destroy()
+
+
+def addends(model: Model, text: Running, at: np.ndarray, length: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The sum of the addends of each n-gram that ends ``at`` a character and of their contexts; the same up to length ``word`` only."""
+    wanted = []
     gram, context = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for n in range(1, model.order + 1):
         rows = np.flatnonzero(n <= length)
-        added = points[at[rows] - n + 1]
+        added = text.points[at[rows] - n + 1]
         gram[rows] += added * factor(n - 1)
+        wanted.append((n, rows, mix(gram[rows])))
         if n > 1:  # the context lacks the last character, so its powers are one lower
             context[rows] += added * factor(n - 2)
-        if n in model.grams:
-            p[:, rows] = find(model.grams[n], gram[rows], 0.0) + find(model.contexts[n], context[rows], 1.0) * p[:, rows]
-    logs = np.log(np.maximum(p, 1e-12))[:, codes]
-    ends = np.flatnonzero(points == EDGE)
-    total = np.concatenate((np.zeros((2, 1)), np.cumsum(logs, axis=1)), axis=1)
-    return total[:, ends[1:]] - total[:, ends[:-1]], np.diff(ends).astype(np.float64)
+            wanted.append((n, rows, mix(context[rows] ^ CONTEXT)))
+    value = np.full((2, len(at)), model.base)
+    wanted = [(n, rows[sort], keys[sort]) for n, rows, keys in wanted for sort in [np.argsort(keys)]]  # neighbours are found close together
+    for block in model.blocks:
+        known, add = block.value
+        for n, rows, keys in wanted:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[place] == keys
+                rows, found = rows[hit], add[place[hit]]
+                value[0, rows] += found
+                within = n <= word[rows]
+                value[1, rows[within]] += found[within]
+        if len(model.blocks) > 1:  # the next one is read from disk in its place
+            del known, add
+            vars(block).pop("_value", None)
+    return value
+
+
+def word_values(model: Model, words: pa.Array, bounds: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """For each word the sum over its characters and the separator after it, in the context of the words before and alone
+    (contexts reach to the separator before it), shape (2, words); and the number of those characters.
+
+    A character counts at most ``most`` either way."""
+    text = running(words, bounds)
+    key, length, at = longest(text, model.order)
+    if not len(at):
+        return np.zeros((2, 0)), np.zeros(0)
+    codes, first = distinct(key)
+    at, length = at[first], length[first]
+    word = np.minimum(length, at - text.separators[np.searchsorted(text.separators, at) - 1] + 1)
+    value = np.clip(addends(model, text, at, length, word), -most, most)[:, codes]
+    total = np.concatenate((np.zeros((2, 1)), np.cumsum(value, axis=1)), axis=1)
+    return np.diff(total[:, text.separators]), np.diff(text.separators).astype(np.float64)

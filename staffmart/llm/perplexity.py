@@ -1,7 +1,7 @@
 """Quality rules: base counts of every text and its perplexity under a Kneser-Ney model of the corpus.
 
-Spark counts the character n-grams of all texts; the modified Kneser-Ney model travels as sorted hash arrays. A text's log-perplexity is
-its mean negative log-likelihood per character. Per language, texts whose log-perplexity lies outside a band around
+Spark counts the character n-grams of all running texts; the modified Kneser-Ney model travels as sorted hash arrays. A text's
+log-perplexity is its mean negative log-likelihood per character, blanks between words included. Per language, texts whose log-perplexity lies outside a band around
 the middle half of its texts are rejected: below it are repetitive ones, above it garbled ones. The band reaches three times
 the quartile distance beyond the quartiles, so ordinary texts stay inside whatever their language.
 
@@ -79,20 +79,21 @@ def measure(texts: pa.Array, model: kneser_ney.Model) -> pa.Array:
     coded = flat.dictionary_encode()
     words, ids = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     columns = base_counts(texts, ids, bounds, words)
-    logs, lengths = kneser_ney.word_likelihoods(model, words)
-    total = sums(lengths[ids], bounds)
-    columns["log_perplexity"] = np.where(total > 0, -sums(logs[0][ids], bounds) / np.maximum(total, 1), np.nan)
+    logs, lengths = kneser_ney.word_values(model, flat, bounds)
+    total = sums(lengths, bounds)
+    columns["log_perplexity"] = np.where(total > 0, -sums(logs[0], bounds) / np.maximum(total, 1), np.nan)
     return pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, lang, the base counts, log_perplexity, base_failed, kept) of every text."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(kneser_ney.fit(docs.select("text", F.lit(0).alias("cls")), ORDER))
+    model = kneser_ney.fit(docs.select("text", F.lit(0).alias("cls")), ORDER)
     out = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ", log_perplexity: double>"
-    measured = docs.select("id", "lang", text_column(lambda texts: measure(texts, model.value), out, F.col("text")).alias("m"))
+    measured = docs.select("id", "lang", text_column(lambda texts: measure(texts, model), out, F.col("text")).alias("m"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     measured = materialise(measured.select("id", "lang", "m.*").withColumn("base_failed", failed), "measured")
+    kneser_ney.release(model)
     quartiles = F.percentile_approx("log_perplexity", [0.25, 0.75], 10_000)
     bands = measured.where(~F.col("base_failed")).groupBy("lang").agg(quartiles.alias("q"))
     reach = REACH * (F.col("q")[1] - F.col("q")[0])

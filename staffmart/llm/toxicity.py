@@ -1,12 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two character models, of toxic and of ordinary labelled texts, share their backoff counts for short contexts, so a rare
-expression that neither class has settled gets the same smoothing in both. The log-likelihoods of its words under both are
-summed and divided by the text's length; its most toxic words also count on their own, as a few of them make a long text
-toxic. A logistic curve, fitted on labelled texts that the models have not seen, turns this into a score from 0 to 1.
+Two character models of running text, of toxic and of ordinary labelled texts, share their backoff counts for short contexts, so a
+rare expression that neither class has settled gets the same smoothing in both. The log-likelihoods of its words in their context
+under both are summed and divided by the text's length. Its most toxic words also count on their own, and so does the share of
+toxic words, as a few of them make a long text toxic; each word is weighed both in its context and alone. A logistic
+curve, fitted on labelled texts that the models have not seen, turns this into a score from 0 to 1.
 
 Defined results: a NULL or empty text has no evidence and gets the curve's value at zero evidence; NULL ids are scored
-and never used for learning; ids labelled more than once count as toxic if any label says so; without labels of both classes every score is 0.
+and never used for learning; ids labelled more than once count as toxic if any label says so; repeated rows and ties get equal scores; texts of any length
+are scored whole; an empty table gives an empty result; other columns are handed on; without labels of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.llm import kneser_ney
-from staffmart.llm.text import encode_words, fold, sums, text_column
+from staffmart.llm.text import fold, split_words, sums, text_column
 from staffmart.operators.joins import lookup
 from staffmart.session import materialise
 
 FOLDS = 5  # fold 0 is held out
-SHARED = 1  # the context-free distribution is shared by both classes
+ORDER = 5
+SHARED = 1  # counts of n-grams up to this length are shared by both classes
 THRESHOLD = 0.5
 CALIBRATION = 4  # one in so many training texts fits the curve, the others the models
 TOP = 5  # the most toxic words of a text that count on their own
-EVIDENCE = ("mean", "first", "second", "top", "length")
+STEPS = (1.0, 2.0, 3.0, 4.0, 6.0)  # differences beyond which words are counted
+MOST = 2.0  # a character counts at most so much for or against toxicity
+FEATURES = 2 * (4 + len(STEPS)) + 1
 
 
 @dataclass
@@ -41,23 +46,26 @@ class Classifier:
 
 
 def evidence(model: kneser_ney.Model, texts: pa.Array) -> pa.Array:
-    """Per text: the mean difference per character, the differences of its most toxic words, and its length."""
-    words, ids, bounds = encode_words(texts)
-    logs, lengths = kneser_ney.word_likelihoods(model, words)
-    gap, count = (logs[1] - logs[0])[ids], np.diff(bounds)
-    mean = sums(gap, bounds) / np.maximum(sums(lengths[ids], bounds), 1)
-    ranked = gap[np.lexsort((-gap, np.repeat(np.arange(len(texts)), count)))]
-    top = np.zeros((TOP, len(texts)))
-    for k in range(TOP):
-        top[k, count > k] = ranked[bounds[:-1][count > k] + k]
-    columns = (mean, top[0], top[1], top.mean(axis=0), np.log1p(count))
-    return pa.StructArray.from_arrays([pa.array(c.astype(np.float64)) for c in columns], names=list(EVIDENCE))
-
-
-def evidence_column(docs: DataFrame, model: kneser_ney.Model, text: Column) -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    returns = "struct<" + ", ".join(f"{name}: double" for name in EVIDENCE) + ">"
-    return text_column(lambda texts: evidence(shared.value, texts), returns, text)
+    """Per text the numbers the curve is fitted on: for its words in context and for its words alone the mean difference per
+    character, the differences of its most toxic words and the shares of words beyond each of ``STEPS``; then its length."""
+    words, bounds = split_words(pa.concat_arrays([texts]))
+    values, lengths = kneser_ney.word_values(model, words, bounds, MOST)
+    count, rows = np.diff(bounds), len(texts)
+    columns = []
+    for gap in values:
+        columns.append(sums(gap, bounds) / np.maximum(sums(lengths, bounds), 1))
+        ranked = gap[np.lexsort((-gap, np.repeat(np.arange(rows), count)))]
+        top = np.zeros((TOP, rows))
+        for k in range(TOP):
+            top[k, count > k] = ranked[bounds[:-1][count > k] + k]
+        columns += [top[0], top[1], top.mean(axis=0)]
+        columns += [sums((gap > step).astype(np.float64), bounds) / np.maximum(count, 1) for step in STEPS]
+    flat = np.array([*columns, np.log1p(count)]).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * FEATURES), pa.array(flat))
+
+
+def evidence_column(model: kneser_ney.Model, text: Column) -> Column:
+    return text_column(lambda texts: evidence(model, texts), "array<double>", text)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:
@@ -69,22 +77,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     classes = {r["cls"] for r in marked.select("cls").distinct().collect()}
     if classes != {0, 1}:
         return Classifier(None, (), float("-inf"))
-    model = kneser_ney.fit(rows.where(~F.col("fits")), shared=SHARED)
-    seen = rows.where("fits").withColumn("e", evidence_column(docs, model, F.col("text")))
-    seen = materialise(seen.select("cls", array_to_vector(F.array(*[f"e.{name}" for name in EVIDENCE])).alias("features")), "evidence")
+    model = kneser_ney.fit(rows.where(~F.col("fits")), ORDER, SHARED, (-1.0, 1.0))
+    seen = rows.where("fits").select("cls", array_to_vector(evidence_column(model, F.col("text"))).alias("features"))
+    seen = materialise(seen, "evidence")
     if seen.select("cls").distinct().count() < 2:
-        return Classifier(model, (0.0, 1.0, 0.0, 0.0, 0.0), -1.0)  # too few labels for a curve: no evidence is no toxicity
+        return Classifier(model, (0.0, 1.0) + (0.0,) * (FEATURES - 2), -1.0)  # too few labels for a curve: no evidence is no toxicity
     curve = LogisticRegression(labelCol="cls", regParam=1e-4, maxIter=50).fit(seen)
     return Classifier(model, tuple(float(w) for w in curve.coefficients), float(curve.intercept))
 
 
 def score(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column toxic_score, from 0 to 1."""
+    """``docs`` with the column toxic_score, from 0 to 1, in place of any column of that name."""
     if classifier.model is None:
         return docs.withColumn("toxic_score", F.lit(0.0))
-    e = evidence_column(docs, classifier.model, F.col(text_col))
+    e = evidence_column(classifier.model, F.col(text_col))
     linear = F.lit(classifier.intercept)
-    found = docs.withColumn("_evidence", e)
-    for name, weight in zip(EVIDENCE, classifier.weights):
-        linear = linear + F.lit(weight) * F.col(f"_evidence.{name}")
-    return found.withColumn("toxic_score", 1 / (1 + F.exp(-linear))).drop("_evidence")
+    column = "_" * (1 + max(map(len, docs.columns)))  # longer than any of theirs
+    for place, weight in enumerate(classifier.weights):
+        linear = linear + F.lit(weight) * F.get(column, F.lit(place))
+    return docs.withColumn(column, evidence_column(classifier.model, F.col(text_col))).withColumn("toxic_score", 1 / (1 + F.exp(-linear))).drop(column)

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from staffmart.llm import components, kneser_ney, packing, secrets, suffix_dedup
+from staffmart.llm import components, packing, secrets, suffix_dedup
 from staffmart.llm.packing import pack_block
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -142,17 +142,6 @@ def test_base_counts(spark, texts):
         assert r["base_failed"] == (len(words) < 50 or 100 * len(covered) > 50 * len(words))
 
 
-def test_likelihoods_are_probabilities(spark):
-    rows = spark.createDataFrame([("abab abc aab", 0), ("abba cab", 1), (None, 0)], "text string, cls int")
-    model = kneser_ney.fit(rows, order=3, shared=1)
-    # Over all one-character words and the empty rest: the chances of the next character after "a" sum to at most 1.
-    starts = pa.array([c for c in "abc"])
-    logs, lengths = kneser_ney.word_likelihoods(model, starts)
-    assert (np.exp(logs) < 1).all() and lengths.tolist() == [2, 2, 2]
-    seen, _ = kneser_ney.word_likelihoods(model, pa.array(["abab", "zzzz"]))
-    assert (seen[:, 0] > seen[:, 1]).all()
-
-
 @pytest.mark.parametrize("name, label, least", [("op4_quality", "quality", 0.97), ("op7_toxicity", "toxic", 0.93)])
 def test_held_out_accuracy(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1" if name == "op4_quality" else "/root/testdata/sf0.01"
