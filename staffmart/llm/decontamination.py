@@ -9,8 +9,10 @@ of its partition needs: a document with 80 % of an item of n shingles lacks at m
 of any n / 5 + 1. Every document shingle is looked up among the sketches, whatever the document's length; hits are candidates
 and are verified by counting all shared shingles. All of it is DataFrame functions.
 
-Defined results: NULL texts are empty; repeated items are found separately; rows with equal ids are one document;
-documents or items with a NULL id are not reported.
+Defined results: NULL texts are empty; items with equal ids and different sets are looked for separately, each giving a row of its
+own, those with equal ids and sets are one item; rows with equal ids are one document; documents or items with a NULL id are not
+reported; an empty table on either side gives an empty result; texts of any length are searched whole; other columns, whatever
+their names, are not read; ties cannot arise, as every item found is reported.
 """
 
 from __future__ import annotations
@@ -52,7 +54,9 @@ def contained_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) of every item found in a document."""
-    known = materialise(shingled(items, item_col, item_text), "items")
+    known = shingled(items, item_col, item_text).select("id", F.sort_array("shingles").alias("shingles"))
+    known = known.where(F.size("shingles") > 0).dropDuplicates().withColumnRenamed("id", "item_id")
+    known = materialise(known.withColumn("id", F.monotonically_increasing_id()), "items")  # stored, so the numbers stay
     sketch = materialise(sketches(known), "sketches")
     every = materialise(known.select(F.explode("shingles").alias("shingle"), F.col("id").alias("item_id")), "item-shingles")
 
@@ -69,23 +73,26 @@ def contained_items(
     read_again = lookup(docs.select(id_col, text_col), suspects, [(id_col, "suspect")], how="left_semi")
     shared = hits(read_again, every).join(candidates, ["doc_id", "item_id"], "left_semi")
     counted = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
-    sizes = known.groupBy(F.col("id").alias("item_id")).agg(F.max(F.size("shingles")).cast("long").alias("n_shingles"))
-    found = counted.join(sizes, "item_id").where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
-    return found.select("doc_id", "item_id", "n_shingles", "n_shared")
+    sizes = known.select("id", F.col("item_id").alias("named"), F.size("shingles").cast("long").alias("n_shingles"))
+    found = counted.join(sizes, F.col("item_id") == F.col("id")).where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
+    return found.select("doc_id", F.col("named").alias("item_id"), "n_shingles", "n_shared")
 
 
 ORACLE = r"""
 WITH texts AS (
   SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
 ), split AS (
-  SELECT kind, id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM texts
-), shingles AS (
-  SELECT DISTINCT kind, id, unnest(CASE
+  SELECT kind, id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM texts WHERE id IS NOT NULL
+), sets AS (
+  SELECT DISTINCT kind, id, list_sort(list_distinct(CASE
     WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
-    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS shingles
   FROM split
-), sizes AS (SELECT id, count(*) AS n_shingles FROM shingles WHERE kind = 'i' GROUP BY id)
-SELECT d.id AS doc_id, i.id AS item_id, n_shingles, count(*) AS n_shared
-FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.id = i.id
-GROUP BY ALL HAVING 100 * count(*) >= 80 * n_shingles
+), found AS (SELECT DISTINCT id AS doc_id, unnest(shingles) AS s FROM sets WHERE kind = 'd'
+), items AS (
+  SELECT row_number() OVER () AS item, id AS item_id, len(shingles) AS n_shingles, unnest(shingles) AS s FROM sets WHERE kind = 'i'
+)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared
+FROM found JOIN items ON found.s = items.s
+GROUP BY doc_id, item, item_id, n_shingles HAVING 100 * count(*) >= 80 * n_shingles
 """
