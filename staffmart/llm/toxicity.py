@@ -82,7 +82,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = materialise(seen, "evidence")
     if seen.select("cls").distinct().count() < 2:
         return Classifier(model, (0.0, 1.0) + (0.0,) * (FEATURES - 2), -1.0)  # too few labels for a curve: no evidence is no toxicity
-    curve = LogisticRegression(labelCol="cls", regParam=1e-4, maxIter=50).fit(seen)
+    # a unit normal prior on the weights of standardised evidence
+    curve = LogisticRegression(labelCol="cls", regParam=1 / seen.count(), maxIter=50).fit(seen)
     return Classifier(model, tuple(float(w) for w in curve.coefficients), float(curve.intercept))
 
 
