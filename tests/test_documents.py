@@ -222,6 +222,16 @@ def test_no_two_terms_share_a_place(spark):
     assert sorted((r["query_id"], r["doc_id"], r["score"]) for r in found.collect()) == [(7, 7, 1.0), (8, 4999, 1.0)]
 
 
+def test_length_of_a_vector_is_summed_once(spark):
+    """Not once for every entry of it."""
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1)], "doc_id long, term string, count long")
+    vocabulary = spark.createDataFrame([("a", 1.5), ("b", 2.0)], "term string, rarity double")
+    found = lexical.weighted(counts, vocabulary, ["doc_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.index("array(SQRT(aggregate(") > 0
+    assert [(e["term"], round(e["weight"], 6)) for e in found.first()["vector"]] == [("a", 0.83205), ("b", 0.5547)]
+
+
 @pytest.mark.parametrize("crowd", [0, 64])
 def test_similar_vectors_are_found(spark, crowd):
     """Against the exact search: pairs of any distance up to the radius, hundreds of near copies, and exact copies."""
