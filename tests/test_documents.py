@@ -232,6 +232,15 @@ def test_length_of_a_vector_is_summed_once(spark):
     assert [(e["term"], round(e["weight"], 6)) for e in found.first()["vector"]] == [("a", 0.83205), ("b", 0.5547)]
 
 
+def test_postings_are_dealt_before_queries_multiply_them(spark):
+    """The sums per query and text happen where the text's postings lie."""
+    index = lexical.build_index(spark.createDataFrame(TEXTS, "doc_id long, chunk string"), fresh_dir(spark, "index"), ["doc_id"])
+    found = lexical.search(index, spark.createDataFrame([(1, "leave policy"), (2, "policy")], "query_id long, text string"), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(query_id#" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "doc_id" in line]
+
+
 @pytest.mark.parametrize("crowd", [0, 64])
 def test_similar_vectors_are_found(spark, crowd):
     """Against the exact search: pairs of any distance up to the radius, hundreds of near copies, and exact copies."""
