@@ -31,6 +31,7 @@ from staffmart.session import materialise
 
 ORDER = 6
 BLOCK = 1 << 22  # hashes and addends of so many entries take 48 MB
+SCORED_BYTES = 1 << 20  # texts scored at once: the tables of their n-grams take a hundred times as much
 EDGE, BLANK = 10, 32  # the line break and the blank: no word contains them
 FACTOR = 0x9E3779B97F4A7C15
 CONTEXT = np.uint64(0xD1B54A32D192ED03)  # tells a context's hash from that of the same n-gram

@@ -65,7 +65,7 @@ def evidence(model: kneser_ney.Model, texts: pa.Array) -> pa.Array:
 
 
 def evidence_column(model: kneser_ney.Model, text: Column) -> Column:
-    return text_column(lambda texts: evidence(model, texts), "array<double>", text)
+    return text_column(lambda texts: evidence(model, texts), "array<double>", text, kneser_ney.SCORED_BYTES)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Classifier:

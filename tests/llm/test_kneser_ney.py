@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staffmart.llm import kneser_ney, perplexity, toxicity
-from staffmart.llm.text import split_words
+from staffmart.llm.text import split_words, text_column
 
 ORDER = 4
 
@@ -137,3 +137,31 @@ def test_without_words_every_character_is_equally_likely(spark):
     model = kneser_ney.fit(spark.createDataFrame([(None, 0), ("  \n", 1)], "text string, cls int"), 3, 1, (-1.0, 1.0))
     values, _ = kneser_ney.word_values(model, *split_words(pa.array(["some words", ""])))
     assert not values.any()
+
+
+def test_texts_are_scored_in_pieces_that_take_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    from staffmart.llm import text
+
+    rng = random.Random(3)
+    texts = pa.array(["".join(rng.choice("abcdefghij   ") for _ in range(2000)) for _ in range(1500)])
+    block = np.sort(np.arange(1000, dtype=np.uint64)), np.ones(1000, np.float32)
+    model = kneser_ney.Model(5, -1.0, [type("Block", (), {"value": block})()])
+    given = []
+    monkeypatch.setattr(toxicity, "text_column", lambda function, returns, column, max_bytes=text.CHUNK_BYTES: given.append((function, max_bytes)))
+    toxicity.evidence_column(model, F.lit(""))
+    (function, max_bytes), = given
+    tracemalloc.start()
+    found = [row for _, piece in text.chunks(texts, max_bytes) for row in function(piece).to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 220 << 20
+    tracemalloc.stop()
+    assert np.allclose(found, toxicity.evidence(model, texts).to_pylist())
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_pieces_of_a_text_column_keep_to_their_bound(spark, most):
+    rows = spark.createDataFrame([(i, "x" * (i % 9)) for i in range(200)] + [(200, None)], "id long, text string").coalesce(1)
+    sized = text_column(lambda t: pa.array([sum(len(x) for x in t.to_pylist())] * len(t)), "long", F.col("text"), most)
+    for row in rows.select("text", sized.alias("size")).collect():
+        assert row["size"] <= max(most, len(row["text"] or ""))
