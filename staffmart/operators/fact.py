@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from staffmart.functions.dates import tenure_days
 from staffmart.functions.text import exact
-from staffmart.operators.joins import ROWS_PER_TASK, fits_broadcast, hot_keys, lookup
+from staffmart.operators.joins import ROWS_PER_TASK, fits_broadcast, hot_keys, lookup, spread_out
 from staffmart.operators.keys import allocate_keys
 from staffmart.operators.upsert import AmbiguousMatchError
 from staffmart.schema import NATURAL, STAR_SCHEMAS, SURROGATE
@@ -208,7 +208,7 @@ def known_ids(per_id: DataFrame, fact: DataFrame, small: bool) -> DataFrame:
         per_id = materialise(per_id, "batch-ids")
         ids = ids.join(F.broadcast(per_id.select("_id")), F.col("_seen") == F.col("_id"), "left_semi")
     ids = ids.distinct().withColumn("_known", F.lit(True))
-    marked = per_id.join(ids, F.col("_id") == F.col("_seen"), "left").drop("_seen")
+    marked = per_id.join(ids if small else spread_out(ids), F.col("_id") == F.col("_seen"), "left").drop("_seen")
     return materialise(marked.withColumn("_known", F.coalesce("_known", F.lit(False))), "known-ids")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staffmart.functions.text import exact
-from staffmart.operators.joins import fits_broadcast, lookup
+from staffmart.operators.joins import fits_broadcast, lookup, spread_out
 from staffmart.operators.keys import allocate_keys
 from staffmart.session import materialise
 
@@ -92,7 +92,8 @@ def unmatched(
 ) -> DataFrame:
     """The rows of ``source`` whose keys ``target`` does not hold."""
     incoming = source.select(*[F.col(name).alias(f"_s_{name}") for name in source.columns])
-    fresh = incoming.join(target.select(*keys), key_condition(target, keys, null_safe, match), "left_anti")
+    present = target.select(*keys)
+    fresh = incoming.join(present if fits_broadcast(present) else spread_out(present), key_condition(target, keys, null_safe, match), "left_anti")
     return fresh.select(*[F.col(f"_s_{name}").alias(name) for name in source.columns])
 
 
@@ -115,11 +116,11 @@ def upsert(
     surrogate key where ``target`` is only a part of its table.
     """
     columns = target.columns
-    kept = target
+    kept, small = target, fits_broadcast(source)
     if update:
         wanted = [F.col(name).alias(f"_s_{name}") for name in (*keys, *update)]
         marked = source.select(*wanted).withColumn("_matched", F.lit(True))
-        kept = target.join(marked, key_condition(target, keys, null_safe, match), "left").select(
+        kept = target.join(marked if small else spread_out(marked), key_condition(target, keys, null_safe, match), "left").select(
             *[
                 F.when(F.col("_matched"), F.col(f"_s_{name}")).otherwise(F.col(name)).alias(name)
                 if name in update
@@ -128,7 +129,6 @@ def upsert(
             ]
         )
     fresh = unmatched(target, source, keys, null_safe, match)
-    small = fits_broadcast(source)
     if not small:
         fresh = materialise(fresh, "fresh")  # read twice: to count and to number
     fresh = allocate_keys(fresh, surrogate, keys, existing=target, small=small, top=top)

@@ -7,6 +7,7 @@ from staffmart.functions.text import folded
 from staffmart.operators.fact import lookup_dims
 from staffmart.operators.joins import fits_broadcast, hot_keys, lookup
 from staffmart.operators.upsert import upsert, upsert_many
+from staffmart.session import materialise
 
 ROWS = 30_000
 
@@ -115,3 +116,12 @@ def test_one_source_row_updates_many_targets(spark, small):
     source = spark.createDataFrame([(1, "new"), (500, "p"), (500, "q"), (None, "r")], "k int, v string")
     found = upsert_many(target, source, "k", ["v"], small=small)
     assert {(r["v"], r["count"]) for r in found.groupBy("v").count().collect()} == {("new", 90), ("old", 10)}
+
+
+def test_rows_that_files_hold_compressed_are_not_taken_for_few(spark):
+    """Half a million equal texts take a few kilobytes of files and many megabytes as rows."""
+    stored = materialise(spark.range(600_000).select("id", F.lit("the same text").alias("name")), "compressed")
+    assert not fits_broadcast(stored) and fits_broadcast(stored.where("id < 5")) and fits_broadcast(stored.limit(5))
+    found = lookup(spark.range(5).withColumnRenamed("id", "k"), stored, [("k", "id")])
+    assert "BroadcastHashJoin [k" not in found._jdf.queryExecution().sparkPlan().toString().replace("BroadcastHashJoin [_hash", "")
+    assert sorted(r["name"] for r in found.collect()) == ["the same text"] * 5
