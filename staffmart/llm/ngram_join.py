@@ -26,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffmart.llm.components import connected
@@ -308,16 +308,17 @@ def stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
 
     The first text asked is that of most fame. Later ones are others, by a hash, that are not in its component yet.
     """
-    texts = F.struct("node", "size", "component", "fold")
-    first = posts.groupBy("token").agg(F.max_by(texts, F.struct("fame", "node")).alias("p"))
+    texts, token = F.struct("node", "size", "component", "fold"), Window.partitionBy("token")
+    asked = F.struct("fame", "node")
     if turn:
-        outside = posts.join(first.select("token", F.col("p.component").alias("first_component")), "token").where("component <> first_component")
-        first = outside.groupBy("token").agg(F.max_by(texts, F.xxhash64(F.lit(turn), F.col("node"))).alias("p"))
+        posts = posts.withColumn("first_component", F.max_by("component", asked).over(token))
+        asked = F.when(F.col("component") != F.col("first_component"), F.xxhash64(F.lit(turn), F.col("node")))
+    # The text asked travels along its list, so the postings are dealt by token once and joined with nothing.
+    met = posts.withColumn("p", F.max_by(texts, asked).over(token))
     near = f"component <> p.component AND 100 * least(size, p.size) >= {percent} * greatest(size, p.size)"
     differ = " + ".join(f"bit_count(fold[{k}] ^ p.fold[{k}])" for k in range(1 << (LEAST_BITS - 6)))
     near += f" AND {differ} <= size + p.size - 2 * (({percent} * (size + p.size) + {99 + percent}) div {100 + percent})"
-    met = posts.join(first, "token").where(near)
-    return met.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+    return met.where(near).select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:

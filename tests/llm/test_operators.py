@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from staffmart.llm import components, packing, secrets, suffix_dedup
+from staffmart.llm import components, ngram_join, packing, secrets, suffix_dedup
 from staffmart.llm.packing import pack_block
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -289,3 +289,32 @@ def test_most_suffixes_begin_alike(spark, monkeypatch):
                 covered[k : k + suffix_dedup.LENGTH] = [True] * suffix_dedup.LENGTH
         spans = sum(c and not b for b, c in zip([False, *covered], covered))
         assert found[i] == (sum(covered), spans)
+
+
+def test_texts_asked_meet_their_lists_without_a_join(spark):
+    """One text of each list is compared with those of other components, and postings are not joined with themselves for it."""
+    import contextlib
+    import io
+
+    rng = random.Random(3)
+    rows = [(t, n, 100 + n % 7, n % 5, n // 3, [0] * 8) for t in range(40) for n in rng.sample(range(30), 9)]
+    posts = spark.createDataFrame(rows, "token long, node long, size long, fame long, component long, fold array<long>")
+    for turn in (0, 1):
+        found = ngram_join.stars(posts, turn, 90)
+        lists = collections.defaultdict(list)
+        for token, node, size, fame, component, _ in rows:
+            lists[token].append((fame, node, size, component))
+        hashes = {r[0]: r[1] for r in spark.range(30).select("id", F.xxhash64(F.lit(turn), "id")).collect()}
+        expected = set()
+        for texts in lists.values():
+            asked = max(texts)
+            if turn:
+                outside = [t for t in texts if t[3] != asked[3]]
+                asked = max(outside, key=lambda t: hashes[t[1]], default=None)
+            for t in texts if asked else ():
+                if t[3] != asked[3] and 100 * min(t[2], asked[2]) >= 90 * max(t[2], asked[2]):
+                    expected.add((asked[1], t[1]))
+        assert sorted(map(tuple, found.collect())) == sorted(expected) and expected
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            found.explain()
+        assert "Join" not in plan.getvalue()
