@@ -318,3 +318,27 @@ def test_texts_asked_meet_their_lists_without_a_join(spark):
         with contextlib.redirect_stdout(io.StringIO()) as plan:
             found.explain()
         assert "Join" not in plan.getvalue()
+
+
+def test_texts_are_packed_from_small_batches(spark, monkeypatch):
+    """Long texts reach a task a few megabytes at a time, and the session's setting is as before afterwards."""
+    from staffmart.session import arrow_batches, materialise, settings
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    (name, _), = arrow_batches(1).items()
+    seen, before = [], spark.conf.get(name)
+    docs = spark.range(600, numPartitions=1).selectExpr("id doc_id", "repeat(concat('word', id, ' '), 2500) text")
+
+    def stored(df, label):
+        seen.extend(r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+        return materialise(df, label)
+
+    monkeypatch.setattr(packing, "materialise", stored)
+    packed = packing.pack(docs, packing.tokenizer_path()).groupBy("id").agg(F.sum("length").alias("n")).count()
+    assert packed == sum(seen) == 600 and max(seen) < 300 and spark.conf.get(name) == before
+    with pytest.raises(ValueError), settings(spark, arrow_batches(1)):
+        raise ValueError
+    assert spark.conf.get(name) == before
