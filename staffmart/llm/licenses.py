@@ -128,7 +128,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for word in anchors():
         any_anchor = any_anchor | F.contains(low, F.lit(word))
     found = units(docs.where(any_anchor)).select("id", "unit", "unit_no", bigrams(F.col("content")).alias("own"))
-    found = found.withColumn("n_unit", F.size("own"))
+    # A size that is never NULL: the join would test a nullable one for NULL, and cut every unit into bigrams twice.
+    found = found.withColumn("n_unit", F.coalesce(F.size("own"), F.lit(0)))
     near = found.join(templates, "n_unit").withColumn("n_shared", F.size(F.array_intersect("own", "pairs")))
     near = near.where(2 * DICE.denominator * F.col("n_shared") >= DICE.numerator * (F.col("n_unit") + F.col("n_template")))
     likeness = -F.col("n_shared") / (F.col("n_unit") + F.col("n_template"))

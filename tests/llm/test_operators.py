@@ -343,3 +343,9 @@ def test_texts_are_packed_from_small_batches(spark, monkeypatch):
     with pytest.raises(ValueError), settings(spark, arrow_batches(1)):
         raise ValueError
     assert spark.conf.get(name) == before
+
+
+def test_license_scan_cuts_each_unit_into_bigrams_once(spark):
+    """One expression for each kind of unit, none of them repeated in a filter."""
+    plan = entry_points.queries()["op8_licenses"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 3
