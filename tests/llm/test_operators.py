@@ -349,3 +349,23 @@ def test_license_scan_cuts_each_unit_into_bigrams_once(spark):
     """One expression for each kind of unit, none of them repeated in a filter."""
     plan = entry_points.queries()["op8_licenses"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 3
+
+
+def test_lines_are_exchanged_as_text_for_the_exact_check(spark):
+    """An array of shingle hashes takes four bytes a character, and every pair of lines would carry two."""
+    from staffmart.llm import line_dedup
+
+    lines = ["the cat sat on the mat and looked at the dog", "the cat sat on the mat and looked at the dogs", "the cat sat on a mat and saw no dog at all"]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    found = line_dedup.verified(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"), texts)
+    assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
+
+
+def test_line_dedup_tells_rows_with_equal_ids_apart(spark):
+    """Two rows of one id have different first lines; each is near to a line of another document."""
+    from staffmart.llm import line_dedup
+
+    one, two = "the quick brown fox jumps over the lazy dog near the river bank", "a stitch in time saves nine, as the old women of the village say"
+    rows = [(1, one), (1, two), (2, one + "s"), (3, two + "s")]
+    removed = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["id"], r["removed"]) for r in removed) == [(2, [0]), (3, [0])]
