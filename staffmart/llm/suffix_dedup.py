@@ -1,16 +1,21 @@
-"""Removal of repeated byte strings by a distributed, common-prefix-aware merge sort of suffixes.
+"""Removal of repeated byte strings by sorted suffixes at anchors.
 
 A byte goes if a string of 200 bytes that covers it starts anywhere else too. Matches do not cross texts.
 
-1. Filter. Every string of 200 bytes has a least hash among its 32-byte pieces; equal strings have equal ones. Least hashes that
-   occur at two or more places are set in a bit table of fixed size; only strings whose bit is set can repeat.
-2. Runs. Each piece of the corpus sorts the suffixes that start such strings, cut at 200 bytes. Suffixes equal within a
-   run are settled there and travel once, so even thousands of copies send one entry a run. A run is front-coded: per
-   suffix the length of the prefix shared with the one before, and the rest.
-3. Exchange and merge. Ranges of the suffix order, split at quantiles, collect their parts of all runs, and a loser tree merges
-   them. Each contender carries the length of its common prefix with the last winner; unequal lengths decide without a
-   look at the bytes, equal ones compare from there on. A winner that shares 200 bytes with the winner before repeats.
-4. The repeated starts of a text are joined to it and cut out.
+1. Filter. Every string of 200 bytes has a least hash among its 32-byte pieces; equal strings have equal ones at the same
+   place. The pieces with these hashes are anchors, about one in 85 bytes. Hashes that occur at two or more places are set in a
+   bit table of fixed size; only strings around such anchors can repeat.
+2. Contexts. An anchor travels with the bytes that a string around it can reach: up to 168 before it, and 200 from it on. Equal
+   contexts within a piece of the corpus are settled there and travel once, so even thousands of copies send one a piece.
+3. Matches. Anchors are dealt by hash. Each task sorts the suffixes at its anchors, and the reversed texts before them, and takes
+   the common prefixes of neighbours. Strings that begin k bytes before their anchors are equal if the suffixes share 200 - k
+   bytes and the texts before them k, for k from 0 to 168. All strings around an anchor overlap, so the least and
+   largest k that repeat tell which of its bytes go.
+4. Pieces at more than ``RANGE`` places would make a task too large. The strings around them are sorted one by one instead, in runs
+   of suffixes cut at 200 bytes: front-coded, exchanged by ranges of the suffix order that are split at quantiles, and merged by loser
+   trees whose contenders carry the length of their common prefix with the last winner. A winner that shares 200 bytes with
+   the winner before repeats.
+5. The spans that go are joined to their text and cut out.
 
 Defined results: NULL is an empty text; rows are told apart by a hash of id and text, and two equal rows repeat each other.
 """
@@ -35,7 +40,9 @@ PIECE = 32
 BITS = 1 << 27  # of the filter
 BLOCK_BITS = 1 << 16
 CHUNK = 512 << 10  # bytes of text in one run, and hashed at once
-RANGE = 200_000  # suffixes merged by one task
+RANGE = 200_000  # suffixes merged by one task, or places of a piece
+DEALT = 50_000  # anchors matched by one task
+REACH = LENGTH - PIECE  # bytes before an anchor that a string around it can hold
 SAMPLED = 8192  # one in so many suffixes helps to find the ranges
 ROWS = 1 << 14  # suffixes laid out as rows at a time
 PART = 1 << 14  # suffixes in a row of the run table at most
@@ -100,9 +107,9 @@ class Strings:
             self.least = self.windows[self.at]
 
     def anchors(self) -> np.ndarray:
-        """The least hash of every place that holds one for some string."""
+        """The places that hold the least hash for some string."""
         if not len(self.at):
-            return self.least
+            return np.zeros(0, np.int64)
         width = LENGTH - PIECE + 1
         valid = np.zeros(len(self.windows), bool)
         valid[self.at] = True
@@ -110,38 +117,52 @@ class Strings:
         pad = np.zeros(width - 1, np.uint64)
         largest = sliding(np.concatenate((pad, own, pad)), width, False)
         held = (self.pieces <= largest[: len(self.pieces)]) & (largest[: len(self.pieces)] > 0)
-        return self.pieces[held]
+        return np.flatnonzero(held)
 
 
-def repeated_bits(docs: DataFrame) -> np.ndarray:
-    """The filter: bits of the least hashes found at two or more places."""
+def bit_of(hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in the bit table."""
+    return (hashes.view(np.int64) % BITS).astype(np.int64)
+
+
+def repeated_pieces(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The filter (bits of the least hashes found at two or more places), the hashes found at more than ``RANGE``, and the number of all such places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in stretches(batch.column("text")):
-                hashes, count = np.unique(Strings(texts).anchors(), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "n": pa.array(np.minimum(count, 2))})
+                strings = Strings(texts)
+                places = strings.anchors()
+                hashes, count = np.unique(strings.pieces[places] if len(places) else strings.least, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "n": pa.array(count.astype(np.int64))})
 
     def block(key, table):
         bits = np.zeros(BLOCK_BITS, bool)
         bits[table["bit"].to_numpy() % BLOCK_BITS] = True
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()])})
 
-    found = docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
-    found = found.select(F.pmod("hash", F.lit(BITS)).alias("bit")).distinct()
+    counted = docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = materialise(counted, "suffix-pieces")
+    found = counted.select(F.pmod("hash", F.lit(BITS)).alias("bit")).distinct()
     found = found.withColumn("block", F.floor(F.col("bit") / F.lit(BLOCK_BITS)))
     # At most BITS / 8 bytes come out, whatever the corpus.
     blocks = found.groupBy("block").applyInArrow(block, "block long, bits binary").toArrow()
     bits = np.zeros(BITS // 8, np.uint8)
     for number, packed in zip(blocks["block"].to_pylist(), blocks["bits"].to_pylist()):
         bits[number * BLOCK_BITS // 8 :][: BLOCK_BITS // 8] = np.frombuffer(packed, np.uint8)
-    return bits
+    # One in RANGE places at most.
+    crowded = counted.where(F.col("n") > RANGE).select("hash").toArrow()["hash"].to_numpy()
+    return bits, np.sort(crowded).view(np.uint64), counted.agg(F.sum("n")).first()[0] or 0
 
 
 def candidates(strings: Strings, bits: np.ndarray) -> np.ndarray:
     """The numbers of the strings whose bit is set."""
-    bit = (strings.least.view(np.int64) % BITS).astype(np.int64)
-    return np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+    return np.flatnonzero(is_set(bits, strings.least))
+
+
+def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = bit_of(hashes)
+    return bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
 
 
 def laid_out(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -317,10 +338,151 @@ def merged_range(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int32())})
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(key, starts): the starts of repeated strings of rows (key, text)."""
+def padded_rows(raw: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The bytes around some places, ``REACH`` before and ``LENGTH`` from each on; zeros beyond left and right."""
+    around = np.concatenate((np.zeros(REACH, np.uint8), raw, np.zeros(LENGTH, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(around, REACH + LENGTH)[at]
+    place = np.arange(-REACH, LENGTH)
+    rows[(place < -left[:, None]) | (place >= right[:, None])] = 0
+    return rows
+
+
+def contexts(batch: pa.RecordBatch, bits: np.ndarray, crowded: np.ndarray, dealt: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, key, at, left, right, settled, context) of the anchors whose bit is set: their place in the row's text and the bytes around it.
+
+    A context is sent once a chunk; spans of copies have none. Settled rows need no match with another to go.
+    """
+    row_keys = batch.column("key").to_numpy(zero_copy_only=False)
+    for rows_of, bases, texts in stretches(batch.column("text")):
+        strings = Strings(texts)
+        at = strings.anchors()
+        hashes = strings.pieces[at] if len(at) else strings.least
+        chosen = is_set(bits, hashes).astype(bool) & ~np.isin(hashes, crowded)
+        at, hashes, raw = at[chosen], hashes[chosen], strings.raw
+        if not len(at):
+            continue
+        doc = np.searchsorted(strings.offsets, at, side="right") - 1
+        first, last = strings.offsets[doc], strings.offsets[doc + 1]
+        del strings
+        left, right = np.minimum(at - first, REACH), np.minimum(last - at, LENGTH)
+        bucket = ((hashes >> np.uint64(16)) % np.uint64(dealt)).astype(np.int32)
+        key, start = row_keys[rows_of[doc]], (bases[doc] + at - first).astype(np.int32)
+        rows = padded_rows(raw, at, left, right)
+        order = np.argsort(rows.view(f"S{REACH + LENGTH}").ravel(), kind="stable")
+        same = (rows[order[1:]] == rows[order[:-1]]).all(axis=1) & (left[order[1:]] == left[order[:-1]]) & (right[order[1:]] == right[order[:-1]])
+        copy, settled = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        copy[order[1:][same]] = True
+        settled[order[1:][same]] = settled[order[:-1][same]] = True
+        # Neighbouring copies of one text go as one span; contexts come in order of their places.
+        where = np.flatnonzero(copy)
+        begin, end = (start - left)[where], (start + right)[where]
+        new = np.ones(len(where), bool)
+        new[1:] = (begin[1:] > end[:-1]) | (doc[where][1:] != doc[where][:-1])
+        heads = np.flatnonzero(new)
+        ends = np.maximum.reduceat(end, heads) if len(heads) else end
+        kept = np.flatnonzero(~copy)
+        place = np.arange(-REACH, LENGTH)
+        flat = rows[kept][(place >= -left[kept][:, None]) & (place < right[kept][:, None])]
+        offsets = np.concatenate(([0], np.cumsum((left + right)[kept]))).astype(np.int32)
+        sent = pa.BinaryArray.from_buffers(pa.binary(), len(kept), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+        some = where[heads]
+        both = lambda a, b, kind: pa.array(np.concatenate((a, b)), kind)
+        yield pa.RecordBatch.from_pydict({
+            "bucket": both(bucket[kept], bucket[some], pa.int32()),
+            "key": both(key[kept], key[some], pa.int64()),
+            "at": both(start[kept], begin[heads], pa.int32()),
+            "left": both(left[kept], np.zeros(len(some), np.int64), pa.int32()),
+            "right": both(right[kept], ends - begin[heads], pa.int32()),
+            "settled": both(settled[kept], np.ones(len(some), bool), pa.bool_()),
+            "context": pa.concat_arrays([sent, pa.nulls(len(some), pa.binary())]),
+        })
+
+
+CONTEXTS = "bucket int, key long, at int, left int, right int, settled boolean, context binary"
+
+
+def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place in their order, and what the rows in order share with the one before."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    place = np.empty(len(rows), np.int64)
+    place[order] = np.arange(len(rows))
+    shared = np.zeros(len(rows), np.int64)
+    for first in range(1, len(rows), ROWS):
+        part = order[first - 1 : first + ROWS]
+        differ = rows[part[1:]] != rows[part[:-1]]
+        shared[first : first + ROWS] = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return place, shared
+
+
+def most_shared(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """What each row shares with any other at most."""
+    return np.maximum(shared, np.append(shared[1:], 0))[place]
+
+
+def repeated_reach(rows: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before its anchor the last and the first repeated string around it begin; (``LENGTH``, -1) without any."""
+    least, most = np.full(len(rows), LENGTH), np.full(len(rows), -1)
+    if len(rows) < 2:
+        return least, most
+    after, shared_after = ranked(rows[:, REACH:])
+    before, shared_before = ranked(rows[:, REACH - 1 :: -1])
+    near_after = np.minimum(most_shared(after, shared_after), right)
+    near_before = np.minimum(most_shared(before, shared_before), left)
+    for k in range(REACH + 1):
+        some = np.flatnonzero((near_after >= LENGTH - k) & (near_before >= k))
+        if len(some) < 2:
+            continue
+        # Neighbours in order that share enough are of one class, and strings of equal classes on both sides are equal.
+        classes = np.cumsum(shared_after < LENGTH - k)[after[some]] * len(rows) + np.cumsum(shared_before < k)[before[some]]
+        order = np.argsort(classes, kind="stable")
+        same = classes[order[1:]] == classes[order[:-1]]
+        found = some[np.unique(np.concatenate((order[1:][same], order[:-1][same])))]
+        least[found] = np.minimum(least[found], k)
+        most[found] = k
+    return least, most
+
+
+def matched(table: pa.Table) -> pa.Table:
+    """(key, begin, end) of the bytes that go among the contexts of a bucket."""
+    whole = {name: table[name].to_numpy() for name in ("key", "at", "left", "right", "settled")}
+    begin, end = whole["at"] - whole["left"], whole["at"] + whole["right"]
+    sent = table["context"].combine_chunks()
+    texts = np.flatnonzero(pc.is_valid(sent).to_numpy(zero_copy_only=False))
+    left, right = whole["left"][texts].astype(np.int64), whole["right"][texts].astype(np.int64)
+    ends = np.cumsum(left + right)
+    joined = b"".join(sent.drop_null().to_pylist())
+    rows = padded_rows(np.frombuffer(joined, np.uint8), ends - right, left, right)
+    least, most = repeated_reach(rows, left, right)
+    goes = whole["settled"].copy()
+    goes[texts] |= most >= 0
+    own = ~whole["settled"][texts] & (most >= 0)
+    begin[texts[own]] = whole["at"][texts[own]] - most[own]
+    end[texts[own]] = whole["at"][texts[own]] - least[own] + LENGTH
+    return pa.table({"key": pa.array(whole["key"][goes]), "begin": pa.array(begin[goes], pa.int32()), "end": pa.array(end[goes], pa.int32())})
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(key, found): the spans (begin, end) that repeated strings cover in rows (key, text)."""
+    repeated, crowded, places = repeated_pieces(docs)
+    bits, dealt = docs.sparkSession.sparkContext.broadcast(repeated), -(-places // DEALT) or 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from contexts(batch, bits.value, crowded, dealt)
+
+    spans = docs.select("key", "text").mapInArrow(run, CONTEXTS).repartition(dealt, "bucket")
+    spans = spans.groupBy("bucket").applyInArrow(lambda table: matched(table), "key long, begin int, end int")
+    if len(crowded):
+        own = np.zeros(BITS, bool)
+        own[bit_of(crowded)] = True
+        spans = spans.unionByName(repeated_starts(docs, np.packbits(own)).selectExpr("key", "start AS begin", f"start + {LENGTH} AS end"))
+    return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
+
+
+def repeated_starts(docs: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(key, start): the starts of repeated strings of rows (key, text) whose bit is set."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_bits(docs))
+    bits = spark.sparkContext.broadcast(repeated)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,15 +511,14 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     parts = materialise(docs.select("key", "text").mapInArrow(run, RUNS), "suffix-runs")
     within = parts.where("range = -1").select(F.explode(F.arrays_zip("keys", "starts")).alias("s")).select("s.keys", "s.starts").toDF("key", "start")
     across = parts.where("range >= 0").groupBy("range").applyInArrow(lambda table: merged_range(table), "key long, start int")
-    return within.unionByName(across).groupBy("key").agg(F.collect_set("start").alias("found"))
+    return within.unionByName(across)
 
 
-def cut(data: bytes, starts: list[int] | None) -> dict:
-    """What is left of a text after its repeated strings go."""
+def cut(data: bytes, found: list[dict] | None) -> dict:
+    """What is left of a text after the spans found in it go."""
     gone = np.zeros(len(data) + 1, np.int64)
-    at = np.array(starts or [], np.int64)
-    np.add.at(gone, at, 1)
-    np.add.at(gone, at + LENGTH, -1)
+    np.add.at(gone, np.array([s["begin"] for s in found or []], np.int64), 1)
+    np.add.at(gone, np.array([s["end"] for s in found or []], np.int64), -1)
     covered = np.cumsum(gone)[:-1] > 0
     kept = np.frombuffer(data, np.uint8)[~covered].tobytes()
     spans = int((np.diff(covered.astype(np.int8), prepend=0) == 1).sum())
@@ -368,14 +529,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans) and the SHA-256 of what is left, or the bytes themselves."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    found = materialise(repeated_starts(rows).withColumnRenamed("key", "found_key"), "suffix-found")
-    joined = lookup(rows, found, [("key", "found_key")]).select("id", "text", "found")
+    found = materialise(repeated_spans(rows).withColumnRenamed("key", "found_key"), "suffix-found")
+    # Spans grow with the texts, so both are dealt by key whatever their size.
+    joined = lookup(rows, found, [("key", "found_key")], small=False).select("id", "text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column("text")):
-                starts = batch.column("found").slice(first, len(texts))
-                out = [cut(t.as_py().encode(), s.as_py()) for t, s in zip(texts, starts)]
+                found = batch.column("found").slice(first, len(texts))
+                out = [cut(t.as_py().encode(), s.as_py()) for t, s in zip(texts, found)]
                 for row in out if digest else []:
                     row["kept"] = hashlib.sha256(row["kept"]).hexdigest()
                 columns = {"id": batch.column("id").slice(first, len(texts))}

@@ -369,3 +369,44 @@ def test_line_dedup_tells_rows_with_equal_ids_apart(spark):
     rows = [(1, one), (1, two), (2, one + "s"), (3, two + "s")]
     removed = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["id"], r["removed"]) for r in removed) == [(2, [0]), (3, [0])]
+
+
+def repeats_removed(texts):
+    """(bytes removed, spans) of each text by counting every string."""
+    places = collections.Counter(t[k : k + suffix_dedup.LENGTH] for t in texts for k in range(len(t) - suffix_dedup.LENGTH + 1))
+    out = []
+    for text in texts:
+        covered = [False] * len(text)
+        for k in range(len(text) - suffix_dedup.LENGTH + 1):
+            if places[text[k : k + suffix_dedup.LENGTH]] > 1:
+                covered[k : k + suffix_dedup.LENGTH] = [True] * suffix_dedup.LENGTH
+        out.append((sum(covered), sum(c and not b for b, c in zip([False, *covered], covered))))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [200_000, 3])
+def test_matches_at_anchors_equal_counting(spark, monkeypatch, crowd):
+    """Matches of every length and place, cut by ends of texts, zeros and periods among them; and pieces at too many places for one task."""
+    monkeypatch.setattr(suffix_dedup, "RANGE", crowd)
+    monkeypatch.setattr(suffix_dedup, "DEALT", 50)
+    rng = random.Random(11)
+    draw = lambda n, of="abcdefghijklmnop": "".join(rng.choices(of, k=n)).encode()
+    source = draw(900)
+    texts = [source, source[:250] + b"\0" * 210, b"\0" * 205, draw(30) + source[-200:], source[-199:] + draw(40), b"ab" * 180, draw(9) + b"ba" * 130]
+    for _ in range(60):
+        first, size = rng.randrange(700), rng.randrange(190, 420)
+        texts.append(draw(rng.randrange(60)) + source[first : first + size] + draw(rng.randrange(3)) + source[first : first + rng.randrange(230)])
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    found = {r["id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == repeats_removed(texts)
+
+
+def test_repeats_travel_once_an_anchor():
+    """A repeated text sends some bytes a byte of its own, not a suffix for every byte."""
+    rng = random.Random(5)
+    texts = pa.array(["".join(rng.choices("abcdefgh ", k=40_000)) for _ in range(4)])
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(4), pa.int64()), "text": texts})
+    bits = np.full(suffix_dedup.BITS // 8, 255, np.uint8)
+    sent = list(suffix_dedup.contexts(batch, bits, np.zeros(0, np.uint64), 1))
+    assert sum(b.num_rows for b in sent) < 160_000 / 60
+    assert sum(b.nbytes for b in sent) < 160_000 * 7
