@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staffmart.llm.components import connected
-from staffmart.llm.text import chunks, encode_words, mix, sums, word_hashes
+from staffmart.llm.text import CHUNK_BYTES, chunks, encode_words, mix, sums, word_hashes
 from staffmart.operators.joins import lookup
-from staffmart.session import materialise
+from staffmart.session import arrow_batches, materialise, settings
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,8 @@ LONGEST = 8  # the largest number of shared tokens asked for
 LEAST_BITS = 9  # a bit table has 2 ** 9 bits or more
 LIST = 8  # a posting list of more texts is first compared with some of them, one after another
 ROUNDS = 5  # such comparisons at most
+BATCH_BYTES = 2 * CHUNK_BYTES  # of texts or bit tables sent to a task at once
+PIECE_BYTES = 1 << 20  # of text whose shingles a task holds at once, where no frequencies are estimated
 WORTHWHILE = 20  # another one follows if this one found one in so many of the links so far
 
 
@@ -128,22 +130,28 @@ def facts_and_frequencies(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.nd
         for batch in batches:
             ids = batch.column("id")
             for first, texts in chunks(batch.column("text")):
-                sets = Sets(texts, rule.words)
-                chosen = np.zeros(len(texts), bool)
-                chosen[sets.first_of_each()] = True
-                keys, count = np.unique(sets.keys[chosen[sets.doc]], return_counts=True)
+                met, different = [], np.zeros(0, np.int64)
+                for at, piece in chunks(texts, PIECE_BYTES):
+                    sets = Sets(piece, rule.words)
+                    chosen = sets.first_of_each()
+                    chosen = chosen[~np.isin(sets.hash[chosen], different)]
+                    different = np.concatenate((different, sets.hash[chosen]))
+                    met.append(sets.keys[np.isin(sets.doc, chosen)])
+                    rows, parities = len(piece), sets.parities()
+                    yield pa.RecordBatch.from_pydict({
+                        "id": ids.slice(first + at, rows), "node": pa.array(sets.hash), "size": pa.array(sets.size.astype(np.int64)),
+                        "parity": pa.array(parities, pa.binary()), "fold": pa.array([folded(p) for p in parities], pa.list_(pa.int64())),
+                        "slot": pa.nulls(rows, pa.int32()), "n": pa.nulls(rows, pa.int64()),
+                    })
+                keys, count = np.unique(np.concatenate(met), return_counts=True)
                 slots = (keys[count > 1] % np.uint64(SLOTS)).astype(np.int64)
                 total = np.bincount(slots, weights=count[count > 1], minlength=1).astype(np.int64)
                 used = np.flatnonzero(total)
-                rows, none, parities = len(texts), len(used), sets.parities()
+                none = len(used)
                 yield pa.RecordBatch.from_pydict({
-                    "id": pa.concat_arrays([ids.slice(first, rows), pa.nulls(none, ids.type)]),
-                    "node": pa.concat_arrays([pa.array(sets.hash), pa.nulls(none, pa.int64())]),
-                    "size": pa.concat_arrays([pa.array(sets.size.astype(np.int64)), pa.nulls(none, pa.int64())]),
-                    "parity": pa.concat_arrays([pa.array(parities, pa.binary()), pa.nulls(none, pa.binary())]),
-                    "fold": pa.concat_arrays([pa.array([folded(p) for p in parities], pa.list_(pa.int64())), pa.nulls(none, pa.list_(pa.int64()))]),
-                    "slot": pa.concat_arrays([pa.nulls(rows, pa.int32()), pa.array(used.astype(np.int32))]),
-                    "n": pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(total[used])]),
+                    "id": pa.nulls(none, ids.type), "node": pa.nulls(none, pa.int64()), "size": pa.nulls(none, pa.int64()),
+                    "parity": pa.nulls(none, pa.binary()), "fold": pa.nulls(none, pa.list_(pa.int64())),
+                    "slot": pa.array(used.astype(np.int32)), "n": pa.array(total[used]),
                 })
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, node long, size long, parity binary, fold array<long>, slot int, n long"
@@ -177,7 +185,7 @@ def postings(docs: DataFrame, frequency: np.ndarray, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in chunks(batch.column(0)):
+            for _, texts in chunks(batch.column(0), PIECE_BYTES):
                 found = prefixes(Sets(texts, rule.words, shared.value), shared.value, rule)
                 packed = found["size"] << 8 | found["level"] << 4 | found["matches"]
                 yield pa.RecordBatch.from_pydict({"token": pa.array(found["token"]), "node": pa.array(found["node"]), "packed": pa.array(packed)})
@@ -236,7 +244,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column("text")):
+            for _, texts in chunks(batch.column("text"), PIECE_BYTES):
                 sets = Sets(texts, rule.words)
                 lists = pa.ListArray.from_arrays(pa.array(sets.bounds.astype(np.int32)), pa.array(sets.keys.astype(np.int64)))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(sets.hash), "shingles": lists})
@@ -324,8 +332,10 @@ def stars(posts: DataFrame, turn: int, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """(id, n_shingles, component_id): the size of each text's set and the least id its links reach, itself included."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    facts, frequency = facts_and_frequencies(docs, rule)
-    groups = connected(links(docs, facts, frequency, rule))
+    with settings(docs.sparkSession, arrow_batches(BATCH_BYTES)):
+        facts, frequency = facts_and_frequencies(docs, rule)
+        found = links(docs, facts, frequency, rule)
+    groups = connected(found)
     nodes = facts.where("size > 0").groupBy("node").agg(F.min("id").alias("least")).join(groups, "node", "left")
     nodes = materialise(nodes.withColumn("component", F.coalesce("component", "node")), "join-nodes")
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -410,3 +410,23 @@ def test_repeats_travel_once_an_anchor():
     sent = list(suffix_dedup.contexts(batch, bits, np.zeros(0, np.uint64), 1))
     assert sum(b.num_rows for b in sent) < 160_000 / 60
     assert sum(b.nbytes for b in sent) < 160_000 * 7
+
+
+def test_join_sends_bounded_batches_to_python(spark, monkeypatch):
+    """Whatever Python makes is stored while the size of its batches is bounded; afterwards the session is as before."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(setting), {}
+
+    def stored(df, label, store=ngram_join.materialise):
+        if "InArrow" in df._jdf.queryExecution().optimizedPlan().toString():
+            seen[label] = int(spark.conf.get(setting))
+        return store(df, label)
+
+    monkeypatch.setattr(ngram_join, "materialise", stored)
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[:-1] + [f"x{i}"])) for i in range(12)], "doc_id long, text string")
+    found = ngram_join.near_duplicates(docs, rule=ngram_join.Rule(5, 80)).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert {"join-facts", "join-postings", "join-stars-0-near", "join-sets"} <= set(seen)
+    assert max(seen.values()) <= 2 * ngram_join.CHUNK_BYTES
+    assert spark.conf.get(setting) == before
