@@ -1,8 +1,11 @@
 import collections
+import glob
 import math
 import re
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from staffmart.operators import documents as docs
 from staffmart.operators import lexical, similar
 from staffmart.operators import vectors as vec
-from staffmart.session import fresh_dir
+from staffmart.session import fresh_dir, materialise
 
 
 def plain_split(text, size, overlap, separators=("\n\n", "\n", " ", "")):
@@ -241,6 +244,59 @@ def test_postings_are_dealt_before_queries_multiply_them(spark):
     assert not [line for line in plan.splitlines() if "hashpartitioning(query_id" in line and "doc_id" in line]
 
 
+def plain_postings(rows):
+    """(key, term): count and weight; texts of one key, NULL too, are one text, and every row counts as a text."""
+    words = collections.defaultdict(collections.Counter)
+    for key, text in rows:
+        words[key].update(t for t in re.split(r"[\W_]+", (text or "").lower()) if t)
+    held = collections.Counter(t for found in words.values() for t in found)
+    rarity = {t: math.log((len(rows) + 1) / (n + 1)) for t, n in held.items()}
+    length = {k: math.sqrt(sum((n * rarity[t]) ** 2 for t, n in found.items())) for k, found in words.items()}
+    return {(k, t): (n, round(n * rarity[t] / length[k], 9) if length[k] else 0.0) for k, found in words.items() for t, n in found.items()}
+
+
+@pytest.mark.parametrize("most", [0, 400, 1 << 20])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_postings_whatever_the_size_of_the_vocabulary(spark, monkeypatch, most, copies):
+    """No term, the common ones or all of them are sent to the texts."""
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", most)
+    rows = [(i, " ".join(f"w{i % k}É {i % k}" for k in range(1, 9)) + " w0é, W0É w" + "x" * (i % 3)) for i in range(60)]
+    rows = (rows + [(None, "w0é of none"), (77, None), (78, ""), (79, "?")]) * copies
+    index = lexical.build_index(spark.createDataFrame(rows, "doc_id long, chunk string").repartition(3), fresh_dir(spark, "index"), ["doc_id"])
+    found = {(r["doc_id"], r["term"]): (r["count"], round(r["weight"], 9)) for r in index.postings.collect()}
+    assert index.texts == len(rows) and found == plain_postings(rows)
+    assert index.postings.count() == len(found)
+
+
+def test_a_segment_names_each_length_once(spark):
+    """Each text's postings lie in one file, and a length of eight bytes is an entry of its dictionary."""
+    texts = spark.range(2000).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 40), i -> concat('w', hash(id, i) % 500))) chunk")
+    path = fresh_dir(spark, "index")
+    lexical.build_index(texts, path, ["doc_id"])
+    stored = spark.read.parquet(f"{path}/postings")
+    lying = stored.select("doc_id", F.input_file_name().alias("file")).distinct()
+    assert lying.groupBy("doc_id").count().where("count > 1").count() == 0
+    for file in glob.glob(f"{path}/postings/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(i).path_in_schema: group.column(i).encodings for i in range(group.num_columns)}
+        assert "PLAIN" not in columns["length"] and "PLAIN" not in columns["doc_id"]
+
+
+def test_shuffles_go_with_the_write_that_made_them(spark):
+    """Else all intermediate tables' shuffles lie on the disks until the driver collects garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {f for f in map(str, disk.getAllFiles().mkString("\n").splitlines()) if "shuffle_" in f}
+    materialise(spark.range(1000).repartition(3, "id"), "dealt")
+    left = before
+    for _ in range(50):
+        left = {f for f in map(str, disk.getAllFiles().mkString("\n").splitlines()) if "shuffle_" in f} - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not [f for f in left if f.endswith(".data")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 @pytest.mark.parametrize("crowd", [0, 64])
 def test_similar_vectors_are_found(spark, crowd):
     """Against the exact search: pairs of any distance up to the radius, hundreds of near copies, and exact copies."""
