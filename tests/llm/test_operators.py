@@ -361,6 +361,37 @@ def test_lines_are_exchanged_as_text_for_the_exact_check(spark):
     assert [(r["a"], r["b"]) for r in found.collect()] == [(0, 1)]
 
 
+def test_bit_tables_leave_every_similar_pair_and_few_others(spark, monkeypatch):
+    """Lines that only share a band are not cut for each other line they meet."""
+    from staffmart.llm import line_dedup
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 9)))
+    base = [[word() for _ in range(40)] for _ in range(30)]
+    lines = []
+    for words in base:
+        for changed in (0, 0, 1, 2, 4, 8, 16, 30):
+            other = list(words)
+            for at in rng.sample(range(40), changed):
+                other[at] = word()
+            lines.append(" ".join(other))
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    # Every two lines of one text, and of two texts.
+    pairs = [(8 * g + i, 8 * g + j) for g in range(30) for i in range(8) for j in range(i)] + [(8 * g, 8 * g + 9) for g in range(29)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    tables = line_dedup.bit_tables(texts)
+    left = {(r["a"], r["b"]) for r in line_dedup.bounded(pairs, tables).collect()}
+    similar = {(r["a"], r["b"]) for r in line_dedup.verified(pairs, texts).collect()}
+    assert similar and similar <= left and len(left) < 1.5 * len(similar) < pairs.count()
+
+    asked, exact = [], line_dedup.verified
+    monkeypatch.setattr(line_dedup, "verified", lambda pairs, texts: asked.append(pairs.count()) or exact(pairs, texts))
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    found = {r["doc_id"] for r in line_dedup.dedup_lines(docs).where("n_removed > 0").collect()}
+    assert {8 * g + 1 for g in range(30)} <= found
+    assert sum(asked) < 1.5 * len(similar)
+
+
 def test_line_dedup_tells_rows_with_equal_ids_apart(spark):
     """Two rows of one id have different first lines; each is near to a line of another document."""
     from staffmart.llm import line_dedup
