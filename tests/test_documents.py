@@ -3,6 +3,7 @@ import glob
 import math
 import re
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from staffmart.operators import documents as docs
 from staffmart.operators import lexical, similar
 from staffmart.operators import vectors as vec
-from staffmart.session import fresh_dir, materialise
+from staffmart.session import DROP_SHUFFLES, fresh_dir, materialise
 
 
 def plain_split(text, size, overlap, separators=("\n\n", "\n", " ", "")):
@@ -294,7 +295,13 @@ def test_shuffles_go_with_the_write_that_made_them(spark):
             break
         time.sleep(0.2)
     assert not [f for f in left if f.endswith(".data")]
-    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+
+
+def test_writes_of_several_threads_leave_the_setting_as_it_was(spark):
+    with ThreadPoolExecutor(6) as threads:
+        list(threads.map(lambda n: materialise(spark.range(n).repartition(2, "id"), "dealt"), range(1, 25)))
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
 
 
 @pytest.mark.parametrize("crowd", [0, 64])
